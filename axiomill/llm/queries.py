@@ -2,10 +2,49 @@
 
 from __future__ import annotations
 
-from axiomill.llm import frequency, packing, tokenizer
+from pyspark.sql import functions as F
+
+from axiomill.llm import frequency, near_duplicates, neighbours, packing, tokenizer
+from axiomill.llm import sets as S
 from axiomill.session import table
 
 
+def p3_sides(spark, sf_dir):
+    """(field, rows, values) of the two fields."""
+    yield "thm", table(spark, sf_dir, "thmhyptb").select("thm_id", "thm"), S.words_of(F.col("thm"))
+    yield "similarthms", table(spark, sf_dir, "similarthmstb").select("thm_id", "similarthms"), S.ids_of(F.col("similarthms"))
+
+
+def p3_found(spark, sf_dir):
+    return union(
+        near_duplicates.pairs(rows, "thm_id", values).select(F.lit(field).alias("field"), F.col("a").alias("thm_id_a"), F.col("b").alias("thm_id_b"))
+        for field, rows, values in p3_sides(spark, sf_dir)
+    )
+
+
+def p3_groups(spark, sf_dir):
+    return union(near_duplicates.groups(rows, "thm_id", values).select(F.lit(field).alias("field"), "*") for field, rows, values in p3_sides(spark, sf_dir))
+
+
+def p4_sides(spark, sf_dir):
+    yield "thmconcepts", table(spark, sf_dir, "thmconceptstb").select("thm_id", "thmconcepts")
+    yield "similarthms", table(spark, sf_dir, "similarthmstb").select("thm_id", "similarthms")
+
+
+def p4_found(spark, sf_dir):
+    return union(
+        neighbours.neighbour_pairs(rows, "thm_id", F.col(field)).select(F.lit(field).alias("field"), F.col("a").alias("thm_id_a"), F.col("b").alias("thm_id_b"))
+        for field, rows in p4_sides(spark, sf_dir)
+    )
+
+
+def union(parts):
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p5_found(spark, sf_dir):
     counts = frequency.statement_counts(table(spark, sf_dir, "literalsearchtb"))
     return frequency.marked(counts, table(spark, sf_dir, "thmhyptb")).where("mark is not null").select("word", "mark")
@@ -26,9 +65,30 @@ def p7_containers(spark, sf_dir):
     return packing.packed_all(sizes, capacities)
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_counts, p6_ids, p7_containers)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p5_found, p5_counts, p6_ids, p7_containers)}
+
+#: All pairs of sets that share a value, and what they share; ``v`` holds (field, thm_id, x).
+SHARED = """
+        z AS (SELECT field, thm_id, count(*) AS n FROM v GROUP BY ALL),
+        o AS (SELECT l.field, l.thm_id AS a, r.thm_id AS b, count(*) AS shared
+              FROM v AS l JOIN v AS r ON l.field = r.field AND l.x = r.x AND l.thm_id < r.thm_id GROUP BY ALL),
+        s AS (SELECT o.field, a, b, shared, za.n AS na, zb.n AS nb FROM o
+              JOIN z AS za ON za.field = o.field AND za.thm_id = a JOIN z AS zb ON zb.field = o.field AND zb.thm_id = b)"""
 
 ORACLES = {
+    "p3_found": f"""
+        WITH v AS (SELECT DISTINCT 'thm' AS field, thm_id, unnest(regexp_extract_all(lower(thm), '[a-z0-9]+')) AS x FROM thmhyptb
+                   UNION ALL SELECT DISTINCT 'similarthms', thm_id, CAST(unnest(similarthms) AS VARCHAR) FROM similarthmstb),
+        {SHARED}
+        SELECT field, a AS thm_id_a, b AS thm_id_b FROM s WHERE shared * 10 >= (na + nb - shared) * 7""",
+    "p4_found": f"""
+        WITH v AS (SELECT DISTINCT 'thmconcepts' AS field, thm_id, unnest(thmconcepts) AS x FROM thmconceptstb
+                   UNION ALL SELECT DISTINCT 'similarthms', thm_id, unnest(similarthms) FROM similarthmstb),
+        {SHARED},
+        e AS (SELECT field, a, b, shared * shared / (na * nb) AS sim FROM s WHERE shared * shared * 4 >= na * nb),
+        d AS (SELECT field, a, b, sim FROM e UNION ALL SELECT field, b, a, sim FROM e),
+        k AS (SELECT field, a, b FROM d QUALIFY row_number() OVER (PARTITION BY field, a ORDER BY sim DESC, b) <= 5)
+        SELECT DISTINCT field, least(a, b) AS thm_id_a, greatest(a, b) AS thm_id_b FROM k""",
     "p5_found": """
         WITH n AS (SELECT lower(trim(word)) AS word, count(DISTINCT thm_id) AS n
                    FROM (SELECT word, unnest(CASE WHEN len(thm_indices) > 0 THEN thm_indices ELSE [NULL] END) AS thm_id FROM literalsearchtb)
