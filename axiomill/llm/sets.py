@@ -4,7 +4,8 @@ Each set (a row's distinct words or ids, as 64-bit values) is a *fingerprint*; r
 share it, so any number of exact copies is one entry from the first shuffle on. A band is a random
 order of all values; its key are the two first values of the set in that order, i.e. two rows of
 MinHash without replacement. Orders are weighted: a value of frequency f comes early in proportion
-to 1 / sqrt(f), as two sets that share only what everybody has are not worth verifying. The
+to f ** -1.5, as two sets that share only what everybody has are not worth verifying; the rarest
+fifth of all occurrences (slips of the pen among them, which nobody shares) weigh the same. The
 frequencies come from a table of fixed size (values hashed to 2**18 counters), so what is broadcast
 doesn't grow with the data; counters that are shared only change weights.
 
@@ -71,6 +72,17 @@ def frequencies(sets: DataFrame):
     return table
 
 
+def weights_of(table, power: float = 1.5, share: float = 0.2):
+    """Weights of the counters: all alike up to the frequency that ``share`` of occurrences don't pass."""
+    import numpy as np
+
+    used = np.sort(table[table > 0]).astype("float64")
+    if not len(used):
+        return np.ones(len(table))
+    least = used[np.searchsorted(np.cumsum(used), share * used.sum())]
+    return np.maximum(table, least) ** -power
+
+
 def mixed(x, seed: int):
     """splitmix64 of ``x + seed``, vectorised."""
     import numpy as np
@@ -82,29 +94,31 @@ def mixed(x, seed: int):
         return x ^ (x >> np.uint64(31))
 
 
-def band_keys(values, starts, weights, bands: int):
+def band_keys(values, starts, weights, bands: int, rows: int = 2):
     """For sets ``values[starts[i]:starts[i + 1]]``: the keys of each band, shape (bands, sets)."""
     import numpy as np
 
     unique, at = np.unique(values, return_inverse=True)
     own = unique.view("uint64")
     rate = weights[own_slots(unique)]
-    begins = starts[:-1]
-    sizes = np.diff(starts)
+    begins, sizes = starts[:-1], np.diff(starts)
+    nothing = np.int32(len(unique))
+    labels = np.append(own, np.uint64(0))  # the last stands for a value that a short set doesn't have
     out = np.empty((bands, len(begins)), "int64")
     for band in range(bands):
-        u = (mixed(own, band) >> np.uint64(11)).astype("float64") * 2.0**-53
-        order = np.argsort(-np.log(u + 2.0**-54) / rate, kind="stable")
+        u = ((mixed(own, band) >> np.uint64(11)).astype("float64") + 0.5) * 2.0**-53
+        order = np.argsort(-np.log(u) / rate, kind="stable")
         rank = np.empty(len(unique), "int32")
         rank[order] = np.arange(len(unique), dtype="int32")
-        ranks = rank[at]
-        first = np.minimum.reduceat(ranks, begins)
-        ranks[ranks == np.repeat(first, sizes)] = np.iinfo("int32").max
-        second = np.minimum.reduceat(ranks, begins)
-        a = own[order[first]]
-        b = np.where(sizes > 1, own[order[np.minimum(second, len(unique) - 1)]], np.uint64(0))
-        with np.errstate(over="ignore"):
-            out[band] = mixed(mixed(a, band) * np.uint64(3) + b, band).view("int64")
+        ranks, order = rank[at], np.append(order, len(unique))
+        key = np.full(len(begins), band, "uint64")
+        for row in range(rows):
+            first = np.minimum.reduceat(ranks, begins)
+            with np.errstate(over="ignore"):
+                key = mixed(key * np.uint64(3) + labels[order[first]], row)
+            if row < rows - 1:
+                ranks[ranks == np.repeat(first, sizes)] = nothing
+        out[band] = key.view("int64")
     return out
 
 
@@ -145,7 +159,7 @@ def band_rows(sets: DataFrame, bands: int, small: int = 0) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        weights = 1 / np.sqrt(np.maximum(shared.value, 1))
+        weights = weights_of(shared.value)
         seen: set[int] = set()
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
