@@ -24,14 +24,14 @@ def jaccard_at_least(tenths: int) -> Column:
     return F.when(shared * 10 >= union * tenths, shared / union)
 
 
-def classes(rows: DataFrame, key: str, values: S.Values, tenths: int = 7) -> tuple[DataFrame, DataFrame]:
+def classes(rows: DataFrame, key: str, values: str, tenths: int = 7) -> tuple[DataFrame, DataFrame]:
     """(``key, fp``: the class of each row; ``a, b, sim``: the similar pairs of classes)."""
     sets = S.as_sets(rows, key, values)
     bands = S.bands_for(WEIGHTED_AT_LIMIT, TARGET_RECALL)
     return sets.select(key, "fp").distinct(), S.similar_classes(sets, jaccard_at_least(tenths), bands)
 
 
-def pairs(rows: DataFrame, key: str, values: S.Values, tenths: int = 7) -> DataFrame:
+def pairs(rows: DataFrame, key: str, values: str, tenths: int = 7) -> DataFrame:
     """``a, b``: all pairs of different keys (a < b) with Jaccard similarity >= ``tenths`` / 10.
 
     * Null keys, null values and empty sets match nothing.
@@ -46,7 +46,7 @@ def pairs(rows: DataFrame, key: str, values: S.Values, tenths: int = 7) -> DataF
     return copies.unionAll(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
-def groups(rows: DataFrame, key: str, values: S.Values, tenths: int = 7) -> DataFrame:
+def groups(rows: DataFrame, key: str, values: str, tenths: int = 7) -> DataFrame:
     """``key, group_id, n_links``: the connected group of each row with a value.
 
     ``group_id`` is the smallest key of the group; ``n_links`` is the number of other classes

@@ -4,36 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from axiomill.llm import frequency, near_duplicates, neighbours, packing, tokenizer
-from axiomill.llm import sets as S
+from axiomill.llm import encoding, frequency, near_duplicates, neighbours, packing, tokenizer, truncation
 from axiomill.session import table
 
 
+def p2_found(spark, sf_dir):
+    return truncation.cut(table(spark, sf_dir, "thmhyptb"), "thm_id", ["thm", "hyp"]).select("thm_id", "field").distinct()
+
+
+def p2_report(spark, sf_dir):
+    return truncation.report(table(spark, sf_dir, "thmhyptb"), "thm_id", ["thm", "hyp"])
+
+
 def p3_sides(spark, sf_dir):
-    """(field, rows, values) of the two fields."""
-    yield "thm", table(spark, sf_dir, "thmhyptb").select("thm_id", "thm"), S.words_of(F.col("thm"))
-    yield "similarthms", table(spark, sf_dir, "similarthmstb").select("thm_id", "similarthms"), S.ids_of(F.col("similarthms"))
+    """(field, rows) of the two fields."""
+    yield "thm", table(spark, sf_dir, "thmhyptb")
+    yield "similarthms", table(spark, sf_dir, "similarthmstb")
 
 
 def p3_found(spark, sf_dir):
     return union(
-        near_duplicates.pairs(rows, "thm_id", values).select(F.lit(field).alias("field"), F.col("a").alias("thm_id_a"), F.col("b").alias("thm_id_b"))
-        for field, rows, values in p3_sides(spark, sf_dir)
+        near_duplicates.pairs(rows, "thm_id", field).select(F.lit(field).alias("field"), F.col("a").alias("thm_id_a"), F.col("b").alias("thm_id_b"))
+        for field, rows in p3_sides(spark, sf_dir)
     )
 
 
 def p3_groups(spark, sf_dir):
-    return union(near_duplicates.groups(rows, "thm_id", values).select(F.lit(field).alias("field"), "*") for field, rows, values in p3_sides(spark, sf_dir))
+    return union(near_duplicates.groups(rows, "thm_id", field).select(F.lit(field).alias("field"), "*") for field, rows in p3_sides(spark, sf_dir))
 
 
 def p4_sides(spark, sf_dir):
-    yield "thmconcepts", table(spark, sf_dir, "thmconceptstb").select("thm_id", "thmconcepts")
-    yield "similarthms", table(spark, sf_dir, "similarthmstb").select("thm_id", "similarthms")
+    yield "thmconcepts", table(spark, sf_dir, "thmconceptstb")
+    yield "similarthms", table(spark, sf_dir, "similarthmstb")
 
 
 def p4_found(spark, sf_dir):
     return union(
-        neighbours.neighbour_pairs(rows, "thm_id", F.col(field)).select(F.lit(field).alias("field"), F.col("a").alias("thm_id_a"), F.col("b").alias("thm_id_b"))
+        neighbours.neighbour_pairs(rows, "thm_id", field).select(F.lit(field).alias("field"), F.col("a").alias("thm_id_a"), F.col("b").alias("thm_id_b"))
         for field, rows in p4_sides(spark, sf_dir)
     )
 
@@ -65,7 +72,15 @@ def p7_containers(spark, sf_dir):
     return packing.packed_all(sizes, capacities)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_groups, p4_found, p5_found, p5_counts, p6_ids, p7_containers)}
+def p8_found(spark, sf_dir):
+    return encoding.garbled(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_restored(spark, sf_dir):
+    return encoding.restored(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_groups, p4_found, p5_found, p5_counts, p6_ids, p7_containers, p8_found, p8_restored)}
 
 #: All pairs of sets that share a value, and what they share; ``v`` holds (field, thm_id, x).
 SHARED = """

@@ -16,8 +16,8 @@ from the target recall (:func:`bands_for`).
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,39 +36,70 @@ def bands_for(similarity: float, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**2))
 
 
-class Values(NamedTuple):
-    """An expression for a row's set of 64-bit values, and a cheap one for whether it has any
-    (a filter on the set itself would compute it twice)."""
+def as_sets(rows: DataFrame, key: str, values: str) -> DataFrame:
+    """``key, fp, items``: the set of a text's words, or of an id list's ids, as 64-bit values.
 
-    items: Column
-    some: Column
+    A text's words are the longest runs of a-z and 0-9 of its lower-cased form. Rows with a null
+    key, null values or an empty set are left out; null ids are ignored.
+    """
+    kinds = dict(rows.dtypes)
+    if kinds[values] != "string":
+        ids = F.array_distinct(F.transform(F.filter(values, lambda x: x.isNotNull()), lambda x: x.cast("bigint")))
+        some = rows.where(F.col(key).isNotNull() & F.exists(values, lambda x: x.isNotNull()))
+        return some.select(F.col(key), F.array_sort(ids).alias("items")).select(key, F.xxhash64("items").alias("fp"), "items")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
+        number, words = _Numbers().__getitem__, re.compile("[a-z0-9]+").findall
+        for batch in batches:
+            flat, ends = [], [0]
+            for text in batch.column(1).to_pylist():
+                flat.extend(map(number, set(words(text.lower()))))
+                ends.append(len(flat))
+            ends = np.array(ends)
+            full = np.flatnonzero(np.diff(ends))
+            items = np.array(flat, "int64")
+            # The fingerprint is a hash of the sum of the values' hashes: the order doesn't matter.
+            with np.errstate(over="ignore"):
+                fps = mixed(np.add.reduceat(mixed(items.view("uint64"), 0), ends[full]), 1).view("int64") if len(full) else np.empty(0, "int64")
+            lists = pa.ListArray.from_arrays(pa.array(np.append(ends[full], len(flat)).astype("int32")), pa.array(items))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(full)), pa.array(fps), lists], [key, "fp", "items"])
 
-def words_of(text: Column) -> Values:
-    """Distinct longest runs of a-z and 0-9 of the lower-cased text."""
-    low = F.lower(text)
-    return Values(F.transform(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))), lambda w: F.xxhash64(w)), low.rlike("[a-z0-9]"))
+    some = rows.where(F.col(key).isNotNull() & F.col(values).isNotNull())
+    return some.select(key, values).mapInArrow(run, f"`{key}` {kinds[key]}, fp bigint, items array<bigint>")
 
 
-def ids_of(ids: Column) -> Values:
-    """Distinct non-null ids."""
-    return Values(F.array_distinct(F.transform(F.filter(ids, lambda x: x.isNotNull()), lambda x: x.cast("bigint"))), F.exists(ids, lambda x: x.isNotNull()))
+class _Numbers(dict):
+    """Word -> 64-bit value; starts afresh when it holds REMEMBERED words."""
 
+    def __missing__(self, word: str) -> int:
+        import xxhash
 
-def as_sets(rows: DataFrame, key: str, values: Values) -> DataFrame:
-    """``key, fp, items``: rows with a null key, null values or an empty set are left out."""
-    some = rows.where(F.col(key).isNotNull() & values.some)
-    return some.select(F.col(key), F.array_sort(values.items).alias("items")).select(key, F.xxhash64("items").alias("fp"), "items")
+        if len(self) >= REMEMBERED:
+            self.clear()
+        n = xxhash.xxh64_intdigest(word)
+        self[word] = n = n - (1 << 64) if n >> 63 else n
+        return n
 
 
 def frequencies(sets: DataFrame):
     """How many rows hold each hashed value: a numpy array of 2**COUNTER_BITS counters."""
     import numpy as np
 
-    slots = sets.select(F.explode("items").alias("x")).select((F.xxhash64("x").bitwiseAND(F.lit((1 << COUNTER_BITS) - 1))).cast("int").alias("slot"))
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        own = np.zeros(1 << COUNTER_BITS, "int64")
+        for batch in batches:
+            own += np.bincount(own_slots(batch.column(0).flatten().to_numpy()), minlength=1 << COUNTER_BITS)
+        used = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(own[used])], ["slot", "n"])
+
     table = np.zeros(1 << COUNTER_BITS, "int64")
-    found = slots.groupBy("slot").count().toArrow()  # at most 2**COUNTER_BITS rows
-    table[found["slot"].to_numpy()] = found["count"].to_numpy()
+    found = sets.select("items").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2**COUNTER_BITS rows
+    table[found["slot"].to_numpy()] = found["n"].to_numpy()
     return table
 
 
@@ -123,28 +154,10 @@ def band_keys(values, starts, weights, bands: int, rows: int = 2):
 
 
 def own_slots(values):
-    """The counter of each value; as Spark's xxhash64 in :func:`frequencies`."""
+    """The counter of each value."""
     import numpy as np
 
-    return (xxhash64_long(values) & np.uint64((1 << COUNTER_BITS) - 1)).astype("int64")
-
-
-def xxhash64_long(values):
-    """Spark's ``xxhash64`` of a bigint (public xxHash64 of eight bytes with seed 42), vectorised."""
-    import numpy as np
-
-    # The primes of xxHash64.
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-    def turn(x, r):
-        return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-
-    with np.errstate(over="ignore"):
-        h = np.uint64(42) + p5 + np.uint64(8)
-        h = turn(h ^ (turn(values.view("uint64") * p2, 31) * p1), 27) * p1 + p4
-        h = (h ^ (h >> np.uint64(33))) * p2
-        h = (h ^ (h >> np.uint64(29))) * p3
-        return h ^ (h >> np.uint64(32))
+    return (mixed(values.view("uint64"), 7) & np.uint64((1 << COUNTER_BITS) - 1)).astype("int64")
 
 
 def band_rows(sets: DataFrame, bands: int, small: int = 0) -> DataFrame:
