@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from axiomill.llm import encoding, frequency, near_duplicates, neighbours, packing, tokenizer, truncation
+from axiomill.llm import encoding, frequency, names, near_duplicates, neighbours, packing, tokenizer, truncation
 from axiomill.session import table
 
 
+def p1_found(spark, sf_dir):
+    pairs = names.variants(table(spark, sf_dir, "authortb"), "author", table(spark, sf_dir, "shortnames"))
+    return pairs.select(F.col("a").alias("author_a"), F.col("b").alias("author_b"))
+
+
+def p1_entities(spark, sf_dir):
+    return names.entities(table(spark, sf_dir, "authortb"), "author", table(spark, sf_dir, "shortnames"))
+
+
 def p2_found(spark, sf_dir):
     return truncation.cut(table(spark, sf_dir, "thmhyptb"), "thm_id", ["thm", "hyp"]).select("thm_id", "field").distinct()
 
@@ -80,7 +89,7 @@ def p8_restored(spark, sf_dir):
     return encoding.restored(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_groups, p4_found, p5_found, p5_counts, p6_ids, p7_containers, p8_found, p8_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_entities, p2_found, p2_report, p3_found, p3_groups, p4_found, p5_found, p5_counts, p6_ids, p7_containers, p8_found, p8_restored)}
 
 #: All pairs of sets that share a value, and what they share; ``v`` holds (field, thm_id, x).
 SHARED = """

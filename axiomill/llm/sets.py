@@ -16,7 +16,6 @@ from the target recall (:func:`bands_for`).
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -52,11 +51,11 @@ def as_sets(rows: DataFrame, key: str, values: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        number, words = _Numbers().__getitem__, re.compile("[a-z0-9]+").findall
+        number = _Numbers().__getitem__
         for batch in batches:
             flat, ends = [], [0]
             for text in batch.column(1).to_pylist():
-                flat.extend(map(number, set(words(text.lower()))))
+                flat.extend(map(number, set(words(text))))
                 ends.append(len(flat))
             ends = np.array(ends)
             full = np.flatnonzero(np.diff(ends))
@@ -71,10 +70,19 @@ def as_sets(rows: DataFrame, key: str, values: str) -> DataFrame:
     return some.select(key, values).mapInArrow(run, f"`{key}` {kinds[key]}, fp bigint, items array<bigint>")
 
 
+#: All bytes but a-z and 0-9 become blanks.
+WORD_BYTES = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for b in range(256))
+
+
+def words(text: str) -> list[bytes]:
+    """The longest runs of a-z and 0-9 of the lower-cased text."""
+    return text.lower().encode("ascii", "replace").translate(WORD_BYTES).split()
+
+
 class _Numbers(dict):
     """Word -> 64-bit value; starts afresh when it holds REMEMBERED words."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         if len(self) >= REMEMBERED:
