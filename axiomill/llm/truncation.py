@@ -19,7 +19,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from axiomill.session import checkpointed
@@ -33,33 +33,28 @@ RUN, SUPPORT = 9, 8
 PILE, TIMES = 5, 6
 #: Marks of omission.
 MARK = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.|more|truncated|cut)\]|\((?:…|\.\.\.|more|truncated|cut|continued)\))\s*$", re.I)
-MARK_SQL = r"(?i)(?:…|\.\.\.|\[(?:…|\.\.\.|more|truncated|cut)\]|\((?:…|\.\.\.|more|truncated|cut|continued)\))\s*$"
 
 _TOKEN = re.compile(r"\$[^$]*\$|\d+\.\d+|[^\W_]+|[^\s\w]|_")
 
 
-def measures(text: Column) -> dict[str, Column]:
-    """The length of ``text`` in every way it may have been stored."""
+#: The ways a text may have been stored in.
+MEASURES = ("chars", "utf8", "utf16", "html", "html_quotes", "json", "json_ascii", "crlf", "html_utf8", "json_utf8")
 
-    def times(chars: str) -> Column:
-        return F.length(text) - F.length(F.translate(text, chars, ""))
 
-    chars, octets = F.length(text), F.octet_length(text)
-    wide = octets - chars  # zero for ASCII
-    html = times("&") * 4 + times("<>") * 3 + times('"') * 5
-    json = times('\\"\n\r\t')
-    lines = times("\n") - times("\r")
-    return {
-        "chars": chars,
-        "utf8": octets,
-        "html": chars + html,
-        "html_quotes": chars + html + times("'") * 4,
-        "json": chars + json,
-        "json_ascii": chars + json + F.when(wide > 0, F.length(F.regexp_replace(text, "[\\x00-\\x7F]", "")) * 5).otherwise(0),
-        "crlf": chars + F.greatest(lines, F.lit(0)),
-        "html_utf8": octets + html,
-        "json_utf8": octets + json,
-    }
+def measures(text: str) -> tuple[int, ...]:
+    """The length of ``text`` in each of MEASURES."""
+    count = text.count
+    chars = len(text)
+    octets = chars if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+    wide = 0 if octets == chars else sum(c > "\uffff" for c in text)
+    html = count("&") * 4 + (count("<") + count(">")) * 3 + count('"') * 5
+    lines = count("\n")
+    json = count("\\") + count('"') + lines + count("\r") + count("\t")
+    beyond = 0 if octets == chars else sum(c > "\x7f" for c in text)
+    return (
+        chars, octets, chars + wide, chars + html, chars + html + count("'") * 4, chars + json, chars + json + beyond * 5 + wide * 6,
+        chars + lines - count("\r\n"), octets + html, octets + json,
+    )
 
 
 def fields(rows: DataFrame, key: str, columns: list[str], source: str = "source") -> DataFrame:
@@ -69,20 +64,18 @@ def fields(rows: DataFrame, key: str, columns: list[str], source: str = "source"
     return long.where("text is not null and trim(text) <> ''")
 
 
-def limits(texts: DataFrame) -> DataFrame:
+def limits(counts: DataFrame) -> DataFrame:
     """``source, field, measure, limit, n_at``: the lengths at which a source's texts pile up.
 
-    The greatest length of a source and field in a measure is a limit if at least ``PILE`` texts
-    have it and ``TIMES`` as many as have each of the 40 lengths below it on average. Of several
-    measures those with the largest pile count.
+    ``counts``: ``source, field, measure, length, n``. The greatest length of a source and field in
+    a measure is a limit if at least ``PILE`` texts have it, and ``TIMES`` as many as have each of
+    the 40 lengths below it on average. Of several measures those with the largest pile count.
     """
-    each = F.explode(F.map_from_arrays(F.array(*(F.lit(m) for m in measures(F.col("text")))), F.array(*measures(F.col("text")).values())))
-    counts = texts.select("source", "field", each.alias("measure", "length")).groupBy("source", "field", "measure", "length").count()
     group = Window.partitionBy("source", "field", "measure")
     top = counts.withColumn("limit", F.max("length").over(group))
     piles = top.groupBy("source", "field", "measure", "limit").agg(
-        F.sum(F.when(F.col("length") == F.col("limit"), F.col("count"))).alias("n_at"),
-        (F.coalesce(F.sum(F.when(F.col("length").between(F.col("limit") - 40, F.col("limit") - 1), F.col("count"))), F.lit(0)) / 40).alias("usual"),
+        F.sum(F.when(F.col("length") == F.col("limit"), F.col("n"))).alias("n_at"),
+        (F.coalesce(F.sum(F.when(F.col("length").between(F.col("limit") - 40, F.col("limit") - 1), F.col("n"))), F.lit(0)) / 40).alias("usual"),
     )
     piled = piles.where((F.col("n_at") >= PILE) & (F.col("n_at") >= F.col("usual") * TIMES))
     best = piled.withColumn("best", F.max("n_at").over(Window.partitionBy("source", "field")))
@@ -124,50 +117,95 @@ def pattern(sentence: list[str], frequent: set[str]) -> list[str]:
     return out
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``word, n`` (texts with it as a whole word): the last word of an open text isn't counted."""
+def surveyed(texts: DataFrame) -> DataFrame:
+    """``source, field, measure, length, word, n``: in one pass, how many texts have each length in
+    each measure (``word`` null), and each word as a whole one (``measure`` null); the last word of
+    an open text isn't counted. A row with neither holds the number of texts. Stored."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def rows(found):
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-
-        found: Counter = Counter()
+        def rows(lengths, words, n):
+            many, none = len(lengths), len(words) + 1
+            keys = list(lengths)
+            columns = [
+                pa.array([k[0] for k in keys] + [None] * none, pa.string()),
+                pa.array([k[1] for k in keys] + [None] * none, pa.string()),
+                pa.array([k[2] for k in keys] + [None] * none, pa.int32()),
+                pa.array([k[3] for k in keys] + [None] * none, pa.int64()),
+                pa.array([None] * many + list(words) + [None], pa.string()),
+                pa.array([*lengths.values(), *words.values(), n], pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["source", "field", "measure", "length", "word", "n"])
+
+        lengths, words, n = Counter(), Counter(), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                all_tokens = tokens(text)
-                if all_tokens and is_word(all_tokens[-1]):
-                    all_tokens.pop()
-                found.update({t.lower() for t in all_tokens if is_word(t)})
-            if len(found) > 300_000:
-                yield rows(found)
-                found.clear()
-        yield rows(found)
-
-    return texts.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
+            for source, field, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n += 1
+                for i, length in enumerate(measures(text)):
+                    lengths[source, field, i, length] += 1
+                found = tokens(text)
+                if found and is_word(found[-1]):
+                    found.pop()
+                words.update({t.lower() for t in found if is_word(t)})
+            if len(words) + len(lengths) > 300_000:
+                yield rows(lengths, words, n)
+                lengths, words, n = Counter(), Counter(), 0
+        yield rows(lengths, words, n)
+
+    found = texts.select("source", "field", "text").mapInArrow(run, "source string, field string, measure int, length bigint, word string, n bigint")
+    return checkpointed(found.groupBy("source", "field", "measure", "length", "word").agg(F.sum("n").alias("n")))
+
+
+def judged_texts(texts: DataFrame, key: str, shared) -> DataFrame:
+    """In one pass, two kinds of rows, stored. With ``pattern``: ``n`` closed sentences have it.
+    Without: the texts that no full stop closes or that a mark of omission ends, with ``key, source,
+    field, marked, on_limit, runs, last, broken``.
 
-def sentence_patterns(texts: DataFrame, shared) -> DataFrame:
-    """``pattern, n`` of all closed sentences."""
+    ``broken``: the formula or bracket it ends in is open. ``last``: the word it ends in, if any.
+    """
+    kind = dict(texts.dtypes)[key]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def rows(found):
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["pattern", "n"])
+        frequent, bounds = shared.value
+        names = [key, "source", "field", "marked", "on_limit", "runs", "last", "broken", "pattern", "n"]
+        types = [None, pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.string(), pa.int64()]
+
+        def rows(tails, patterns, key_type):
+            n = len(patterns)
+            columns = [pa.array([t[i] for t in tails] + [None] * n, types[i] or key_type) for i in range(8)]
+            columns += [pa.array([None] * len(tails) + list(patterns), pa.string()), pa.array([0] * len(tails) + list(patterns.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names)
 
-        found: Counter = Counter()
+        found, key_type = Counter(), None
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for sentence in sentences(tokens(text))[0]:
-                    found[" ".join(pattern(sentence, shared.value))] += 1
+            out, key_type = [], batch.schema.field(0).type
+            for k, source, field, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                closed, tail = sentences(tokens(text))
+                for sentence in closed:
+                    found[" ".join(pattern(sentence, frequent))] += 1
+                marked = MARK.search(text) is not None
+                if not tail and not marked:
+                    continue
+                while tail and tail[-1] == ":":
+                    tail.pop()
+                last = tail[-1].lower() if tail and is_word(tail[-1]) else None
+                broken = text.count("$") % 2 == 1 or sum(t in "([{" for t in tail) != sum(t in ")]}" for t in tail)
+                limit = bounds.get((source, field))
+                on_limit = limit is not None and any(length == limit.get(i) for i, length in enumerate(measures(text)))
+                out.append((k, source, field, marked, on_limit, runs(pattern(tail, frequent)) if tail else [], last, broken))
+            if out:
+                yield rows(out, {}, key_type)
             if len(found) > 300_000:
-                yield rows(found)
-                found.clear()
-        yield rows(found)
+                yield rows([], found, key_type)
+                found = Counter()
+        if found:
+            yield rows([], found, key_type)
 
-    return texts.select("text").mapInArrow(run, "pattern string, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
+    schema = f"`{key}` {kind}, source string, field string, marked boolean, on_limit boolean, runs array<string>, last string, broken boolean, pattern string, n bigint"
+    return checkpointed(texts.select(key, "source", "field", "text").mapInArrow(run, schema))
 
 
 def runs(found: list[str]) -> list[str]:
@@ -195,30 +233,6 @@ def run_counts(patterns: DataFrame) -> DataFrame:
     return patterns.mapInPandas(run, "run string, n_end bigint, n_all bigint").groupBy("run").agg(F.sum("n_end").alias("n_end"), F.sum("n_all").alias("n_all"))
 
 
-def open_tails(texts: DataFrame, key: str, shared) -> DataFrame:
-    """``key, source, field, runs, last, broken`` of the texts that no full stop closes.
-
-    ``broken``: the formula or bracket it ends in is open. ``last``: the word it ends in, if any.
-    """
-    kind = dict(texts.dtypes)[key]
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for frame in batches:
-            out = []
-            for k, source, field, text in frame.itertuples(index=False):
-                tail = sentences(tokens(text))[1]
-                while tail and tail[-1] == ":":
-                    tail.pop()
-                last = tail[-1].lower() if tail and is_word(tail[-1]) else None
-                broken = text.count("$") % 2 == 1 or sum(t in "([{" for t in tail) != sum(t in ")]}" for t in tail)
-                out.append((k, source, field, runs(pattern(tail, shared.value)) if tail else [], last, broken))
-            yield pd.DataFrame(out, columns=[key, "source", "field", "runs", "last", "broken"])
-
-    return texts.select(key, "source", "field", "text").mapInPandas(run, f"`{key}` {kind}, source string, field string, runs array<string>, last string, broken boolean")
-
-
 def cut(rows: DataFrame, key: str, columns: list[str], source: str = "source") -> DataFrame:
     """``key, source, field, reason``: the texts that are only the beginning of a longer one.
 
@@ -230,39 +244,32 @@ def cut(rows: DataFrame, key: str, columns: list[str], source: str = "source") -
     source of its own; a text of any length is read whole. An empty table gives no rows.
     """
     texts = fields(rows, key, columns, source)
-    spark = rows.sparkSession
-    marked = texts.where(F.col("text").rlike(MARK_SQL)).select(key, "source", "field", F.lit("mark").alias("reason"))
-    open_texts = texts.where(~F.col("text").rlike(MARK_SQL) & ~F.col("text").rlike("\\.\\s*$"))
-
-    bounds = limits(texts)
-    lengths = measures(F.col("text"))
-    at = F.map_from_arrays(F.array(*(F.lit(m) for m in lengths)), F.array(*lengths.values()))
-    on_limit = open_texts.select(key, "source", "field", F.explode(at).alias("measure", "limit")).join(bounds, ["source", "field", "measure", "limit"]).select(key, "source", "field").distinct()
-
-    words = checkpointed(word_counts(texts))
-    n_texts = texts.count()
+    counts = surveyed(texts)
+    words = counts.where("word is not null").select("word", "n")
+    n_texts = counts.where("word is null and measure is null").agg(F.sum("n")).first()[0] or 0
     # At most (words of a text) / FREQUENT entries, see FREQUENT.
     frequent = {r["word"] for r in words.where(F.col("n") >= max(2, n_texts * FREQUENT)).select("word").collect()}
-    shared = spark.sparkContext.broadcast(frequent)
-    tails = checkpointed(open_tails(open_texts, key, shared).distinct())
-    known = run_counts(sentence_patterns(texts, shared))
-    wanted = tails.select(F.explode("runs").alias("run")).distinct()
-    ends = known.join(wanted, "run")
-    judged = tails.select(key, "field", F.posexplode("runs").alias("k", "run")).join(ends, "run").where(F.col("n_all") >= SUPPORT)
-    longest = judged.groupBy(key, "field").agg(F.max(F.struct("k", (F.col("n_end") / F.col("n_all")).alias("p"))).alias("best")).select(key, "field", F.col("best.p").alias("p_end"))
+    # One entry for each source and field that has a limit, and measure.
+    bounds: dict[tuple[str, str], dict[int, int]] = {}
+    for r in limits(counts.where("measure is not null")).collect():
+        bounds.setdefault((r["source"], r["field"]), {})[r["measure"]] = r["limit"]
+    judged = judged_texts(texts, key, rows.sparkSession.sparkContext.broadcast((frequent, bounds)))
+
+    tails = judged.where("pattern is null").drop("pattern", "n").distinct()
+    patterns = judged.where("pattern is not null").groupBy("pattern").agg(F.sum("n").alias("n"))
+    asked = tails.where("not marked and not on_limit").select(key, "source", "field", F.posexplode("runs").alias("k", "run"))
+    known = run_counts(patterns).join(asked.select("run").distinct(), "run")
+    enough = asked.join(known, "run").where(F.col("n_all") >= SUPPORT)
+    longest = enough.groupBy(key, "source", "field").agg(F.max(F.struct("k", (F.col("n_end") / F.col("n_all")).alias("p"))).alias("best")).select(key, "source", "field", F.col("best.p").alias("p_end"))
     whole = words.select(F.col("word").alias("last"), F.lit(True).alias("known"))
-
-    facts = (
-        tails.drop("runs").join(whole, "last", "left")
-        .join(longest, [key, "field"], "left")
-        .join(on_limit.withColumn("at_limit", F.lit(True)), [key, "source", "field"], "left")
-    )
+    facts = tails.drop("runs").join(whole, "last", "left").join(longest, [key, "source", "field"], "left")
     reason = (
-        F.when(F.col("at_limit"), "limit")
+        F.when(F.col("marked"), "mark")
+        .when(F.col("on_limit"), "limit")
         .when(F.col("broken") | (F.col("last").isNotNull() & F.col("known").isNull()), "word")
         .when(F.coalesce("p_end", F.lit(0.0)) < 0.5, "sentence")
     )
-    return marked.unionByName(facts.select(key, "source", "field", reason.alias("reason")).where("reason is not null")).distinct()
+    return facts.select(key, "source", "field", reason.alias("reason")).where("reason is not null").distinct()
 
 
 def report(rows: DataFrame, key: str, columns: list[str], source: str = "source") -> DataFrame:
