@@ -4,7 +4,7 @@ Each set (a row's distinct words or ids, as 64-bit values) is a *fingerprint*; r
 share it, so any number of exact copies is one entry from the first shuffle on. A band is a random
 order of all values; its key are the two first values of the set in that order, i.e. two rows of
 MinHash without replacement. Orders are weighted: a value of frequency f comes early in proportion
-to f ** -1.5, as two sets that share only what everybody has are not worth verifying; the rarest
+to 1 / f, as two sets that share only what everybody has are not worth verifying; the rarest
 fifth of all occurrences (slips of the pen among them, which nobody shares) weigh the same. The
 frequencies come from a table of fixed size (values hashed to 2**18 counters), so what is broadcast
 doesn't grow with the data; counters that are shared only change weights.
@@ -111,7 +111,7 @@ def frequencies(sets: DataFrame):
     return table
 
 
-def weights_of(table, power: float = 1.5, share: float = 0.2):
+def weights_of(table, power: float = 1.0, share: float = 0.2):
     """Weights of the counters: all alike up to the frequency that ``share`` of occurrences don't pass."""
     import numpy as np
 
@@ -158,7 +158,8 @@ def band_keys(values, starts, weights, bands: int, rows: int = 2):
             if row < rows - 1:
                 ranks[ranks == np.repeat(first, sizes)] = nothing
         out[band] = key.view("int64")
-    return out
+    # Half of the bits are shuffled; two keys that agree in them by chance cost one verification.
+    return out.astype("int32")
 
 
 def own_slots(values):
@@ -208,12 +209,12 @@ def band_rows(sets: DataFrame, bands: int, small: int = 0) -> DataFrame:
                     v = keep[begins[i] : begins[i + 1]].view("uint64")
                     a, b = np.triu_indices(len(v), 0 if 2 * len(v) <= small else 1)
                     with np.errstate(over="ignore"):
-                        extra.append(mixed(mixed(np.minimum(v[a], v[b]), 1 << 20) * np.uint64(3) + np.maximum(v[a], v[b]), 1 << 20).view("int64"))
+                        extra.append(mixed(mixed(np.minimum(v[a], v[b]), 1 << 20) * np.uint64(3) + np.maximum(v[a], v[b]), 1 << 20).view("int64").astype("int32"))
                     owner.append(np.full(len(a), fps[i]))
                 if extra:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(extra)), pa.array(np.concatenate(owner))], ["band", "fp"])
 
-    return sets.select("fp", "items").mapInArrow(run, "band bigint, fp bigint")
+    return sets.select("fp", "items").mapInArrow(run, "band int, fp bigint")
 
 
 def candidates(rows: DataFrame) -> DataFrame:
@@ -253,7 +254,7 @@ def candidates(rows: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([one] * n, pa.list_(pa.int64())), pa.array(rest, pa.list_(pa.int64()))], names)
 
         names = ["a", "b", "left", "right"]
-        keys, fps = np.empty(0, "int64"), np.empty(0, "int64")
+        keys, fps = np.empty(0, "int32"), np.empty(0, "int64")
         for batch in batches:
             keys = np.concatenate([keys, batch.column(0).to_numpy()])
             fps = np.concatenate([fps, batch.column(1).to_numpy()])
