@@ -60,6 +60,8 @@ def as_sets(rows: DataFrame, key: str, values: str) -> DataFrame:
             ends = np.array(ends)
             full = np.flatnonzero(np.diff(ends))
             items = np.array(flat, "int64")
+            # Sorted in each row: equal sets are equal lists, which Spark can then group by hashing.
+            items = items[np.lexsort((items, np.repeat(np.arange(len(ends) - 1), np.diff(ends))))]
             # The fingerprint is a hash of the sum of the values' hashes: the order doesn't matter.
             with np.errstate(over="ignore"):
                 fps = mixed(np.add.reduceat(mixed(items.view("uint64"), 0), ends[full]), 1).view("int64") if len(full) else np.empty(0, "int64")
@@ -279,7 +281,7 @@ def candidates(rows: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, similarity: Column) -> DataFrame:
     """``a, b, sim`` of the pairs for which ``similarity`` (an expression of shared, size_a, size_b)
     is not null, on the full sets of both sides."""
-    unique = sets.groupBy("fp").agg(F.first("items").alias("items"))
+    unique = sets.select("fp", "items").distinct()
     left = pairs.join(unique.select(F.col("fp").alias("a"), F.col("items").alias("items_a")), "a")
     both = left.join(unique.select(F.col("fp").alias("b"), F.col("items").alias("items_b")), "b")
     shared = both.select(
