@@ -14,7 +14,7 @@ from axiomill.llm.components import components
 
 #: Sets at the limit are taken to share this much of what the weighted orders prefer: edits fall on
 #: rare words rather than on frequent ones, so it lies below the limit itself.
-WEIGHTED_AT_LIMIT = 0.51
+WEIGHTED_AT_LIMIT = 0.53
 TARGET_RECALL = 0.99
 
 
@@ -28,7 +28,7 @@ def classes(rows: DataFrame, key: str, values: str, tenths: int = 7) -> tuple[Da
     """(``key, fp``: the class of each row; ``a, b, sim``: the similar pairs of classes)."""
     sets = S.as_sets(rows, key, values)
     bands = S.bands_for(WEIGHTED_AT_LIMIT, TARGET_RECALL)
-    return sets.select(key, "fp").distinct(), S.similar_classes(sets, jaccard_at_least(tenths), bands)
+    return S.similar_classes(sets, key, jaccard_at_least(tenths), bands)
 
 
 def pairs(rows: DataFrame, key: str, values: str, tenths: int = 7) -> DataFrame:

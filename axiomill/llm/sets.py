@@ -60,8 +60,6 @@ def as_sets(rows: DataFrame, key: str, values: str) -> DataFrame:
             ends = np.array(ends)
             full = np.flatnonzero(np.diff(ends))
             items = np.array(flat, "int64")
-            # Sorted in each row: equal sets are equal lists, which Spark can then group by hashing.
-            items = items[np.lexsort((items, np.repeat(np.arange(len(ends) - 1), np.diff(ends))))]
             # The fingerprint is a hash of the sum of the values' hashes: the order doesn't matter.
             with np.errstate(over="ignore"):
                 fps = mixed(np.add.reduceat(mixed(items.view("uint64"), 0), ends[full]), 1).view("int64") if len(full) else np.empty(0, "int64")
@@ -94,23 +92,31 @@ class _Numbers(dict):
         return n
 
 
-def frequencies(sets: DataFrame):
-    """How many rows hold each hashed value: a numpy array of 2**COUNTER_BITS counters."""
+def surveyed(sets: DataFrame, key: str):
+    """(``key, fp`` of all rows, stored; how many rows hold each hashed value: a numpy array of
+    2**COUNTER_BITS counters), in one pass."""
     import numpy as np
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own = np.zeros(1 << COUNTER_BITS, "int64")
+        own, kind = np.zeros(1 << COUNTER_BITS, "int64"), None
+        names = [key, "fp", "slot", "n"]
         for batch in batches:
-            own += np.bincount(own_slots(batch.column(0).flatten().to_numpy()), minlength=1 << COUNTER_BITS)
+            kind = batch.schema.field(0).type
+            own += np.bincount(own_slots(batch.column(2).flatten().to_numpy()), minlength=1 << COUNTER_BITS)
+            nothing = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nothing, nothing], names)
         used = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(own[used])], ["slot", "n"])
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(used), kind), pa.nulls(len(used), pa.int64()), pa.array(used), pa.array(own[used])], names)
 
+    kind = dict(sets.dtypes)[key]
+    found = checkpointed(sets.select(key, "fp", "items").mapInArrow(run, f"`{key}` {kind}, fp bigint, slot bigint, n bigint"))
     table = np.zeros(1 << COUNTER_BITS, "int64")
-    found = sets.select("items").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2**COUNTER_BITS rows
-    table[found["slot"].to_numpy()] = found["n"].to_numpy()
-    return table
+    sums = found.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most 2**COUNTER_BITS rows
+    table[sums["slot"].to_numpy()] = sums["n"].to_numpy()
+    return found.where("fp is not null").select(key, "fp").distinct(), table
 
 
 def weights_of(table, power: float = 1.0, share: float = 0.2):
@@ -171,13 +177,13 @@ def own_slots(values):
     return (mixed(values.view("uint64"), 7) & np.uint64((1 << COUNTER_BITS) - 1)).astype("int64")
 
 
-def band_rows(sets: DataFrame, bands: int, small: int = 0) -> DataFrame:
+def band_rows(sets: DataFrame, table, bands: int, small: int = 0) -> DataFrame:
     """``band, fp``: the keys of every set, each fingerprint once for each task.
 
     Sets of at most ``small`` values also get a key for each pair of their values, and those of at
     most ``small / 2`` one for each value: between small sets nothing is left to chance.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(frequencies(sets))  # 2 MB, whatever the data
+    shared = sets.sparkSession.sparkContext.broadcast(table)  # 2 MB, whatever the data
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -281,7 +287,8 @@ def candidates(rows: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, similarity: Column) -> DataFrame:
     """``a, b, sim`` of the pairs for which ``similarity`` (an expression of shared, size_a, size_b)
     is not null, on the full sets of both sides."""
-    unique = sets.select("fp", "items").distinct()
+    # Sorted by fp, as the joins want it too; copies are dropped in each task before the shuffle.
+    unique = sets.groupBy("fp").agg(F.first("items").alias("items"))
     left = pairs.join(unique.select(F.col("fp").alias("a"), F.col("items").alias("items_a")), "a")
     both = left.join(unique.select(F.col("fp").alias("b"), F.col("items").alias("items_b")), "b")
     shared = both.select(
@@ -290,6 +297,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: Column) -> DataFrame
     return shared.select("a", "b", similarity.alias("sim")).where("sim is not null")
 
 
-def similar_classes(sets: DataFrame, similarity: Column, bands: int, small: int = 0) -> DataFrame:
-    """``a, b, sim``: pairs of different fingerprints, stored in the checkpoint folder."""
-    return checkpointed(verified(candidates(band_rows(sets, bands, small)), sets, similarity))
+def similar_classes(sets: DataFrame, key: str, similarity: Column, bands: int, small: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(``key, fp``: the class of each row; ``a, b, sim``: the similar pairs of classes), both stored."""
+    members, table = surveyed(sets, key)
+    return members, checkpointed(verified(candidates(band_rows(sets, table, bands, small)), sets, similarity))
