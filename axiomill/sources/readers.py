@@ -31,7 +31,7 @@ def lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, at, line``: the place of each line in its file."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
 
 
@@ -190,7 +190,7 @@ def synonyms(spark: SparkSession, path: str) -> DataFrame:
 
 def synonyms_json(spark: SparkSession, path: str) -> DataFrame:
     """``word, rank, related_word`` of a JSON object of lists."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     each = whole.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("word", "list"))
     return each.select("word", F.posexplode("list").alias("at", "related_word")).select("word", (F.col("at") + 1).alias("rank"), "related_word")
 
