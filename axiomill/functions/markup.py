@@ -69,7 +69,7 @@ def is_wordy(text: Column) -> Column:
 
 def plain_text(text: Column) -> Column:
     """Words of two letters or more without special characters, joined by blanks."""
-    parts = F.filter(F.split(text, r"[\s\"'{}\-]+"), lambda w: (F.length(w) >= 2) & w.rlike("^[A-Za-z]+$"))
+    parts = F.filter(F.split(text, r"[\s\"'{}\-]+"), lambda w: (F.length(w) >= 2) & w.rlike(r"^[A-Za-z]+\z"))
     return F.array_join(parts, " ")
 
 

@@ -94,7 +94,7 @@ def is_literal_word(word: Column) -> Column:
 
 
 def is_alphabetic(word: Column) -> Column:
-    return word.rlike(r"^[a-z\s]+$")
+    return word.rlike(r"^[a-z\s]+\z")
 
 
 def escaped_at(text: Column, position: Column) -> Column:

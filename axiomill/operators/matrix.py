@@ -31,7 +31,7 @@ def query_vector(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def paper_words(tokens: DataFrame, papers: DataFrame) -> DataFrame:
     """``paper_id, words``: ``word,count;word,count`` in the order of words. ``papers(thm_id, paper_id)``."""
-    counts = tokens.where(F.col("word").rlike("^[a-z]{3,}$")).join(papers, "thm_id").groupBy("paper_id", W.singular(F.col("word")).alias("word")).agg(F.count("*").alias("n"))
+    counts = tokens.where(F.col("word").rlike(r"^[a-z]{3,}\z")).join(papers, "thm_id").groupBy("paper_id", W.singular(F.col("word")).alias("word")).agg(F.count("*").alias("n"))
     pair = F.concat_ws(",", "word", F.col("n").cast("string"))
     return counts.groupBy("paper_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", pair.alias("p")))), lambda x: x["p"]), ";").alias("words"))
 
@@ -40,7 +40,7 @@ def skipgram_sentences(texts: DataFrame, key: list[str]) -> DataFrame:
     """``key, at, words``: sentences of more than four words of at least three letters, in the
     singular, without let, then, and, have."""
     each = texts.select(*key, F.posexplode(markup.sentences(F.lower("text"))).alias("at", "sentence"))
-    valid = F.filter(F.split("sentence", r"\s+"), lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin("let", "then", "and", "have"))
+    valid = F.filter(F.split("sentence", r"\s+"), lambda w: w.rlike(r"^[a-z]{3,}\z") & ~w.isin("let", "then", "and", "have"))
     return each.select(*key, "at", F.transform(valid, W.singular).alias("words")).where(F.size("words") > 4)
 
 

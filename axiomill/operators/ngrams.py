@@ -23,7 +23,7 @@ def neighbours(tokens: DataFrame, n: int) -> DataFrame:
 
 
 def valid(word: Column, least: int = 3) -> Column:
-    return (F.length(word) >= least) & word.rlike("^[a-z]+$") & ~word.isin(*W.STOP_WORDS)
+    return (F.length(word) >= least) & word.rlike(r"^[a-z]+\z") & ~word.isin(*W.STOP_WORDS)
 
 
 def two_grams(tokens: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def chosen_two_grams(two: DataFrame, words: DataFrame) -> DataFrame:
 def three_grams(tokens: DataFrame) -> DataFrame:
     """``w0, w1, w2, freq``: outer words valid (the last longer than three letters, not ending in
     -ed), the middle one of at least two letters."""
-    ok = valid(F.col("w0")) & F.col("w1").rlike("^[a-z]{2,}$") & valid(F.col("w2"), 4) & ~F.col("w2").rlike("ed$")
+    ok = valid(F.col("w0")) & F.col("w1").rlike(r"^[a-z]{2,}\z") & valid(F.col("w2"), 4) & ~F.col("w2").rlike("ed$")
     runs = neighbours(tokens, 3).where(ok)
     return runs.groupBy("w0", "w1", W.singular(F.col("w2")).alias("w2")).agg(F.count("*").alias("freq"))
 
@@ -90,7 +90,7 @@ def entity_ngrams(tokens: DataFrame, n: int = 4, least: int = 2) -> DataFrame:
     runs = neighbours(tokens, n)
     clean = F.lit(True)
     for i in range(n):
-        clean = clean & F.col(f"w{i}").rlike("^[a-z]+$")
+        clean = clean & F.col(f"w{i}").rlike(r"^[a-z]+\z")
     edge = valid(F.col("w0")) & valid(F.col(f"w{n - 1}")) & ~F.col("w0").rlike("(?:ed|ing)$") & ~F.col(f"w{n - 1}").rlike("(?:ed|ing|ly)$")
     return runs.where(clean & edge).groupBy(F.concat_ws(" ", *(f"w{i}" for i in range(n))).alias("ngram")).agg(F.count("*").alias("freq")).where(F.col("freq") >= least)
 

@@ -16,7 +16,7 @@ STOCK_TOTAL = 450_000_000
 def word_frequency(tokens: DataFrame) -> DataFrame:
     """``word, freq``: singular alphabetic words of at least three letters that aren't stop words."""
     own = W.singular(F.col("word"))
-    kept = tokens.where(F.col("word").rlike("^[a-z]{3,}$") & ~own.isin(*W.STOP_WORDS))
+    kept = tokens.where(F.col("word").rlike(r"^[a-z]{3,}\z") & ~own.isin(*W.STOP_WORDS))
     return kept.groupBy(own.alias("word")).agg(F.count("*").alias("freq"))
 
 

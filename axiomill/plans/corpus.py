@@ -202,7 +202,7 @@ def stem_multiplicity(spark, sf_dir):
     )
 )
 def true_fluff(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select(F.explode(W.split_words(F.col("text"))).alias("w")).where(F.col("w").rlike("^[a-z]{3,}$"))
+    own = table(spark, sf_dir, "documents").select(F.explode(W.split_words(F.col("text"))).alias("w")).where(F.col("w").rlike(r"^[a-z]{3,}\z"))
     stock = own.groupBy(W.singular(F.col("w")).alias("word")).agg(F.count("*").alias("freq"))
     total = stock.agg(F.sum("freq")).first()[0]
     return vocabulary.fluff(vocabulary.corpus_frequency(tokens(spark, sf_dir)), stock, total or 1)

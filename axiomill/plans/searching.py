@@ -352,7 +352,7 @@ def author_name_parts(spark, sf_dir):
     )
 )
 def author_prefilter(spark, sf_dir):
-    own = authors.search(table(spark, sf_dir, "authortb"), "Trairifimi")
+    own = authors.matching(table(spark, sf_dir, "authortb"), authors.parse("Trairifimi"))
     return search.intersection(search.restricted(search.hits(*prepared(spark, sf_dir)), own))
 
 
