@@ -42,22 +42,15 @@ def index_terms(tokens_: DataFrame, ngrams: DataFrame) -> DataFrame:
     window = Window.partitionBy("thm_id", "part").orderBy("pos")
     near = tokens_.select("*", F.lead("word", 1).over(window).alias("w1"), F.lead("word", 2).over(window).alias("w2"))
     own = W.singular(F.col("word"))
-    valid = (F.length("word") >= 3) & ~own.isin(*W.STOP_WORDS)
-    terms = near.select(
-        "thm_id", "part", "pos",
-        F.explode(F.array(
-            F.when(W.is_literal_word(own), own),
-            W.singular_last(F.concat_ws(" ", F.when(F.col("w1").isNotNull(), F.col("word")), "w1")),
-            W.singular_last(F.concat_ws(" ", F.when(F.col("w2").isNotNull(), F.col("word")), F.when(F.col("w2").isNotNull(), F.col("w1")), "w2")),
-        )).alias("word"),
-    ).where(F.col("word").isNotNull() & (F.col("word") != "")) if ngrams is not None else None
-    if terms is None:
-        return near.where(valid & W.is_literal_word(own)).select("thm_id", "part", "pos", own.alias("word"))
-    starts = near.where(valid).select("thm_id", "part", "pos")
-    usable = terms.join(starts, ["thm_id", "part", "pos"], "left_semi")
-    single = usable.where(~F.col("word").contains(" "))
-    listed = usable.where(F.col("word").contains(" ")).join(ngrams.select(F.col("ngram").alias("word")).distinct(), "word", "left_semi")
-    return single.unionByName(listed)
+    starts = near.where(F.length("word") >= 3).withColumn("own", own).where(~F.col("own").isin(*W.STOP_WORDS))
+    single = starts.where(W.is_literal_word(F.col("own"))).select("thm_id", "part", "pos", F.col("own").alias("word"))
+    phrases = F.explode(F.array(
+        F.when(F.col("w1").isNotNull(), F.concat_ws(" ", "word", "w1")),
+        F.when(F.col("w2").isNotNull(), F.concat_ws(" ", "word", "w1", "w2")),
+    ))
+    several = starts.select("thm_id", "part", "pos", phrases.alias("phrase")).where("phrase is not null")
+    listed = several.select("thm_id", "part", "pos", W.singular_last(F.col("phrase")).alias("word")).join(ngrams.select(F.col("ngram").alias("word")).distinct(), "word", "left_semi")
+    return single.unionByName(listed.select("thm_id", "part", "pos", "word"))
 
 
 def postings(terms: DataFrame) -> DataFrame:

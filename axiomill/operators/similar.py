@@ -1,8 +1,9 @@
 """Similar statements for every statement, through the postings.
 
 A statement is asked for by its pieces (sentences); all pieces of all statements are one table and
-one join. Words in more than ``share`` of the statements aren't looked up: they rank nothing, and
-their postings are the square of the collection.
+one join. Words in more than ``share`` of the statements, or in more than POSTINGS, aren't looked up:
+they rank next to nothing, and joining their postings would take the square of the collection. With
+that bound the join grows with the collection.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from axiomill.functions import words as W
 
 #: Least length of a piece, results of a piece and of a statement.
 PIECE, PER_PIECE, RESULTS = 9, 51, 100
+#: Fixed value: the longest posting list that is joined, that of the stored literal index.
+POSTINGS = 300
 
 
 def pieces(statements: DataFrame) -> DataFrame:
@@ -40,7 +43,7 @@ def similar(pieces_: DataFrame, words: DataFrame, share: float = 0.02) -> DataFr
     own = terms.select(F.col("thm_id").alias("other"), "word").distinct()
     df = own.groupBy("word").agg(F.count("*").alias("df"))
     # One row is broadcast; the rare words are joined by the word.
-    rare = df.crossJoin(F.broadcast(total)).where(F.col("df") <= F.greatest(F.lit(2), F.col("total") * share)).join(words, "word").select("word", W.word_score(F.col("freq")).alias("score"))
+    rare = df.crossJoin(F.broadcast(total)).where(F.col("df") <= F.least(F.lit(POSTINGS), F.greatest(F.lit(2), F.col("total") * share))).join(words, "word").select("word", W.word_score(F.col("freq")).alias("score"))
     asked = terms.join(rare, "word")
     known = own.join(rare.select("word"), "word", "left_semi")
     met = asked.join(known, "word").where("thm_id <> other").groupBy("thm_id", "piece", "low", "other").agg(F.sum("score").alias("score"), F.count("*").alias("span"))

@@ -163,7 +163,7 @@ def paper_word_string(spark, sf_dir):
         px AS (SELECT thm_id, piece, low, unnest({Q.split_words('text')}) AS raw FROM pj),
         pt2 AS (SELECT DISTINCT thm_id, piece, low, {Q.singular('raw')} AS word FROM px WHERE {Q.literal_word('raw')} AND NOT regexp_matches(raw, '{Q.SPECIAL}')),
         kn AS (SELECT DISTINCT thm_id AS other, word FROM pt2), dk AS (SELECT word, count(*) AS df FROM kn GROUP BY 1),
-        ra AS (SELECT dk.word, {Q.score('fr.freq')} AS score FROM dk JOIN fr USING (word) WHERE df <= greatest(2, (SELECT count(DISTINCT thm_id) FROM pj) * 0.02e0)),
+        ra AS (SELECT dk.word, {Q.score('fr.freq')} AS score FROM dk JOIN fr USING (word) WHERE df <= least(300, greatest(2, (SELECT count(DISTINCT thm_id) FROM pj) * 0.02e0))),
         mt AS (SELECT pt2.thm_id, piece, low, other, sum(score) AS score, count(*) AS span FROM pt2 JOIN ra USING (word) JOIN kn USING (word) WHERE pt2.thm_id <> other GROUP BY 1, 2, 3, 4),
         kp AS (SELECT * FROM mt QUALIFY row_number() OVER (PARTITION BY thm_id, piece ORDER BY span DESC, score DESC, other) <= 51),
         sg AS (SELECT thm_id, other, CAST(sum(score) AS BIGINT) AS score, CAST(sum(span) AS BIGINT) AS span, min(low) AS low FROM kp GROUP BY 1, 2)""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from axiomill.functions import words as W
@@ -36,9 +37,14 @@ def tokens(spark, sf_dir):
     return index.tokens(parts(spark, sf_dir))
 
 
+def kept_tokens(spark, sf_dir):
+    """As :func:`tokens`, kept in memory or on disk for queries that read them several times."""
+    return tokens(spark, sf_dir).repartition("thm_id").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def grams(spark, sf_dir):
     """(tokens, words, chosen pairs, chosen triples)"""
-    own = tokens(spark, sf_dir)
+    own = kept_tokens(spark, sf_dir)
     words = vocabulary.word_frequency(own)
     two = ngrams.two_grams(own)
     return own, words, ngrams.chosen_two_grams(two, words), ngrams.chosen_three_grams(ngrams.three_grams(own), two)
