@@ -232,3 +232,23 @@ def fused(first: DataFrame, second: DataFrame, n_words: DataFrame, most: int = N
 def in_given_order(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of listed ids (``thm_id, rank``), in the list's order."""
     return rows.join(ids, "thm_id").orderBy("rank")
+
+
+def tagged_words(queries: DataFrame) -> DataFrame:
+    """``query_id, pos, word, part, extra``: words of a query as of a hypothesis (H) or statement (T).
+
+    A trigger word (assume, let, if ..) starts a hypothesis, punctuation ends it; trigger words aren't
+    kept. Of a clause after where, if or when with a concluding verb (is, are, has, have) the words
+    count for the statement, with one extra point. Clauses are the parts between punctuation, so a
+    clause's rows are one window.
+    """
+    clauses = queries.where("text is not null").select("query_id", F.posexplode(F.split(F.lower("text"), r"[.,;:!?]")).alias("clause", "c"))
+    each = clauses.select("query_id", "clause", F.posexplode(F.filter(F.split("c", r"\s+"), lambda w: w != "")).alias("at", "word"))
+    trigger = F.col("word").isin("assume", "denote", "define", "let", "suppose", "where", "if", "when", "given")
+    window = Window.partitionBy("query_id", "clause").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(trigger, F.col("word")), True).over(window)
+    marked = each.withColumn("trigger", last).where(~trigger)
+    concluding = F.max((F.col("word").isin("is", "are", "has", "have") & F.col("trigger").isin("where", "if", "when")).cast("int")).over(Window.partitionBy("query_id", "clause", "trigger"))
+    out = marked.withColumn("conclusion", F.coalesce(concluding, F.lit(0)))
+    part = F.when(F.col("trigger").isNull() | (F.col("conclusion") == 1), "T").otherwise("H")
+    return out.select("query_id", (F.col("clause") * 1000 + F.col("at")).alias("pos"), "word", part.alias("part"), F.when(F.col("trigger").isNotNull(), F.col("conclusion")).otherwise(0).alias("extra"))
