@@ -172,7 +172,7 @@ def paper_word_string(spark, sf_dir):
 )
 def similar_statements(spark, sf_dir):
     words = vocabulary.word_frequency(corpus.tokens(spark, sf_dir))
-    return similar.similar(similar.pieces(corpus.statements(spark, sf_dir)), words)
+    return similar.similar(similar.pieces(corpus.statements(spark, sf_dir)), words, about=table(spark, sf_dir, "thmhyptb").count())
 
 
 @query(
