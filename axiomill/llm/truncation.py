@@ -10,7 +10,9 @@ Two signs are joined:
   must be one after which sentences do end. Rare words and formulas are wildcards in such runs, so
   the model is a table of phrase patterns and not of the texts themselves.
 
-A text that ends as sentences do but lacks the mark is complete, unless it sits on a limit.
+A text that ends as sentences do but lacks the mark is complete, unless it sits on a limit. On a
+limit a full stop closes no text if white space follows it or an abbreviation precedes it; after a
+number the endings decide.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ PILE, TIMES = 5, 6
 #: Marks of omission.
 MARK = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.|more|truncated|cut)\]|\((?:…|\.\.\.|more|truncated|cut|continued)\))\s*$", re.I)
 
+#: What a full stop ends without ending the sentence.
+_STOPPED = re.compile(r"\b(?:al|cf|ch|cor|def|defs|e\.g|eq|eqs|esp|etc|fig|figs|i\.e|lem|no|nos|p|pp|prop|ref|refs|resp|sec|st|thm|viz|vol|vs|w\.r\.t)\.$", re.I)
+_NUMBERED = re.compile(r"(?<![^\W\d_])\d\.$")
+
 _TOKEN = re.compile(r"\$[^$]*\$|\d+\.\d+|[^\W_]+|[^\s\w]|_")
 
 
@@ -159,8 +165,9 @@ def surveyed(texts: DataFrame) -> DataFrame:
 
 def judged_texts(texts: DataFrame, key: str, shared) -> DataFrame:
     """In one pass, two kinds of rows, stored. With ``pattern``: ``n`` closed sentences have it.
-    Without: the texts that no full stop closes or that a mark of omission ends, with ``key, source,
-    field, marked, on_limit, runs, last, broken``.
+    Without: the texts that no full stop closes, that a mark of omission ends, or that sit on a limit
+    with a full stop that needn't close them, with ``key, source, field, marked, on_limit, runs,
+    last, broken``. After a number ``on_limit`` is false there, so that the endings decide.
 
     ``broken``: the formula or bracket it ends in is open. ``last``: the word it ends in, if any.
     """
@@ -187,14 +194,21 @@ def judged_texts(texts: DataFrame, key: str, shared) -> DataFrame:
                 for sentence in closed:
                     found[" ".join(pattern(sentence, frequent))] += 1
                 marked = MARK.search(text) is not None
+                limit, on_limit = bounds.get((source, field)), None
                 if not tail and not marked:
-                    continue
+                    if limit is None:
+                        continue
+                    end = text[-12:]
+                    open_ = end[-1].isspace() or _STOPPED.search(end) is not None
+                    if not (open_ or _NUMBERED.search(end)) or not any(length == limit.get(i) for i, length in enumerate(measures(text))):
+                        continue
+                    tail, on_limit = list(closed[-1]) if closed else [], open_
                 while tail and tail[-1] == ":":
                     tail.pop()
                 last = tail[-1].lower() if tail and is_word(tail[-1]) else None
                 broken = text.count("$") % 2 == 1 or sum(t in "([{" for t in tail) != sum(t in ")]}" for t in tail)
-                limit = bounds.get((source, field))
-                on_limit = limit is not None and any(length == limit.get(i) for i, length in enumerate(measures(text)))
+                if on_limit is None:
+                    on_limit = limit is not None and any(length == limit.get(i) for i, length in enumerate(measures(text)))
                 out.append((k, source, field, marked, on_limit, runs(pattern(tail, frequent)) if tail else [], last, broken))
             if out:
                 yield rows(out, {}, key_type)
@@ -236,7 +250,8 @@ def run_counts(patterns: DataFrame) -> DataFrame:
 def cut(rows: DataFrame, key: str, columns: list[str], source: str = "source") -> DataFrame:
     """``key, source, field, reason``: the texts that are only the beginning of a longer one.
 
-    ``reason`` is 'mark' (a mark of omission ends it), 'limit' (open, and on a limit of its source),
+    ``reason`` is 'mark' (a mark of omission ends it), 'limit' (open, and on a limit of its source;
+    also after a full stop with white space behind or an abbreviation before it),
     'word' (it ends in a word that is nowhere whole, or in an open formula or bracket) or 'sentence'
     (sentences don't end there).
 

@@ -65,3 +65,18 @@ def test_a_long_text_is_read_whole(spark):
     text = "The kernel of $f$ is spanned by a monolatoid. " * 3000
     items = [(1, "a", text + "The kernel of $f$ is spa", None, "x", "x"), (2, "a", text, None, "x", "x")]
     assert [r["id"] for r in T.cut(rows(spark, items), "id", ["thm", "hyp"]).collect()] == [1]
+
+
+def test_a_full_stop_on_a_limit(spark):
+    texts = [t + (f" It is bounded by {i}.{i} times its rank." if i % 4 == 0 else "") for i, t in enumerate(corpus())]
+    items = [(i, "whole", t, None, "x", "x") for i, t in enumerate(texts)]
+    items += [(1000 + i, "form", t[:60], None, "x", "x") for i, t in enumerate(texts[:60])]
+
+    def ended(end, most=60):
+        return "Every monolatoid of $X_{3}$ admits a polyveroid refinement of the kernel"[: most - len(end)] + end
+
+    items += [(2000 + i, "form", ended(e), None, "x", "x") for i, e in enumerate((". ", " cf.", " resp.", " bounded by 5701.", " a monolatoid of order 3.", " mono."))]
+    items += [(3000 + i, "form", ended(e, 50), None, "x", "x") for i, e in enumerate((". ", " cf.", " bounded by 5701."))]
+    items += [(4000, "whole", texts[0] + " ", None, "x", "x")]
+    got = {(r["id"], r["reason"]) for r in T.cut(rows(spark, items), "id", ["thm", "hyp"]).collect() if r["id"] >= 2000}
+    assert got == {(2000, "limit"), (2001, "limit"), (2002, "limit"), (2003, "sentence")}
