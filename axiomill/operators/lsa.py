@@ -67,14 +67,18 @@ def threshold(pairs: DataFrame) -> DataFrame:
 
 
 def correlated(entries: DataFrame, n_rows: int) -> DataFrame:
-    """``i, j, c``: correlations of different terms of at least 0.5, from sparse sums."""
+    """``i, j, c``: correlations of different terms of at least 0.5, from sparse sums. A term of the
+    same weight everywhere has none."""
     sums = entries.groupBy("word_idx").agg(F.sum("weight").alias("s"), F.sum(F.col("weight") * F.col("weight")).alias("ss"))
     a, b = entries.select("thm_id", F.col("word_idx").alias("i"), F.col("weight").alias("wi")), entries.select("thm_id", F.col("word_idx").alias("j"), F.col("weight").alias("wj"))
     products = a.join(b, "thm_id").where("i < j").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("p"))
     left, right = sums.select(F.col("word_idx").alias("i"), F.col("s").alias("si"), F.col("ss").alias("ssi")), sums.select(F.col("word_idx").alias("j"), F.col("s").alias("sj"), F.col("ss").alias("ssj"))
     n = F.lit(float(n_rows))
     both = products.join(left, "i").join(right, "j")
-    c = (F.col("p") - F.col("si") * F.col("sj") / n) / F.sqrt((F.col("ssi") - F.col("si") ** 2 / n) * (F.col("ssj") - F.col("sj") ** 2 / n))
+    # Below this share of the sum of squares the variance is a rounding error.
+    vi, vj = (F.col(f"ss{x}") - F.col(f"s{x}") ** 2 / n for x in "ij")
+    varied = (vi > F.col("ssi") * 1e-12) & (vj > F.col("ssj") * 1e-12)
+    c = F.when(varied, (F.col("p") - F.col("si") * F.col("sj") / n) / F.sqrt(vi * vj))
     return both.select("i", "j", c.alias("c")).where(F.col("c") >= CORRELATION_FLOOR)
 
 

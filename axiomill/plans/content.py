@@ -217,7 +217,8 @@ def knn_label_vote(spark, sf_dir):
 def lsa_svd(spark, sf_dir):
     vocab = checkpointed(corpus.vocab(spark, sf_dir))
     entries = checkpointed(matrix.entries(corpus.terms(spark, sf_dir), vocab))
-    vectors, _, _ = lsa.trained(entries, vocab.count(), 10)
+    correlations = lsa.correlated(entries, corpus.statements(spark, sf_dir).count())
+    vectors, _, _ = lsa.trained(checkpointed(lsa.spread(entries, correlations)), vocab.count())
     return vectors
 
 
