@@ -175,10 +175,14 @@ WHOLE = ("s", "hypo", "vp", "np", "pp", "adj")
 
 
 def parse(sentence: str) -> list[Node]:
-    """The best derivation of the sentence, or of the fewest pieces that cover it."""
-    nodes = items(tagged(sentence))[:MOST_ITEMS]
-    if not nodes:
-        return []
+    """The best derivation of the sentence, or of the fewest pieces that cover it. More than MOST_ITEMS
+    are parsed in consecutive parts, so that no derivation spans such a sentence."""
+    nodes = items(tagged(sentence))
+    return [piece for i in range(0, len(nodes), MOST_ITEMS) for piece in derived(nodes[i : i + MOST_ITEMS])]
+
+
+def derived(nodes: list[Node]) -> list[Node]:
+    """The fewest pieces that cover the items, of the greatest weight."""
     cells, n = chart(nodes), len(nodes)
     best: list[tuple[int, float, tuple]] = [(0, 0.0, ())]
     for j in range(1, n + 1):
