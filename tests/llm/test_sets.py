@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from axiomill.llm import near_duplicates, neighbours
 from axiomill.llm import sets as S
@@ -46,11 +47,77 @@ def test_groups(spark):
     assert got == {0: (0, 1), 1: (0, 1), 2: (0, 2), 3: (3, 0), 5: (0, 1)}
 
 
-def test_a_large_band_loses_no_pair(spark):
-    fps = list(range(-200, 137))
-    rows = spark.createDataFrame([(7, f) for f in fps] + [(7, fps[0]), (8, 1), (8, 2), (9, 5)], "band int, fp bigint")
-    got = {(r["a"], r["b"]) for r in S.candidates(rows).collect()}
-    assert got == set(combinations(fps, 2))
+def band(spark, sets):
+    """BAND_ROWS of one band in which all ``sets`` (fp -> values) have one key, the sets, and their survey."""
+    rows = spark.createDataFrame([(fp, fp, v) for fp, v in sets.items()], "id bigint, fp bigint, items array<bigint>")
+    survey = S.surveyed(rows, "id")
+    own = S.Sets(np.array([x for v in sets.values() for x in v], "int64"), np.cumsum([0, *map(len, sets.values())]), S.weights_of(survey.table))
+    s0, s1 = own.sketches()
+    out = [(0, 77, fp, int(a), int(b), len(v)) for (fp, v), a, b in zip(sets.items(), s0, s1, strict=True)]
+    return spark.createDataFrame(out, S.BAND_ROWS), rows, survey
+
+
+def anything():
+    return near_duplicates.jaccard_at_least(0).possible
+
+
+def test_a_band_loses_no_pair(spark):
+    sets = {fp: [1, 2, 1000 + fp] for fp in range(-200, 137)}
+    rows, of, survey = band(spark, sets)
+    got = {(r["a"], r["b"]): r["met"] for r in S.candidates(rows.unionAll(rows.limit(9)), of, survey, range(1), 1, anything()).collect()}
+    assert got == dict.fromkeys(combinations(sets, 2), 1)
+
+
+def test_hot_bands_are_banded_again_and_then_split_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 100)
+    monkeypatch.setattr(S, "BLOCK", 50)
+    rng = random.Random(6)
+    families = [rng.sample(range(100, 2000), 9) for _ in range(60)]
+    sets = {i: [1, *rng.choice(families), 5000 + i] for i in range(700)}
+    rows, of, survey = band(spark, sets)
+    similar = near_duplicates.jaccard_at_least(7).possible
+    want = {(i, j) for i, j in combinations(sets, 2) if len(set(sets[i]) & set(sets[j])) * 10 >= len(set(sets[i]) | set(sets[j])) * 7}
+    got = {(r["a"], r["b"]) for r in S.candidates(rows, of, survey, range(12), 1, similar).collect()}
+    assert len(want) > 1000 and len(got & want) >= 0.99 * len(want)
+    alike = {i: [1, 2, 3, 4 + i % 2] for i in range(330)}  # sets that no band can tell apart
+    rows, of, survey = band(spark, alike)
+    hot = rows.withColumn("band", F.lit(S.FURTHER)).select(F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), *rows.columns)
+    assert {(r["a"], r["b"]) for r in S.block_pairs(hot, anything()).collect()} == set(combinations(alike, 2))
+
+
+def test_a_band_of_very_many_sets_runs_in_several_tasks(spark):
+    """10**5 sets have one value in common, which comes first in a tenth of them: 50,000 pairs."""
+    family = F.pmod("id", F.lit(50_000))
+    rows = spark.range(100_000).select("id", F.xxhash64("id").alias("fp"), F.array(F.lit(1).cast("bigint"), *((family * 31 + i * 7_000_003).cast("bigint") for i in range(8)), F.col("id") + 10**12).alias("items"))
+    survey = S.surveyed(rows, "id")
+    assert survey.n_sets == 100_000 and len(survey.sample[1]) == 4 * S.TASK_SAMPLE + 1
+    survey.table[:] = 1  # all orders alike
+    plain = S.band_rows(rows, survey, range(8), 1)
+    assert len(S.hot_keys(survey, range(8), 1)) and plain.where(F.col("band") >= S.FURTHER).count()
+    found = S.candidates(plain, rows, survey, range(8), 1, near_duplicates.jaccard_at_least(7).possible)
+    assert found.count() >= 0.99 * 50_000
+    assert found.rdd.getNumPartitions() > 1
+
+
+def test_sketches_never_dismiss_a_similar_pair(spark):
+    rng = np.random.default_rng(1)
+    sets = [rng.choice(300, rng.integers(1, 200), replace=False).astype("int64") for _ in range(120)]
+    own = S.Sets(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), np.ones(1 << S.COUNTER_BITS))
+    rows = [np.arange(120), *own.sketches(), own.sizes()]
+    i, j = np.triu_indices(120, 1)
+    shared = np.array([len(set(sets[x]) & set(sets[y])) for x, y in zip(i, j)])
+    for limit in (near_duplicates.jaccard_at_least(7).possible, near_duplicates.jaccard_at_least(3).possible, neighbours.squared_cosine().possible):
+        is_similar = limit(shared, own.sizes()[i], own.sizes()[j])
+        assert not (is_similar & ~S.near(rows, i, j, limit)).any()
+
+
+def test_more_bands_follow_where_too_many_pairs_met_once(spark):
+    values = texts()
+    rows = spark.createDataFrame(list(enumerate(values)), "id int, thm string")
+    sets = S.as_sets(rows, "id", "thm")
+    _, few = S.similar_classes(sets, "id", near_duplicates.jaccard_at_least(7), 0.999, 0.99)  # bands far too few for the limit
+    want = {p for p in jaccard_pairs(values, 7) if set(values[p[0]].split()) != set(values[p[1]].split())}
+    assert few.count() >= 0.97 * len({frozenset((frozenset(values[a].split()), frozenset(values[b].split()))) for a, b in want})
 
 
 def nearest(lists, k):
@@ -110,8 +177,17 @@ def test_components(spark):
 def test_bands_depend_on_the_set_alone():
     weights = np.ones(1 << S.COUNTER_BITS)
     values = np.array([5, 9, 12, 5, 9, 12, 40, 3], "int64")
-    keys = S.band_keys(values, np.array([0, 3, 6, 8]), weights, 6)
-    assert (keys[:, 0] == keys[:, 1]).all() and (keys[:, 0] != keys[:, 2]).all()
-    alone = S.band_keys(values[3:6], np.array([0, 3]), weights, 6)
-    assert (alone[:, 0] == keys[:, 0]).all()
+    many, alone = S.Sets(values, np.array([0, 3, 6, 8]), weights), S.Sets(values[3:6], np.array([0, 3]), weights)
+    for b in range(6):
+        keys, taken = many.keys(b, 2)
+        assert keys[0] == keys[1] == alone.keys(b, 2)[0][0] != keys[2]
+        assert taken.reshape(-1)[:3].sum() == 2 and (taken[:3] == taken[3:6]).all()
     assert S.bands_for(0.5, 0.99) == 17
+    assert S.rows_for(np.full(1000, 10), 1000) == 1 and S.rows_for(np.full(1000, 10), 10**6) == 2
+
+
+def test_lists_that_share_one_frequent_id(spark):
+    lists = {i: [1, 100 + i] for i in range(300)} | {1000 + i: [1] for i in range(3)} | {2000 + i: [1, 2, 3, 3000 + i] for i in range(20)}
+    rows = spark.createDataFrame(list(lists.items()), "id int, ids array<int>")
+    got = {(r["a"], r["b"]) for r in neighbours.neighbour_pairs(rows, "id", "ids").collect()}
+    assert got == nearest(lists, 5)
