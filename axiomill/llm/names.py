@@ -4,9 +4,9 @@
    fall away, and every token becomes a full word, an initial or an abbreviation.
 2. Tokens are compared through a symmetric-delete index: two tokens within one edit share a form
    with one character deleted. A token is taken for a slip of its most frequent neighbour.
-3. Spellings that read the same are one *form*. Forms that share a rare token and the first letter
-   of the next are aligned: an optimal assignment of tokens in which an initial, an abbreviation
-   or a short name may stand for a full one.
+3. Spellings that read the same are one *form*. Forms that share a full token, and another one that
+   is the same or the beginning of the other's, are aligned: an optimal assignment of tokens in which
+   an initial, an abbreviation or a short name may stand for a full one.
 4. A less specific form (E. Weber) is linked to more specific ones (Emil Weber) only if those name
    one person: if Emil and Erika Weber both occur, it is left alone.
 
@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from itertools import permutations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axiomill.llm.components import components
+from axiomill.llm.pairs import met as joined
+from axiomill.llm.pairs import within
 from axiomill.session import checkpointed
 
 #: Tokens that name nobody.
@@ -32,11 +34,12 @@ TITLES = frozenset("dr prof professor mr mrs ms miss sir dame phd md jr sr ii ii
 LINKING = frozenset("the for of and in at on to a an de la le du des der die das und et y fur".split())
 #: Letters that Unicode doesn't decompose.
 LETTERS = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "œ": "oe", "ı": "i", "þ": "th"})
-#: Tokens shorter than this are compared as they are.
+#: Tokens of one letter are never slips; in those shorter than LEAST an edit leaves little to go by.
 LEAST = 4
 #: A token is a slip of a neighbour if at most RARE spellings have it and the neighbour has as many,
-#: or if the neighbour has TIMES as many.
-RARE, TIMES = 3, 4
+#: or if the neighbour has TIMES as many; a token shorter than LEAST if at most RARE spellings have it,
+#: the neighbour has SHORT_TIMES as many and begins alike.
+RARE, TIMES, SHORT_TIMES = 3, 4, 16
 
 _TEX = re.compile(r"""\\["'`^~=.]\s*(?:\{\s*\\?([A-Za-z])\s*\}|\\?([A-Za-z]))|\\[vcuHkrdbt]\s*\{\s*\\?([A-Za-z])\s*\}""")
 _SPLIT = re.compile(r"[\s,;/&()]+")
@@ -114,7 +117,7 @@ def corrections(names: DataFrame, given: DataFrame) -> DataFrame:
     ``given`` (``given_name, short_name``) holds known names, which are never slips.
     """
     full = names.select(F.explode(F.arrays_zip("tokens", "kinds")).alias("t")).where("t.kinds = 'full'")
-    counts = full.groupBy(F.col("t.tokens").alias("token")).count().where(F.length("token") >= LEAST)
+    counts = full.groupBy(F.col("t.tokens").alias("token")).count().where("length(token) >= 2")
     known = given.select(F.explode(F.array(F.lower("given_name"), F.lower("short_name"))).alias("token")).distinct()
     counts = checkpointed(counts.join(known.withColumn("known", F.lit(True)), "token", "left").select("token", "count", F.coalesce("known", F.lit(False)).alias("known")))
 
@@ -131,7 +134,9 @@ def corrections(names: DataFrame, given: DataFrame) -> DataFrame:
     slips = index.where(~F.col("known")).select("key", "token", "n")
     right = index.select("key", F.col("token").alias("right"), F.col("n").alias("m"), F.col("known").alias("right_known"))
     met = slips.join(right, "key").where("token <> right and (m > n or (m = n and right < token))")
-    rare = (F.col("n") <= RARE) | (F.col("m") >= F.col("n") * TIMES)
+    short = F.least(F.length("token"), F.length("right")) < LEAST
+    clear = (F.col("n") <= RARE) & (F.col("m") >= F.col("n") * SHORT_TIMES) & (F.substring("token", 1, 1) == F.substring("right", 1, 1))
+    rare = F.when(short, clear).otherwise((F.col("n") <= RARE) | (F.col("m") >= F.col("n") * TIMES))
     pairs = met.where(rare).select("token", "right", "n", "m", "right_known").distinct()
 
     @F.pandas_udf("boolean")
@@ -181,76 +186,143 @@ def stands_for(a: tuple[str, str], b: tuple[str, str]) -> int | None:
     return None
 
 
+def assignment(costs: list[list[float]]) -> list[int]:
+    """The column of each row in an assignment of least cost (shortest augmenting paths, O(n³)); no more
+    rows than columns."""
+    n, m = len(costs), len(costs[0])
+    u, v, row_of, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], j = i, 0
+        least, seen = [float("inf")] * (m + 1), [False] * (m + 1)
+        while row_of[j]:
+            seen[j] = True
+            here, step, following = row_of[j], float("inf"), 0
+            for k in range(1, m + 1):
+                if not seen[k]:
+                    now = costs[here - 1][k - 1] - u[here] - v[k]
+                    if now < least[k]:
+                        least[k], way[k] = now, j
+                    if least[k] < step:
+                        step, following = least[k], k
+            for k in range(m + 1):
+                if seen[k]:
+                    u[row_of[k]] += step
+                    v[k] -= step
+                else:
+                    least[k] -= step
+            j = following
+        while j:
+            row_of[j] = row_of[way[j]]
+            j = way[j]
+    out = [0] * n
+    for k in range(1, m + 1):
+        if row_of[k]:
+            out[row_of[k] - 1] = k - 1
+    return out
+
+
+def rest(tokens: list[tuple[str, str]], alike: Counter) -> list[tuple[str, str]]:
+    """``tokens`` without those of ``alike``, as often as it has them."""
+    left, out = Counter(alike), []
+    for t in tokens:
+        if left[t]:
+            left[t] -= 1
+        else:
+            out.append(t)
+    return out
+
+
+#: The cost of tokens that can't stand for each other, and of a unit against the order of tokens.
+NEVER, UNIT = 1e12, 1e4
+
+
 def aligned(one: str, two: str) -> tuple[int, int] | None:
     """(what ``one`` lacks, what ``two`` lacks) in the best assignment of tokens, or None.
 
     All tokens of the form with fewer must be assigned and one of them alike in full; only initials
     may be left over in the other. What a form lacks counts its initials and abbreviations that
-    stand for full words, and the initials it doesn't have.
+    stand for full words, and the initials it doesn't have. Of equally good assignments the one that
+    keeps the order counts: D. S. isn't S. D. Forms may have any number of tokens.
     """
     a, b = parsed(one), parsed(two)
     swapped = len(a) > len(b)
     if swapped:
         a, b = b, a
-    if not a or len(b) > 8 or len(b) - len(a) > 2:
-        return None
-    best = None
-    # Full tokens that are alike are assigned to each other; of the rest all ways are tried.
-    alike = {t for t in a if t[1] == "full"} & {t for t in b if t[1] == "full"}
+    # Full tokens that are alike are assigned to each other; the rest are assigned at the least cost.
+    alike = Counter(t for t in a if t[1] == "full") & Counter(t for t in b if t[1] == "full")
     if not alike:
         return None
-    rest_a, rest_b = [t for t in a if t not in alike], [t for t in b if t not in alike]
-    if len(rest_a) > 5 or len(rest_b) > 6:
+    rest_a, rest_b = rest(a, alike), rest(b, alike)
+    if len(rest_a) > len(rest_b) or Counter(t[0] for t, _ in rest_a) - Counter(t[0] for t, _ in rest_b):
         return None
-    for chosen in permutations(range(len(rest_b)), len(rest_a)):
-        costs = [stands_for(x, rest_b[i]) for x, i in zip(rest_a, chosen, strict=True)]
-        left = [t for i, t in enumerate(rest_b) if i not in chosen]
-        if None in costs or any(t[1] != "initial" for t in left):
-            continue
-        lack_a, lack_b = len(left), 0
-        for x, i, c in zip(rest_a, chosen, costs, strict=True):
-            if c:
-                if len(x[0]) < len(rest_b[i][0]):
+    if sum(kind != "initial" for _, kind in rest_b) > len(rest_a):
+        return None
+    lack_a = lack_b = 0
+    if rest_b:
+        costs = [[NEVER if (c := stands_for(x, y)) is None else c * UNIT + abs(i - j) for j, y in enumerate(rest_b)] for i, x in enumerate(rest_a)]
+        spare = [UNIT if kind == "initial" else NEVER for _, kind in rest_b]
+        costs += [spare] * (len(rest_b) - len(rest_a))
+        chosen = assignment(costs)
+        if any(costs[i][j] >= NEVER for i, j in enumerate(chosen)):
+            return None
+        lack_a = len(rest_b) - len(rest_a)
+        for x, j in zip(rest_a, chosen):
+            if stands_for(x, rest_b[j]):
+                if len(x[0]) < len(rest_b[j][0]):
                     lack_a += 1
                 else:
                     lack_b += 1
-        # Initials keep their order: D. S. isn't S. D.
-        moved = sum(x > y for x, y in zip(chosen, chosen[1:]))
-        score = (sum(costs) + len(left), moved)
-        if best is None or score < best[0]:
-            best = (score, (lack_a, lack_b))
-    if best is None:
-        return None
-    return best[1][::-1] if swapped else best[1]
+    return (lack_b, lack_a) if swapped else (lack_a, lack_b)
+
+
+def stem_of(token: str) -> str:
+    return token[:-1] if token.endswith("s") and len(token) > 4 else token
 
 
-def keys(form: str, known: frozenset) -> list[str]:
-    """Blocks of a form: each full token that isn't a known given name, with the first letter of
-    the first other token; only if there is no such token, the given names."""
-    found = parsed(form)
-    full = [t for t, kind in found if kind == "full"]
-    anchors = [t for t in full if t not in known] or full
-    out = []
+def keys(found: list[tuple[str, str, bool]]) -> set[tuple[str, str]]:
+    """(side, key) of a form's tokens (token, kind, known given name).
+
+    Each full token that isn't a known given name is an anchor (if there is none, the given names
+    are), and each other token of the form makes keys with it: '=' the token itself; 's' what it may
+    stand for, if it is an initial, an abbreviation or long enough for one; 'p' its beginnings. Forms
+    that align share an anchor and '=' with '=' or 's' with 'p'.
+    """
+    full = [(t, known) for t, kind, known in found if kind == "full"]
+    anchors = {t for t, known in full if not known} or {t for t, _ in full}
+    out = set()
     for anchor in anchors:
-        others = [t for t, _ in found if t != anchor]
-        out += sorted({f"{anchor} {t[0]}" for t in others}) or [f"{anchor} "]
+        for token, kind, _ in found:
+            if token == anchor:
+                continue
+            out.add(("=", f"{anchor} {token}"))
+            if kind != "full" or len(stem_of(token)) >= 4:
+                out.add(("s", f"{anchor} {stem_of(token) if kind != 'initial' else token}"))
+            out |= {("p", f"{anchor} {token[:n]}") for n in range(1, len(token))}
     return out
 
 
 def links(known_forms: DataFrame, given: DataFrame) -> DataFrame:
     """``a, b``: forms (a <> b) that name the same person or organisation."""
-    # A fixed table of common names.
-    known = frozenset(x for r in given.collect() for x in (r["given_name"].lower(), r["short_name"].lower()))
+    known = given.select(F.explode(F.array(F.lower("given_name"), F.lower("short_name"))).alias("token")).where("token is not null").distinct().withColumn("known", F.lit(True))
+    each = known_forms.select("form", F.posexplode(F.split("form", " ")).alias("at", "t")).select("form", "at", F.regexp_extract("t", "^(.*)/", 1).alias("token"), F.regexp_extract("t", "/([a-z]+)$", 1).alias("kind"))
+    tokens = each.join(known, "token", "left").groupBy("form").agg(F.array_sort(F.collect_list(F.struct("at", "token", "kind", F.coalesce("known", F.lit(False)).alias("known")))).alias("found"))
 
     def block(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for frame in batches:
-            out = [(k, f) for f in frame["form"] for k in keys(f, known)]
-            yield pd.DataFrame(out, columns=["key", "form"])
+            out = [(side, k, f) for f, found in zip(frame["form"], frame["found"], strict=True) for side, k in keys([(t["token"], t["kind"], t["known"]) for t in found])]
+            yield pd.DataFrame(out, columns=["side", "key", "form"])
+
+    blocks = checkpointed(tokens.mapInPandas(block, "side string, key string, form string"))
+
+    def side(of: str, name: str) -> DataFrame:
+        return blocks.where(F.col("side") == of).select("key", F.col("form").alias(name))
 
-    blocks = known_forms.mapInPandas(block, "key string, form string")
-    pairs = blocks.select("key", F.col("form").alias("a")).join(blocks.select("key", F.col("form").alias("b")), "key").where("a < b").select("a", "b").distinct()
+    # Forms with a token alike, and forms of which one stands for the other's: a name's initial meets
+    # its full names, but full names don't meet each other.
+    pairs = within(blocks.where("side = '='").select("key", "form"), "key", "form").unionAll(joined(side("s", "a"), side("p", "b"), "key"))
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def align(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -266,11 +338,12 @@ def links(known_forms: DataFrame, given: DataFrame) -> DataFrame:
     met = checkpointed(pairs.mapInPandas(align, "a string, b string, lack_a int, lack_b int"))
     # Each link from the less specific form to the more specific one; alike forms both ways.
     both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("lack_b").alias("lack_a"), F.col("lack_a").alias("lack_b")))
-    up = both.where("lack_a >= lack_b and not (lack_a = lack_b and lack_a > 0)")
+    above = checkpointed(both.where("lack_a >= lack_b and not (lack_a = lack_b and lack_a > 0)").select("a", "b"))
     # A form is tied to those above it if they are tied to one another: as many pairs of them are
-    # aligned as there are.
-    above = up.select("a", "b")
-    mutual = above.join(above.select("a", F.col("b").alias("c")), "a").where("b < c").join(met.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"]).groupBy("a").agg(F.count("*").alias("n_mutual"))
+    # aligned as there are. Counted from the aligned pairs down to what stands below both, so that an
+    # initial with very many full names above it doesn't pair them.
+    below = met.select(F.col("a").alias("b"), F.col("b").alias("c")).join(above, "b").join(above.select("a", F.col("b").alias("c")), ["a", "c"])
+    mutual = below.groupBy("a").agg(F.count("*").alias("n_mutual"))
     n_above = above.groupBy("a").agg(F.count("*").alias("n"))
     clear = n_above.join(mutual, "a", "left").where(F.coalesce("n_mutual", F.lit(0)) * 2 == F.col("n") * (F.col("n") - 1)).select("a")
     return above.join(clear, "a").select("a", "b")
@@ -296,6 +369,4 @@ def variants(rows: DataFrame, author: str, given: DataFrame) -> DataFrame:
     Null authors are left out, repeated rows count once, ``given`` may be empty. An empty table
     gives no rows; extra columns are ignored.
     """
-    named = checkpointed(entities(rows, author, given))
-    left = named.select("entity", F.col("name").alias("a"))
-    return left.join(named.select("entity", F.col("name").alias("b")), "entity").where("a < b").select("a", "b")
+    return within(checkpointed(entities(rows, author, given)), "entity", "name")

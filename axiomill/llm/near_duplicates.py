@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 
 from axiomill.llm import sets as S
 from axiomill.llm.components import components
+from axiomill.llm.pairs import within
 
 #: The first bands are made for sets that share this much of what the weighted orders prefer: edits fall
 #: on rare words rather than on frequent ones, so it lies below the limit itself. What the bands miss is
 #: estimated on the result, and more of them are added.
 WEIGHTED_AT_LIMIT = 0.53
 TARGET_RECALL = 0.99
-#: Rows of a class that are paired in one task.
-PART = 256
 
 
 def jaccard_at_least(tenths: int) -> S.Similarity:
@@ -32,18 +31,6 @@ def classes(rows: DataFrame, key: str, values: str, tenths: int = 7) -> tuple[Da
     return S.similar_classes(S.as_sets(rows, key, values), key, jaccard_at_least(tenths), WEIGHTED_AT_LIMIT, TARGET_RECALL)
 
 
-def copies(members: DataFrame, key: str) -> DataFrame:
-    """``a, b`` (a < b): the pairs of rows of one class. A large class is cut in parts, and each pair of
-    parts is joined by itself, so that its pairs come from many tasks."""
-    parts = F.ceil(F.count("*") / PART).cast("int")
-    several = members.groupBy("fp").agg(F.count("*").alias("n"), parts.alias("parts")).where("n > 1").select("fp", "parts")
-    own = members.join(several, "fp").withColumn("own", F.pmod(F.xxhash64(key), "parts").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    left = own.select("fp", F.col("own").alias("p"), every, F.col(key).alias("x"))
-    right = own.select("fp", F.col("own").alias("other"), every.alias("p"), F.col(key).alias("y"))
-    return left.join(right, ["fp", "p", "other"]).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-
 def pairs(rows: DataFrame, key: str, values: str, tenths: int = 7) -> DataFrame:
     """``a, b``: all pairs of different keys (a < b) with Jaccard similarity >= ``tenths`` / 10.
 
@@ -55,7 +42,7 @@ def pairs(rows: DataFrame, key: str, values: str, tenths: int = 7) -> DataFrame:
     left = members.select(F.col("fp").alias("fa"), F.col(key).alias("x"))
     right = members.select(F.col("fp").alias("fb"), F.col(key).alias("y"))
     across = similar.select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(left, "fa").join(right, "fb").where("x <> y")
-    return copies(members, key).unionAll(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
+    return within(members, "fp", key).unionAll(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).distinct()
 
 
 def groups(rows: DataFrame, key: str, values: str, tenths: int = 7) -> DataFrame:
