@@ -4,7 +4,8 @@ Two signs are joined:
 
 * *Hidden limits.* Every text's length is recomputed as it may have been stored: in characters,
   UTF-8 bytes, UTF-16 units, with HTML entities, as a JSON string, with CR LF line ends. Lengths are
-  grouped by source and field in each measure; a limit is a greatest length at which texts pile up.
+  grouped by source and field in each measure; a limit is a length at which texts pile up: the
+  greatest one, or one below it that stands out clearly, as where a limit was raised later.
 * *Endings.* A text without a closing mark is compared with how sentences of the corpus end: its
   last word must occur elsewhere as a whole word, and the longest known run of words before the end
   must be one after which sentences do end. Rare words and formulas are wildcards in such runs, so
@@ -18,6 +19,7 @@ number the endings decide.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,6 +35,9 @@ FREQUENT = 0.02
 RUN, SUPPORT = 9, 8
 #: A pile-up: texts on the limit, and how many times the usual number of each length below it.
 PILE, TIMES = 5, 6
+#: Below the greatest length: texts on the limit, times the usual number, deviations above it, and
+#: different endings among them (of 63 told apart), as one text that is often repeated is no limit.
+INNER_PILE, INNER_TIMES, INNER_DEVIATIONS, ENDINGS = 20, 8, 8, 10
 #: Marks of omission.
 MARK = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.|more|truncated|cut)\]|\((?:…|\.\.\.|more|truncated|cut|continued)\))\s*$", re.I)
 
@@ -73,19 +78,22 @@ def fields(rows: DataFrame, key: str, columns: list[str], source: str = "source"
 def limits(counts: DataFrame) -> DataFrame:
     """``source, field, measure, limit, n_at``: the lengths at which a source's texts pile up.
 
-    ``counts``: ``source, field, measure, length, n``. The greatest length of a source and field in
-    a measure is a limit if at least ``PILE`` texts have it, and ``TIMES`` as many as have each of
-    the 40 lengths below it on average. Of several measures those with the largest pile count.
+    ``counts``: ``source, field, measure, length, n, endings``. The greatest length of a source and
+    field in a measure is a limit if at least ``PILE`` texts have it, and ``TIMES`` as many as have each
+    of the 40 lengths below it on average; a smaller length by the stricter INNER bounds. Of several
+    measures those with the largest pile count.
     """
     group = Window.partitionBy("source", "field", "measure")
-    top = counts.withColumn("limit", F.max("length").over(group))
-    piles = top.groupBy("source", "field", "measure", "limit").agg(
-        F.sum(F.when(F.col("length") == F.col("limit"), F.col("n"))).alias("n_at"),
-        (F.coalesce(F.sum(F.when(F.col("length").between(F.col("limit") - 40, F.col("limit") - 1), F.col("n"))), F.lit(0)) / 40).alias("usual"),
-    )
-    piled = piles.where((F.col("n_at") >= PILE) & (F.col("n_at") >= F.col("usual") * TIMES))
-    best = piled.withColumn("best", F.max("n_at").over(Window.partitionBy("source", "field")))
-    return best.where("n_at = best").select("source", "field", "measure", "limit", "n_at")
+    below = F.coalesce(F.sum("n").over(group.orderBy("length").rangeBetween(-40, -1)), F.lit(0)) / 40
+    each = counts.withColumn("top", F.max("length").over(group)).withColumn("usual", below)
+    at_top = (F.col("length") == F.col("top")) & (F.col("n") >= PILE) & (F.col("n") >= F.col("usual") * TIMES)
+    inner = (
+        (F.col("n") >= INNER_PILE) & (F.col("n") >= F.col("usual") * INNER_TIMES) & (F.col("n") >= F.col("usual") + INNER_DEVIATIONS * F.sqrt(F.col("usual") + 1))
+        & (F.bit_count("endings") >= ENDINGS)
+    )
+    piled = each.where(at_top | inner)
+    held = piled.withColumn("held", F.max("n").over(group)).withColumn("best", F.max("n").over(Window.partitionBy("source", "field")))
+    return held.where("held = best").select("source", "field", "measure", F.col("length").alias("limit"), F.col("n").alias("n_at"))
 
 
 def tokens(text: str) -> list[str]:
@@ -124,9 +132,10 @@ def pattern(sentence: list[str], frequent: set[str]) -> list[str]:
 
 
 def surveyed(texts: DataFrame) -> DataFrame:
-    """``source, field, measure, length, word, n``: in one pass, how many texts have each length in
-    each measure (``word`` null), and each word as a whole one (``measure`` null); the last word of
-    an open text isn't counted. A row with neither holds the number of texts. Stored."""
+    """``source, field, measure, length, word, n, endings``: in one pass, how many texts have each
+    length in each measure (``word`` null; ``endings`` has a bit for each of their endings), and each
+    word as a whole one (``measure`` null); the last word of an open text isn't counted. A row with
+    neither holds the number of texts. Stored."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -140,34 +149,38 @@ def surveyed(texts: DataFrame) -> DataFrame:
                 pa.array([k[2] for k in keys] + [None] * none, pa.int32()),
                 pa.array([k[3] for k in keys] + [None] * none, pa.int64()),
                 pa.array([None] * many + list(words) + [None], pa.string()),
-                pa.array([*lengths.values(), *words.values(), n], pa.int64()),
+                pa.array([*(v[0] for v in lengths.values()), *words.values(), n], pa.int64()),
+                pa.array([*(v[1] for v in lengths.values()), *[0] * none], pa.int64()),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["source", "field", "measure", "length", "word", "n"])
+            return pa.RecordBatch.from_arrays(columns, ["source", "field", "measure", "length", "word", "n", "endings"])
 
-        lengths, words, n = Counter(), Counter(), 0
+        lengths, words, n = {}, Counter(), 0
         for batch in batches:
             for source, field, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n += 1
+                ending = 1 << zlib.crc32(text[-48:].encode("utf-8", "surrogatepass")) % 63
                 for i, length in enumerate(measures(text)):
-                    lengths[source, field, i, length] += 1
+                    known = lengths.get((source, field, i, length), (0, 0))
+                    lengths[source, field, i, length] = known[0] + 1, known[1] | ending
                 found = tokens(text)
                 if found and is_word(found[-1]):
                     found.pop()
                 words.update({t.lower() for t in found if is_word(t)})
             if len(words) + len(lengths) > 300_000:
                 yield rows(lengths, words, n)
-                lengths, words, n = Counter(), Counter(), 0
+                lengths, words, n = {}, Counter(), 0
         yield rows(lengths, words, n)
 
-    found = texts.select("source", "field", "text").mapInArrow(run, "source string, field string, measure int, length bigint, word string, n bigint")
-    return checkpointed(found.groupBy("source", "field", "measure", "length", "word").agg(F.sum("n").alias("n")))
+    found = texts.select("source", "field", "text").mapInArrow(run, "source string, field string, measure int, length bigint, word string, n bigint, endings bigint")
+    return checkpointed(found.groupBy("source", "field", "measure", "length", "word").agg(F.sum("n").alias("n"), F.bit_or("endings").alias("endings")))
 
 
-def judged_texts(texts: DataFrame, key: str, shared) -> DataFrame:
+def judged_texts(texts: DataFrame, bounds: DataFrame, key: str, shared) -> DataFrame:
     """In one pass, two kinds of rows, stored. With ``pattern``: ``n`` closed sentences have it.
     Without: the texts that no full stop closes, that a mark of omission ends, or that sit on a limit
-    with a full stop that needn't close them, with ``key, source, field, marked, on_limit, runs,
+    with a full stop that needn't close them, with ``key, source, field, marked, on_limit, tail,
     last, broken``. After a number ``on_limit`` is false there, so that the endings decide.
+    ``tail``: the last RUN tokens' pattern. ``bounds(source, field, bounds)``: the limits.
 
     ``broken``: the formula or bracket it ends in is open. ``last``: the word it ends in, if any.
     """
@@ -176,9 +189,10 @@ def judged_texts(texts: DataFrame, key: str, shared) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        frequent, bounds = shared.value
-        names = [key, "source", "field", "marked", "on_limit", "runs", "last", "broken", "pattern", "n"]
-        types = [None, pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.string(), pa.bool_(), pa.string(), pa.int64()]
+        frequent = shared.value
+        known: dict[tuple[str, str], set] = {}  # the limits, read from a row when first met
+        names = [key, "source", "field", "marked", "on_limit", "tail", "last", "broken", "pattern", "n"]
+        types = [None, pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64()]
 
         def rows(tails, patterns, key_type):
             n = len(patterns)
@@ -189,18 +203,20 @@ def judged_texts(texts: DataFrame, key: str, shared) -> DataFrame:
         found, key_type = Counter(), None
         for batch in batches:
             out, key_type = [], batch.schema.field(0).type
-            for k, source, field, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row, (k, source, field, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True)):
+                if (source, field) not in known:
+                    known[source, field] = {(b["measure"], b["limit"]) for b in batch.column(4)[row].as_py() or ()}
+                limits_, on_limit = known[source, field], None
                 closed, tail = sentences(tokens(text))
                 for sentence in closed:
                     found[" ".join(pattern(sentence, frequent))] += 1
                 marked = MARK.search(text) is not None
-                limit, on_limit = bounds.get((source, field)), None
                 if not tail and not marked:
-                    if limit is None:
+                    if not limits_:
                         continue
                     end = text[-12:]
                     open_ = end[-1].isspace() or _STOPPED.search(end) is not None
-                    if not (open_ or _NUMBERED.search(end)) or not any(length == limit.get(i) for i, length in enumerate(measures(text))):
+                    if not (open_ or _NUMBERED.search(end)) or limits_.isdisjoint(enumerate(measures(text))):
                         continue
                     tail, on_limit = list(closed[-1]) if closed else [], open_
                 while tail and tail[-1] == ":":
@@ -208,8 +224,8 @@ def judged_texts(texts: DataFrame, key: str, shared) -> DataFrame:
                 last = tail[-1].lower() if tail and is_word(tail[-1]) else None
                 broken = text.count("$") % 2 == 1 or sum(t in "([{" for t in tail) != sum(t in ")]}" for t in tail)
                 if on_limit is None:
-                    on_limit = limit is not None and any(length == limit.get(i) for i, length in enumerate(measures(text)))
-                out.append((k, source, field, marked, on_limit, runs(pattern(tail, frequent)) if tail else [], last, broken))
+                    on_limit = bool(limits_) and not limits_.isdisjoint(enumerate(measures(text)))
+                out.append((k, source, field, marked, on_limit, " ".join(pattern(tail, frequent)[-RUN:]) if tail else "", last, broken))
             if out:
                 yield rows(out, {}, key_type)
             if len(found) > 300_000:
@@ -218,8 +234,8 @@ def judged_texts(texts: DataFrame, key: str, shared) -> DataFrame:
         if found:
             yield rows([], found, key_type)
 
-    schema = f"`{key}` {kind}, source string, field string, marked boolean, on_limit boolean, runs array<string>, last string, broken boolean, pattern string, n bigint"
-    return checkpointed(texts.select(key, "source", "field", "text").mapInArrow(run, schema))
+    schema = f"`{key}` {kind}, source string, field string, marked boolean, on_limit boolean, tail string, last string, broken boolean, pattern string, n bigint"
+    return checkpointed(texts.join(bounds, ["source", "field"], "left").select(key, "source", "field", "text", "bounds").mapInArrow(run, schema))
 
 
 def runs(found: list[str]) -> list[str]:
@@ -264,20 +280,19 @@ def cut(rows: DataFrame, key: str, columns: list[str], source: str = "source") -
     n_texts = counts.where("word is null and measure is null").agg(F.sum("n")).first()[0] or 0
     # At most (words of a text) / FREQUENT entries, see FREQUENT.
     frequent = {r["word"] for r in words.where(F.col("n") >= max(2, n_texts * FREQUENT)).select("word").collect()}
-    # One entry for each source and field that has a limit, and measure.
-    bounds: dict[tuple[str, str], dict[int, int]] = {}
-    for r in limits(counts.where("measure is not null")).collect():
-        bounds.setdefault((r["source"], r["field"]), {})[r["measure"]] = r["limit"]
-    judged = judged_texts(texts, key, rows.sparkSession.sparkContext.broadcast((frequent, bounds)))
+    bounds = limits(counts.where("measure is not null")).groupBy("source", "field").agg(F.collect_list(F.struct("measure", "limit")).alias("bounds"))
+    judged = judged_texts(texts, bounds, key, rows.sparkSession.sparkContext.broadcast(frequent))
 
     tails = judged.where("pattern is null").drop("pattern", "n").distinct()
     patterns = judged.where("pattern is not null").groupBy("pattern").agg(F.sum("n").alias("n"))
-    asked = tails.where("not marked and not on_limit").select(key, "source", "field", F.posexplode("runs").alias("k", "run"))
+    # Texts that end alike ask alike: each different end is looked up once.
+    ends = tails.where("not marked and not on_limit and tail <> ''").select("tail").distinct().select("tail", F.split("tail", " ").alias("t"))
+    asked = ends.select("tail", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("k"), "t").select("tail", "k", F.array_join(F.slice("t", -F.col("k"), F.col("k")), " ").alias("run"))
     known = run_counts(patterns).join(asked.select("run").distinct(), "run")
     enough = asked.join(known, "run").where(F.col("n_all") >= SUPPORT)
-    longest = enough.groupBy(key, "source", "field").agg(F.max(F.struct("k", (F.col("n_end") / F.col("n_all")).alias("p"))).alias("best")).select(key, "source", "field", F.col("best.p").alias("p_end"))
+    longest = enough.groupBy("tail").agg(F.max(F.struct("k", (F.col("n_end") / F.col("n_all")).alias("p"))).alias("best")).select("tail", F.col("best.p").alias("p_end"))
     whole = words.select(F.col("word").alias("last"), F.lit(True).alias("known"))
-    facts = tails.drop("runs").join(whole, "last", "left").join(longest, [key, "source", "field"], "left")
+    facts = tails.join(whole, "last", "left").join(longest, "tail", "left")
     reason = (
         F.when(F.col("marked"), "mark")
         .when(F.col("on_limit"), "limit")

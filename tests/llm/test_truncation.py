@@ -80,3 +80,16 @@ def test_a_full_stop_on_a_limit(spark):
     items += [(4000, "whole", texts[0] + " ", None, "x", "x")]
     got = {(r["id"], r["reason"]) for r in T.cut(rows(spark, items), "id", ["thm", "hyp"]).collect() if r["id"] >= 2000}
     assert got == {(2000, "limit"), (2001, "limit"), (2002, "limit"), (2003, "sentence")}
+
+
+def test_a_limit_below_longer_texts(spark):
+    """Forty texts cut at 70 characters, one longer text since, and a source with two limits."""
+    texts = list(corpus(200, 7))
+    items = [(i, "whole", t, None, "x", "x") for i, t in enumerate(texts)]
+    raised = [t[:70] for t in texts[:40]]
+    items += [(1000 + i, "raised", t, None, "x", "x") for i, t in enumerate(raised)] + [(1999, "raised", texts[50] + texts[51], None, "x", "x")]
+    items += [(2000 + i, "two", t[: 60 if i % 2 else 75], None, "x", "x") for i, t in enumerate(texts[:80])]
+    items += [(3000 + i, "same", texts[3], None, "x", "x") for i in range(50)] + [(3999, "same", texts[4] + texts[5], None, "x", "x")]
+    got = {(r["id"], r["reason"]) for r in T.cut(rows(spark, items), "id", ["thm", "hyp"]).collect()}
+    assert {i for i, _ in got} == {i for i, s, t, *_ in items if s in ("raised", "two") and not t.endswith(".")}
+    assert {r for _, r in got} == {"limit"}
