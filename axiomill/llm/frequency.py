@@ -8,6 +8,8 @@ gathered per word.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,20 +57,15 @@ def word_counts(index: DataFrame) -> DataFrame:
     )
 
 
-def statement_counts(index: DataFrame) -> DataFrame:
-    """``word, n_statements`` only: the columns ``word`` and ``thm_indices`` are all that is read."""
-    pairs = index.select(normal_word(F.col("word")).alias("word"), F.explode_outer("thm_indices").alias("thm_id"))
-    return pairs.where("word is not null").distinct().groupBy("word").agg(F.count("thm_id").alias("n_statements"))
-
-
 def marked(counts: DataFrame, statements: DataFrame, rare: int = 2, common_share: float = 0.05) -> DataFrame:
     """``counts`` with ``mark``: 'rare' for 1..``rare`` statements, else 'common' above
     ``common_share`` of all distinct ``statements.thm_id``, else null.
 
-    The bound is compared in whole numbers (``n * 1/share > N``), so no rounding decides a tie.
+    The bound is compared in whole numbers (of the share as it is written), so no rounding decides a tie.
     """
+    share = Fraction(str(common_share))
     total = statements.select("thm_id").where("thm_id is not null").distinct().agg(F.count("*").alias("n_all"))
-    n, times = F.col("n_statements"), round(1 / common_share)
-    mark = F.when(n.between(1, rare), "rare").when(n * F.lit(times) > F.col("n_all"), "common")
+    n = F.col("n_statements")
+    mark = F.when(n.between(1, rare), "rare").when(n * F.lit(share.denominator) > F.col("n_all") * F.lit(share.numerator), "common")
     # A one-row table: the broadcast has eight bytes.
     return counts.crossJoin(F.broadcast(total)).withColumn("mark", mark).drop("n_all")

@@ -62,8 +62,7 @@ def union(parts):
 
 
 def p5_found(spark, sf_dir):
-    counts = frequency.statement_counts(table(spark, sf_dir, "literalsearchtb"))
-    return frequency.marked(counts, table(spark, sf_dir, "thmhyptb")).where("mark is not null").select("word", "mark")
+    return p5_counts(spark, sf_dir).where("mark is not null").select("word", "mark")
 
 
 def p5_counts(spark, sf_dir):
