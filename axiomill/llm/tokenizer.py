@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 #: The public splitting pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words kept in a worker's table; beyond it the table starts afresh. It never changes a result.
-WORDS_KEPT = 400_000
+#: Words and arcs kept in a worker's tables; beyond it a table starts afresh. It never changes a result.
+WORDS_KEPT, ARCS_KEPT = 400_000, 2_000_000
 DEFAULT_FOLDER = "/opt/tokenizers"
 
 
@@ -43,7 +43,13 @@ class Automaton:
         """``merges``: (left, right, result) in order of priority."""
         self.ids = vocab
         self.labels = {i: b for b, i in vocab.items()}
-        self.longest = max(map(len, vocab))
+        # The tokens read from their ends, as a tree: at None the token that is complete there.
+        self.endings: dict = {}
+        for token, i in vocab.items():
+            node = self.endings
+            for byte in reversed(token):
+                node = node.setdefault(byte, {})
+            node[None] = i
         self.gadgets = {(u, v): rank for rank, (u, v, _) in enumerate(merges)}
         never = len(merges)
         made = {w: (rank, u, v) for rank, (u, v, w) in reversed(list(enumerate(merges)))}
@@ -79,18 +85,25 @@ class Automaton:
                         break
                 if not known:
                     break
+            if len(self.arcs) >= ARCS_KEPT:
+                self.arcs.clear()
             self.arcs[state, token] = known
         return known
 
     def encode(self, word: bytes) -> list[int]:
-        ids, arc, longest = self.ids, self.arc, self.longest
-        whole = ids.get(word)
+        whole, arc, endings = self.ids.get(word), self.arc, self.endings
         if len(word) == 1:
             return [whole]
         last: list[int] = []
         for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(word[start:end])
+            # Back from the end as far as tokens go; exactly one of them leads on from its start.
+            node, start = endings, end
+            while start:
+                start -= 1
+                node = node.get(word[start])
+                if node is None:
+                    raise ValueError("a byte without a token")
+                token = node.get(None)
                 if token is not None and (not start or arc(last[start - 1], token)):
                     last.append(token)
                     break
