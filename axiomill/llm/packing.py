@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from axiomill.session import checkpointed
 
-#: Items of one size are numbered in this many parts, so that a size shared by a third of all items is no single task.
-NUMBERING_PARTS = 64
+#: Items of one size are numbered in parts of about this many, so that a size shared by a third of all
+#: items (the pieces that fill a container alone, say) is no single task.
+PART = 100_000
 
 
 class Run(NamedTuple):
@@ -94,7 +95,7 @@ def plan(histogram: dict[int, int], capacity: int, first_bin: int = 0) -> list[R
             full = min(n, left // each)
             if full:
                 runs.append(Run(size, done, full * each, start, each))
-                put(room - full_room(each, size), start, full)
+                put(room - each * size, start, full)
                 done, left, start, n = done + full * each, left - full * each, start + full, n - full
             if n and left and left < each:
                 runs.append(Run(size, done, left, start, each))
@@ -104,10 +105,6 @@ def plan(histogram: dict[int, int], capacity: int, first_bin: int = 0) -> list[R
     return runs
 
 
-def full_room(each: int, size: int) -> int:
-    return each * size
-
-
 def pieces(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """``key, piece, n_tokens``: items cut to at most ``capacity``.
 
@@ -129,41 +126,42 @@ def packed(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_
     then of ``key``, so the result depends on the rows alone. An empty table gives no rows.
     Extra columns are ignored.
     """
-    items = pieces(sizes, capacity, key, size).withColumn("_part", F.pmod(F.xxhash64(key), F.lit(NUMBERING_PARTS)).cast("int"))
-    # At most capacity x NUMBERING_PARTS rows, whatever the number of items.
-    counts = items.where("n_tokens > 0").groupBy("n_tokens", "_part").count().collect()
-    histogram: dict[int, int] = {}
-    offsets: dict[tuple[int, int], int] = {}
-    for row in sorted(counts, key=lambda r: (r["n_tokens"], r["_part"])):
-        offsets[row["n_tokens"], row["_part"]] = histogram.get(row["n_tokens"], 0)
-        histogram[row["n_tokens"]] = histogram.get(row["n_tokens"], 0) + row["count"]
+    items = pieces(sizes, capacity, key, size)
+    # One row for each size, at most ``capacity``, whatever the number of items.
+    counts = items.where("n_tokens > 0").groupBy("n_tokens").count().collect()
+    histogram = {row["n_tokens"]: row["count"] for row in counts}
+    parts = max(1, -(-max(histogram.values(), default=0) // PART))
+    items = items.withColumn("_part", F.pmod(F.xxhash64(key, "piece"), F.lit(parts)).cast("int"))
+    # Where the numbers of a part begin among those of its size.
+    before = Window.partitionBy("n_tokens").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = items.groupBy("n_tokens", "_part").agg(F.count("*").alias("_n")).select("n_tokens", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     by_size: dict[int, tuple[list[int], list[Run]]] = {}
     for run in plan(histogram, capacity):
         firsts, runs = by_size.setdefault(run.size, ([], []))
         firsts.append(run.first)
         runs.append(run)
-    shared = sizes.sparkSession.sparkContext.broadcast((offsets, by_size))  # bounded by the capacity alone
-    numbered = items.withColumn("_rank", F.row_number().over(Window.partitionBy("n_tokens", "_part").orderBy(key, "piece")) - 1)
+    shared = sizes.sparkSession.sparkContext.broadcast(by_size)  # bounded by the capacity alone
+    rank = F.row_number().over(Window.partitionBy("n_tokens", "_part").orderBy(key, "piece")) - 1
+    numbered = items.withColumn("_rank", rank).join(offsets, ["n_tokens", "_part"]).withColumn("_at", F.col("_rank") + F.col("_offset"))
     kind = dict(sizes.dtypes)[key]
 
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        offsets, by_size = shared.value
+        by_size = shared.value
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
             bins = []
-            for n, part, rank in zip(*(columns[c].to_pylist() for c in ("n_tokens", "_part", "_rank")), strict=True):
+            for n, at in zip(columns["n_tokens"].to_pylist(), columns["_at"].to_pylist(), strict=True):
                 if not n:
                     bins.append(0)
                     continue
-                at = offsets[n, part] + rank
                 firsts, runs = by_size[n]
                 run = runs[bisect_right(firsts, at) - 1]
                 bins.append(run.bin + (at - run.first) // run.each)
             yield pa.RecordBatch.from_arrays([columns[key], columns["piece"], columns["n_tokens"], pa.array(bins, pa.int64())], [key, "piece", "n_tokens", "bin"])
 
-    return numbered.select(key, "piece", "n_tokens", "_part", "_rank").mapInArrow(place, f"`{key}` {kind}, piece int, n_tokens int, bin bigint")
+    return numbered.select(key, "piece", "n_tokens", "_at").mapInArrow(place, f"`{key}` {kind}, piece int, n_tokens int, bin bigint")
 
 
 def packed_all(sizes: DataFrame, capacities: list[tuple[str, int]], key: str = "doc_id", size: str = "n_tokens") -> DataFrame:

@@ -23,12 +23,13 @@ def test_frequency_cases(spark):
     index = spark.createDataFrame(rows, SCHEMA)
     got = {r["word"]: (r["n_occurrences"], r["n_statements"]) for r in frequency.word_counts(index).collect()}
     assert got == {"ring": (4, 3), "field": (0, 0), "ideal": (0, 0), "short": (1, 2)}
-    assert {r["word"]: r["n_statements"] for r in frequency.statement_counts(index).collect()} == {"ring": 3, "field": 0, "ideal": 0, "short": 2}
     statements = spark.createDataFrame([(i,) for i in range(59)] + [(1,), (None,)], "thm_id int")
-    marks = {r["word"]: r["mark"] for r in frequency.marked(frequency.statement_counts(index), statements).collect()}
+    marks = {r["word"]: r["mark"] for r in frequency.marked(frequency.word_counts(index), statements).collect()}
     assert marks == {"ring": "common", "field": None, "ideal": None, "short": "rare"}
     exact = spark.createDataFrame([(i,) for i in range(60)], "thm_id int")
-    assert {r["word"]: r["mark"] for r in frequency.marked(frequency.statement_counts(index), exact).collect()}["ring"] is None
+    assert {r["word"]: r["mark"] for r in frequency.marked(frequency.word_counts(index), exact).collect()}["ring"] is None
+    of_100 = spark.createDataFrame([(i,) for i in range(100)], "thm_id int")
+    assert [{r["word"]: r["mark"] for r in frequency.marked(frequency.word_counts(index), of_100, 1, share).collect()}["ring"] for share in (0.03, 0.029)] == [None, "common"]
     empty = spark.createDataFrame([], SCHEMA)
     assert frequency.marked(frequency.word_counts(empty), statements).count() == 0
 
