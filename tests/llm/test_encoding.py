@@ -65,3 +65,53 @@ def test_candidates_undo_each_page():
         for text in ("é", "ß", "что", "’"):
             shown = "".join(chr(b) if not bytes([b]).decode(page, "ignore") else bytes([b]).decode(page, "replace") for b in text.encode("utf-8"))
             assert text in {plain for _, plain in E.candidates(shown)}
+
+
+GR = (
+    "το θεώρημα ισχύει για κάθε συνεχή συνάρτηση που ορίζεται στον χώρο και έχει την ιδιότητα αυτή επειδή η απόδειξη του λήμματος είναι προφανής "
+    "έστω ότι το σύνολο των λύσεων της εξίσωσης δεν είναι κενό τότε υπάρχει μία ακολουθία σημείων που συγκλίνει ψηφίο ζεύγος ξένα βάθος"
+).split()
+
+
+def greek(spark, garble):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(GR, k=60)), "el", "abc"[i % 3]) for i in range(90)] + [(100 + i, " ".join(rng.choices(FR, k=60)), "fr", "abc"[i % 3]) for i in range(60)]
+    truth = {1000 + i: " ".join(rng.choices(GR, k=60)) for i in range(10)}
+    rows += [(k, garble(t), "EL", "b") for k, t in truth.items()]
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), truth
+
+
+def test_pages_that_no_table_has_are_learned(spark):
+    for garble in (lambda t: t.encode("iso8859-7").decode("latin-1"), lambda t: sloppy(t, "cp1253", "cp1252")):
+        rows, truth = greek(spark, garble)
+        assert {r["doc_id"]: r["restored"] for r in E.restored(rows).collect()} == truth
+
+
+def test_a_cipher_of_no_page_is_learned(spark):
+    """Letters of a font of its own: nothing but the language's bigrams tells what they stand for."""
+    letters = sorted(set("".join(GR)))
+    rng = random.Random(2)
+    signs = rng.sample([chr(c) for c in range(0x1400, 0x1500)], len(letters))
+    rows, truth = greek(spark, lambda t: t.translate(str.maketrans("".join(letters), "".join(signs))))
+    got = {r["doc_id"]: r["restored"] for r in E.restored(rows).collect()}
+    assert set(got) == set(truth)
+    same = sum(a == b for k in truth for a, b in zip(truth[k], got[k], strict=True)) / sum(map(len, truth.values()))
+    assert same > 0.9
+
+
+def test_signs_and_foreign_words_of_one_source_are_no_ciphers(spark):
+    rng = random.Random(9)
+    rows, _ = greek(spark, lambda t: t)
+    polish = "każda liczba całkowita jest sumą czterech kwadratów więc twierdzenie zachodzi również dla pierścieni łącznych".split()
+    more = [(2000 + i, " ".join(rng.choices([*FR, "∈", "ℝ", "→", "≤", "⊂", "∀"], k=60)), "fr", "c") for i in range(20)]
+    more += [(3000 + i, " ".join(rng.choices(FR, k=30) + rng.choices(polish, k=30)), "fr", "a") for i in range(20)]
+    more += [(4000 + i, " ".join(rng.choices(RU, k=40)), "el", "b") for i in range(20)]
+    all_rows = rows.unionByName(spark.createDataFrame(more, "doc_id bigint, text string, lang string, source string"))
+    assert E.garbled(all_rows).count() == 0
+
+
+def test_places_of_very_many_sources(spark):
+    rows = [(i, "prix – à voir", "fr", f"s{i}") for i in range(400)]
+    table = E._counted(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    assert table.count() == 800 and {r["n"] for r in table.collect()} == {1}
+    assert "uses" not in table.columns
