@@ -47,7 +47,7 @@ FURTHER = (
     "koi8-u", "mac-cyrillic", "mac-greek", "mac-latin2", "mac-turkish",
 )
 #: Counters of each of the two rows of the bigram table, and places that a task goes through.
-WIDTH, PLACES = 1 << 20, 8192
+WIDTH, PLACES = 1 << 20, 2048
 ROUNDS = 6
 #: Ciphers: how much more often than elsewhere a source has a character, how many of them and of their
 #: bigrams are enough to learn from, letters of an alphabet, steps of a solution, and how far the

@@ -35,9 +35,10 @@ FREQUENT = 0.02
 RUN, SUPPORT = 9, 8
 #: A pile-up: texts on the limit, and how many times the usual number of each length below it.
 PILE, TIMES = 5, 6
-#: Below the greatest length: texts on the limit, times the usual number, deviations above it, and
-#: different endings among them (of 63 told apart), as one text that is often repeated is no limit.
-INNER_PILE, INNER_TIMES, INNER_DEVIATIONS, ENDINGS = 20, 8, 8, 10
+#: Below the greatest length: texts on the limit; times the usual number, and the number of each length
+#: up to NEAR away on both sides, as sentences of one pattern are of about the same length; the share that
+#: no closing mark ends; and different endings (of 63 told apart), as one text may be often repeated.
+INNER_PILE, INNER_TIMES, NEAR, INNER_OPEN, ENDINGS = 20, 6, 5, 0.75, 10
 #: Marks of omission.
 MARK = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.|more|truncated|cut)\]|\((?:…|\.\.\.|more|truncated|cut|continued)\))\s*$", re.I)
 
@@ -78,18 +79,19 @@ def fields(rows: DataFrame, key: str, columns: list[str], source: str = "source"
 def limits(counts: DataFrame) -> DataFrame:
     """``source, field, measure, limit, n_at``: the lengths at which a source's texts pile up.
 
-    ``counts``: ``source, field, measure, length, n, endings``. The greatest length of a source and
+    ``counts``: ``source, field, measure, length, n, n_open, endings``. The greatest length of a source and
     field in a measure is a limit if at least ``PILE`` texts have it, and ``TIMES`` as many as have each
     of the 40 lengths below it on average; a smaller length by the stricter INNER bounds. Of several
     measures those with the largest pile count.
     """
     group = Window.partitionBy("source", "field", "measure")
     below = F.coalesce(F.sum("n").over(group.orderBy("length").rangeBetween(-40, -1)), F.lit(0)) / 40
-    each = counts.withColumn("top", F.max("length").over(group)).withColumn("usual", below)
+    beside = F.greatest(*(F.coalesce(F.max("n").over(group.orderBy("length").rangeBetween(*r)), F.lit(0)) for r in ((-NEAR, -1), (1, NEAR))))
+    each = counts.withColumn("top", F.max("length").over(group)).withColumn("usual", below).withColumn("beside", beside)
     at_top = (F.col("length") == F.col("top")) & (F.col("n") >= PILE) & (F.col("n") >= F.col("usual") * TIMES)
     inner = (
-        (F.col("n") >= INNER_PILE) & (F.col("n") >= F.col("usual") * INNER_TIMES) & (F.col("n") >= F.col("usual") + INNER_DEVIATIONS * F.sqrt(F.col("usual") + 1))
-        & (F.bit_count("endings") >= ENDINGS)
+        (F.col("n") >= INNER_PILE) & (F.col("n") >= F.col("usual") * INNER_TIMES) & (F.col("n") >= F.col("beside") * INNER_TIMES)
+        & (F.col("n_open") >= F.col("n") * INNER_OPEN) & (F.bit_count("endings") >= ENDINGS)
     )
     piled = each.where(at_top | inner)
     held = piled.withColumn("held", F.max("n").over(group)).withColumn("best", F.max("n").over(Window.partitionBy("source", "field")))
@@ -132,8 +134,9 @@ def pattern(sentence: list[str], frequent: set[str]) -> list[str]:
 
 
 def surveyed(texts: DataFrame) -> DataFrame:
-    """``source, field, measure, length, word, n, endings``: in one pass, how many texts have each
-    length in each measure (``word`` null; ``endings`` has a bit for each of their endings), and each
+    """``source, field, measure, length, word, n, n_open, endings``: in one pass, how many texts have
+    each length in each measure (``word`` null; ``n_open`` of them without a closing mark, ``endings``
+    has a bit for each of their endings), and each
     word as a whole one (``measure`` null); the last word of an open text isn't counted. A row with
     neither holds the number of texts. Stored."""
 
@@ -150,18 +153,19 @@ def surveyed(texts: DataFrame) -> DataFrame:
                 pa.array([k[3] for k in keys] + [None] * none, pa.int64()),
                 pa.array([None] * many + list(words) + [None], pa.string()),
                 pa.array([*(v[0] for v in lengths.values()), *words.values(), n], pa.int64()),
-                pa.array([*(v[1] for v in lengths.values()), *[0] * none], pa.int64()),
+                *(pa.array([*(v[i] for v in lengths.values()), *[0] * none], pa.int64()) for i in (1, 2)),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["source", "field", "measure", "length", "word", "n", "endings"])
+            return pa.RecordBatch.from_arrays(columns, ["source", "field", "measure", "length", "word", "n", "n_open", "endings"])
 
         lengths, words, n = {}, Counter(), 0
         for batch in batches:
             for source, field, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n += 1
                 ending = 1 << zlib.crc32(text[-48:].encode("utf-8", "surrogatepass")) % 63
+                is_open = text.rstrip()[-1:] not in (".", "!", "?", ":", "")
                 for i, length in enumerate(measures(text)):
-                    known = lengths.get((source, field, i, length), (0, 0))
-                    lengths[source, field, i, length] = known[0] + 1, known[1] | ending
+                    known = lengths.get((source, field, i, length), (0, 0, 0))
+                    lengths[source, field, i, length] = known[0] + 1, known[1] + is_open, known[2] | ending
                 found = tokens(text)
                 if found and is_word(found[-1]):
                     found.pop()
@@ -171,8 +175,8 @@ def surveyed(texts: DataFrame) -> DataFrame:
                 lengths, words, n = {}, Counter(), 0
         yield rows(lengths, words, n)
 
-    found = texts.select("source", "field", "text").mapInArrow(run, "source string, field string, measure int, length bigint, word string, n bigint, endings bigint")
-    return checkpointed(found.groupBy("source", "field", "measure", "length", "word").agg(F.sum("n").alias("n"), F.bit_or("endings").alias("endings")))
+    found = texts.select("source", "field", "text").mapInArrow(run, "source string, field string, measure int, length bigint, word string, n bigint, n_open bigint, endings bigint")
+    return checkpointed(found.groupBy("source", "field", "measure", "length", "word").agg(F.sum("n").alias("n"), F.sum("n_open").alias("n_open"), F.bit_or("endings").alias("endings")))
 
 
 def judged_texts(texts: DataFrame, bounds: DataFrame, key: str, shared) -> DataFrame:
