@@ -239,12 +239,13 @@ def _expected(table: DataFrame, model: Model | None, rates: DataFrame | None) ->
     as they stand."""
     import numpy as np
 
-    shared = table.sparkSession.sparkContext.broadcast(model and (model.counts, model.rated))  # 2 · WIDTH numbers
+    # 2 · WIDTH numbers. A worker process keeps it, with what it looked up, from task to task.
+    shared = table.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own, known = shared.value and Model(*shared.value), _Rates()
+        own, known = shared.value, _Rates()
 
         def rows(pairs, swaps):
             counters: dict[int, float] = defaultdict(float)
@@ -305,12 +306,12 @@ def garbled_places(documents: DataFrame) -> DataFrame:
     ``plain`` is the run as it was (null where characters are lost), ``odds`` the log-odds.
     """
     table, model, rates = learned(documents)
-    shared = table.sparkSession.sparkContext.broadcast((model.counts, model.rated))  # 2 · WIDTH numbers
+    shared = table.sparkSession.sparkContext.broadcast(model)  # 2 · WIDTH numbers
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        own, known = Model(*shared.value), _Rates()
+        own, known = shared.value, _Rates()
         names, types = ["lang", "source", "place", "n", "swap", "plain", "odds"], [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 2 + [pa.float64()]
         for batch in batches:
             out = []
