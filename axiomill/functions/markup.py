@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 KINDS = {"thm": "Theorem", "theo": "Theorem", "prop": "Proposition", "lem": "Lemma", "proclaim": "Claim", "cor": "Corollary", "conj": "Conjecture", "def": "Definition"}
 # Words that introduce a hypothesis.
 HYPOTHESIS = r"(?:assume|denote|define|let|is said|suppose|where|is called|if|given)."
-# Formatting commands without content of their own.
-FORMATTING = (
-    r"(?i)\\(?:emph|textbf|textsl|textsc|textnormal|textup|ensuremath|linebreak|noindent|maketitle|smallskip|bigskip|vspace|subsection|section|eqref)"
-    r"|\\(?:begin|end)\{(?:enumerate|itemize|displaymath|slogan|(?:sub)*section\**)\}|\\(?:em|bf|rm|it|df|cat)\b|\\cite(?:\[[^\]]*\])?\{[^}]*\}"
-)
+# Formatting commands without content of their own, in the order in which they are tried.
+FORMATTING = "(?i)" + "|".join((
+    r"\\df(?!rac)", r"\\emph", r"\\em", r"\\rm ", r"\\cat", r"\\it(?!e)", r"\\eqref", r"\\subsection", r"\\section", r"\\bf", r"\\vspace",
+    r"\\ensuremath", r"\\(?:textbf|textsl|textsc|textnormal)", r"\\linebreak", r"(?<!\\)%",
+    r"\\fml", r"\\ofml", r"\\(?:begin|end)\{enumerate\}", r"\\(?:begin|end)\{(?:sub)*section\**\}",
+    r"\\begin\{slogan\}", r"\\end\{slogan\}", r"\\sbsb", r"\\cat", r"\\bs", r"\\maketitle", r"\\textup",
+    r"\\section\**\{(?:[^}]*)\}\s*", r"\\noindent", r"\\(?:small|big)skip",
+    r"\\cite\{[^}]+\}", r"\\cite\[[^\]]+\]", r"\\par\s", r"\\(?:begin|end)\{displaymath\}",
+))
 STATEMENT_ENDS = r"(?i)\\(?:begin|end)\{(?:def|lem|th|pr|co|re)[^}]*\}\s*"
 FORMULA = r"\$[^$]*\$"
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters that separate words (an escaped quote doesn't), and that no index word has.
 SEPARATORS = r"(\s+|'s|'|\"|\(|\)|\{|\}|\[|\]|\.|;|,|:|-|_|~|!|\+)"
 SPECIAL = r"[-\\=$\{\}\[\]()^_+%&\./,:;!~\"\d@><*|`�]"
-SPECIAL_ANY = r"[-\{\[\)\(\}\]$%/|@*.;,:_~!+^&\"'`+<>=#]"
+SPECIAL_LITERAL = r"[-\{\[\)\(\}\]$%/|?@*.;,:_~!+^&<>=#\\\"'`]"
+# Fixed value: a letter's accent in TeX, which belongs to the word.
+ACCENT = r"\\[\"'`]"
 # Words too common to be searched for.
 STOP_WORDS = (
     "a an and any are as assume at be been being between both but by can defined denote each every exist exists following for from "
@@ -22,7 +26,10 @@ GENERIC_TERMS = "sum equation polynomial function basis group ring field module
 IRREGULAR = {"matrices": "matrix", "series": "series"}
 # Letters with diacritics, and what they become.
 DIACRITICS = ("áéíóöőúüűŷśøěè", "aeiooouuuysoee")
-GREEK = "alpha beta gamma delta epsilon zeta eta theta lambda".split()
+GREEK = "alpha beta gamma delta epsilon omega iota theta phi".split()
+# Endings of adjectives and of nouns.
+ADJECTIVE_ENDINGS = "tive wise ary ble ous ent like nal lar nian cal ed".split()
+NOUN_ENDINGS = "tion son ace ty sor ser ty ture".split()
 # Tags of the Penn treebank and the parts of speech used here.
 TAGS = {
     "NN": "ent", "NNS": "ent", "NNP": "ent", "NNPS": "ent", "JJ": "adj", "JJR": "adj", "JJS": "adj", "RB": "adverb", "RBR": "adverb",
@@ -58,18 +65,20 @@ def quoted_sections(query: str) -> list[str]:
 
 
 def strip_umlaut(word: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(word, r"\\[\"'`]", ""), r"\{([A-Za-z])\}", "$1")
+    return F.regexp_replace(F.regexp_replace(word, ACCENT, ""), r"\{([A-Za-z])\}", "$1")
 
 
 def remove_diacritics(text: Column) -> Column:
     return F.translate(text, *DIACRITICS)
 
 
-def singular(word: Column) -> Column:
-    """The singular form: -ies to -y, -es dropped (its e kept unless after s, h, x, o), -s dropped."""
+def singular(word: Column, kept: Iterable[str] = ()) -> Column:
+    """The singular form: -ies to -y, -es dropped (its e kept unless after s, h, x, o), -s dropped.
+    ``kept``: frequent words that stay as they are."""
+    kept = list(kept)
     cut = F.substring(word, F.lit(1), F.length(word) - 2)
     return (
-        F.when(F.length(word) < 4, word)
+        F.when((F.length(word) < 4) | (word.isin(*kept) if kept else F.lit(False)), word)
         .when(F.substring(word, -2, 2).isin("is", "us", "ss"), word)
         .when(word.isin(*IRREGULAR), F.create_map(*(F.lit(x) for kv in IRREGULAR.items() for x in kv))[word])
         .when(word.endswith("ies"), F.concat(F.substring(word, F.lit(1), F.length(word) - 3), F.lit("y")))
@@ -88,9 +97,17 @@ def is_index_word(word: Column) -> Column:
     return ~word.rlike(SPECIAL)
 
 
-def is_literal_word(word: Column) -> Column:
-    """Valid in the literal index: 3 to 15 characters, no special characters or digits, no stop word."""
-    return F.length(word).between(3, 15) & ~word.rlike(SPECIAL_ANY) & ~word.rlike(r"[\d�\\]") & ~word.isin(*STOP_WORDS)
+def index_words(text: Column) -> Column:
+    """The index words of a text in order: C*-algebras in one spelling, accents of TeX taken off their
+    letters, words with special characters or digits left out."""
+    return F.filter(F.transform(split_words(starred_algebra(F.lower(text))), strip_umlaut), is_index_word)
+
+
+def is_literal_word(word: Column, stop_words: Iterable[str] = STOP_WORDS) -> Column:
+    """Valid in the literal index: 3 to 15 characters, no special characters (but accents of TeX) or
+    digits, no stop word."""
+    plain = ~F.regexp_replace(word, ACCENT, "").rlike(SPECIAL_LITERAL) & ~word.rlike(r"[\d�]")
+    return F.length(word).between(3, 15) & plain & ~word.isin(*stop_words)
 
 
 def is_alphabetic(word: Column) -> Column:
@@ -135,13 +152,12 @@ def part_of_speech(tag: Column) -> Column:
 
 
 def suffix_part_of_speech(word: Column) -> Column:
-    """A guess by the ending: adjectives -al, -ic, -ous, -able, -ive, -ary, -ular; adverbs -ly; nouns -tion, -ness, -ity, -ism, -oid."""
+    """A guess by the ending: adverbs and gerunds, then adjectives, then nouns; null if none fits."""
     return (
-        F.when(word.rlike("(?:al|ic|ous|able|ible|ive|ary|ular|ent|ian|ine|ate)$"), "adj")
-        .when(word.rlike("ly$"), "adverb")
-        .when(word.rlike("(?:tion|sion|ness|ity|ism|oid|ment|or|er|ix|yx|um|ode|ule|ad|and|ella)$"), "ent")
-        .when(word.rlike("ing$"), "gerund")
-        .when(word.rlike("ed$"), "parti")
+        F.when(word.rlike(".ly$"), "adverb")
+        .when(word.rlike(".ing$"), "gerund")
+        .when(word.rlike(f".(?:{'|'.join(ADJECTIVE_ENDINGS)})$"), "adj")
+        .when(word.rlike(f".(?:{'|'.join(NOUN_ENDINGS)})$"), "ent")
     )
 
 
@@ -149,6 +165,24 @@ def strip_blanks(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
+def escape_blanks(text: Column) -> Column:
+    """Each run of white space as one escaped blank, as file names in shell commands have it."""
+    return F.regexp_replace(text, r"\s+", r"\\\\ ")
+
+
+def longest_first(rows, column: str):
+    """``rows`` with ``rn``, their place by falling length of ``column``, ties in its order.
+
+    The lengths are counted first, so that no task sorts more than the values of one length.
+    """
+    from pyspark.sql import Window
+
+    sizes = rows.groupBy(F.length(column).alias("_n")).agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(Window.partitionBy("_n").orderBy(column))
+    return rows.withColumn("_n", F.length(column)).withColumn("_w", within).join(sizes.select("_n", before.alias("_b")), "_n").select(*rows.columns, (F.col("_w") + F.col("_b")).cast("bigint").alias("rn"))
+
+
 def word_score(frequency: Column) -> Column:
     """The weight of a word of this frequency, in whole numbers; it falls in steps and is at least 3."""
     f = frequency

@@ -98,7 +98,8 @@ def extract(text: str) -> list[tuple[int, str, str, str]]:
 
     Environments are those with the usual beginnings and those that \\newtheorem declares; proofs,
     examples and the bibliography are skipped, comments dropped, macros expanded. The context is the
-    text since the last statement (its last 15000 characters). Too long statements are left out.
+    text since the last statement (its last 15000 characters). Too long statements are left out. An
+    environment that isn't closed before the next one begins is left out, and so is its text.
     """
     own = {m.group(1): m.group(2) for m in NEW_THEOREM.finditer(text)}
     known = macros(text)
@@ -110,8 +111,10 @@ def extract(text: str) -> list[tuple[int, str, str, str]]:
     out, at = [], 0
     while m := start.search(body, at):
         end = re.compile(rf"\\end\s*\{{{re.escape(m.group(1))}\}}").search(body, m.end())
-        if not end:
-            break
+        following = start.search(body, m.end())
+        if not end or (following and following.start() < end.start()):
+            at = m.end()
+            continue
         statement = expand(without_footnotes(body[m.end() : end.start()]).strip(), known)
         if 0 < len(statement) <= STATEMENT:
             out.append((len(out), kind_of(m.group(1), own), statement, expand(body[at : m.start()].strip()[-CONTEXT:], known)))

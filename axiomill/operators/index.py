@@ -7,13 +7,16 @@ row for each word and statement, and ``literal(word, thm_id, positions)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axiomill.functions import words as W
 
-#: Positions from here on aren't kept, positions of a literal word, statements of one.
-LAST_POSITION, LITERAL_POSITIONS, LITERAL_STATEMENTS = 127, 2, 300
+#: Places from here on aren't kept in a posting; valid words that a literal index goes
+#: through, places of a literal word, statements of one.
+LAST_POSITION, LITERAL_WORDS, LITERAL_POSITIONS, LITERAL_STATEMENTS = 127, 256, 2, 300
 
 
 def statements(rows: DataFrame) -> DataFrame:
@@ -28,53 +31,71 @@ def parts(statements_: DataFrame) -> DataFrame:
     return statements_.select("thm_id", both.alias("p")).select("thm_id", "p.part", "p.text").where("text is not null")
 
 
+def token_lists(texts: DataFrame) -> DataFrame:
+    """``thm_id, part, words``: the index words of each part in order."""
+    return texts.select("thm_id", "part", W.index_words(F.col("text")).alias("words"))
+
+
 def tokens(texts: DataFrame) -> DataFrame:
     """``thm_id, part, pos, word``: index words with their places among the index words of the part."""
-    found = F.filter(W.split_words(W.starred_algebra(F.lower("text"))), W.is_index_word)
-    return texts.select("thm_id", "part", F.posexplode(found).alias("pos", "word"))
+    return placed(token_lists(texts))
 
 
-def index_terms(tokens_: DataFrame, ngrams: DataFrame) -> DataFrame:
-    """``thm_id, part, pos, word`` of single words and of the 2- and 3-grams that ``ngrams(ngram)`` lists.
+def placed(lists: DataFrame) -> DataFrame:
+    return lists.select("thm_id", "part", F.posexplode("words").alias("pos", "word"))
 
-    Neighbours are read by ``lead`` within the part; the n-gram lookup is a semi-join.
+
+def runs(lists: DataFrame, n: int) -> DataFrame:
+    """``thm_id, part, pos, w0 .. w(n-1)``: each word with those after it (null past the end).
+
+    Neighbours are read within the row, so nothing is sorted or shuffled.
     """
-    window = Window.partitionBy("thm_id", "part").orderBy("pos")
-    near = tokens_.select("*", F.lead("word", 1).over(window).alias("w1"), F.lead("word", 2).over(window).alias("w2"))
-    own = W.singular(F.col("word"))
-    starts = near.where(F.length("word") >= 3).withColumn("own", own).where(~F.col("own").isin(*W.STOP_WORDS))
-    single = starts.where(W.is_literal_word(F.col("own"))).select("thm_id", "part", "pos", F.col("own").alias("word"))
+    shifted = [F.col("words").alias("w0"), *(F.slice("words", i + 1, F.greatest(F.size("words") - i, F.lit(0))).alias(f"w{i}") for i in range(1, n))]
+    return lists.select("thm_id", "part", F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w")).select("thm_id", "part", "pos", *(F.col(f"w.w{i}").alias(f"w{i}") for i in range(n)))
+
+
+def index_terms(lists: DataFrame, ngrams: DataFrame, stop_words: Iterable[str] = W.STOP_WORDS) -> DataFrame:
+    """``thm_id, part, pos, word`` of single words and of the 2- and 3-grams that ``ngrams(ngram)`` lists."""
+    starts = runs(lists, 3).where(F.length("w0") >= 3).withColumn("own", W.singular(F.col("w0"))).where(~F.col("own").isin(*stop_words))
+    single = starts.where(W.is_literal_word(F.col("own"), stop_words)).select("thm_id", "part", "pos", F.col("own").alias("word"))
     phrases = F.explode(F.array(
-        F.when(F.col("w1").isNotNull(), F.concat_ws(" ", "word", "w1")),
-        F.when(F.col("w2").isNotNull(), F.concat_ws(" ", "word", "w1", "w2")),
+        F.when(F.col("w1").isNotNull(), F.concat_ws(" ", "w0", "w1")),
+        F.when(F.col("w2").isNotNull(), F.concat_ws(" ", "w0", "w1", "w2")),
     ))
     several = starts.select("thm_id", "part", "pos", phrases.alias("phrase")).where("phrase is not null")
     listed = several.select("thm_id", "part", "pos", W.singular_last(F.col("phrase")).alias("word")).join(ngrams.select(F.col("ngram").alias("word")).distinct(), "word", "left_semi")
     return single.unionByName(listed.select("thm_id", "part", "pos", "word"))
 
 
+def places() -> Column:
+    """The places of a posting, in order; empty if all of them are past the last that is kept."""
+    return F.array_sort(F.collect_set(F.when(F.col("pos") < LAST_POSITION, F.col("pos")))).alias("positions")
+
+
 def postings(terms: DataFrame) -> DataFrame:
-    """``word, thm_id, part, positions``: one row for each word and statement, the statement's part first."""
-    near = terms.where(F.col("pos") < LAST_POSITION)
-    each = near.groupBy("word", "thm_id", F.when(F.col("part") == "T", 0).otherwise(1).alias("rank")).agg(F.array_sort(F.collect_set("pos")).alias("positions"))
+    """``word, thm_id, part, positions``: one row for each word and statement, the statement's part
+    first. A word that only stands past the last place that is kept has a row without places."""
+    each = all_postings(terms).withColumn("rank", F.when(F.col("part") == "T", 0).otherwise(1))
     first = each.groupBy("word", "thm_id").agg(F.min(F.struct("rank", "positions")).alias("p"))
     return first.select("word", "thm_id", F.when(F.col("p.rank") == 0, "T").otherwise("H").alias("part"), "p.positions")
 
 
 def all_postings(terms: DataFrame) -> DataFrame:
     """As :func:`postings`, with a row for each part."""
-    return terms.where(F.col("pos") < LAST_POSITION).groupBy("word", "thm_id", "part").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
+    return terms.groupBy("word", "thm_id", "part").agg(places())
 
 
-def literal_postings(texts: DataFrame) -> DataFrame:
+def literal_postings(texts: DataFrame, stop_words: Iterable[str] = W.STOP_WORDS) -> DataFrame:
     """``word, thm_id, positions``: valid words in the singular, with their first two places.
 
-    Places count all words of hypotheses and statement, in this order, from 0 and up to 126.
+    Places count the valid words of hypotheses and statement, in this order, from 0; the index goes
+    through 256 of them.
     """
     both = texts.groupBy("thm_id").agg(F.max(F.when(F.col("part") == "H", F.col("text"))).alias("h"), F.max(F.when(F.col("part") == "T", F.col("text"))).alias("t"))
-    found = both.select("thm_id", F.posexplode(W.split_words(F.concat_ws(" ", "h", "t"))).alias("pos", "raw"))
-    valid = found.where(W.is_literal_word(F.col("raw")) & (F.col("pos") < LAST_POSITION)).select("thm_id", "pos", W.singular(F.col("raw")).alias("word"))
-    return valid.groupBy("word", "thm_id").agg(F.slice(F.array_sort(F.collect_set("pos")), 1, LITERAL_POSITIONS).alias("positions"))
+    raw = F.filter(W.split_words(F.concat_ws(" ", "h", "t")), lambda w: W.is_literal_word(w, stop_words))
+    valid = F.filter(F.transform(raw, lambda w: W.singular(w)), lambda w: ~w.isin(*stop_words))
+    found = both.select("thm_id", F.posexplode(F.slice(valid, 1, LITERAL_WORDS)).alias("pos", "word"))
+    return found.groupBy("word", "thm_id").agg(F.slice(F.array_sort(F.collect_set("pos")), 1, LITERAL_POSITIONS).alias("positions"))
 
 
 def capped(literal: DataFrame, most: int = LITERAL_STATEMENTS) -> DataFrame:
@@ -99,6 +120,11 @@ def reindexed(bundles: DataFrame) -> DataFrame:
 
     Only the bundle sizes pass through one task, not the rows.
     """
+    return concatenated(bundles.select("bundle", "local_id"))
+
+
+def concatenated(bundles: DataFrame) -> DataFrame:
+    """``bundles(bundle, local_id, ..)`` with ``thm_id``: as :func:`reindexed`, with all columns."""
     sizes = bundles.groupBy("bundle").agg((F.max("local_id") + 1).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("bundle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return bundles.join(sizes.select("bundle", before.alias("offset")), "bundle").select("bundle", "local_id", (F.col("local_id") + F.col("offset")).alias("thm_id"))
+    return bundles.join(sizes.select("bundle", before.alias("offset")), "bundle").select(*bundles.columns, (F.col("local_id") + F.col("offset")).cast("bigint").alias("thm_id"))

@@ -49,11 +49,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1), strict=True):
                 (ids, q), (keys, v) = matrix(left.values), matrix(right.values)
+                # One matrix product tells which may be nearest; their distances are then exact.
+                rough = (v * v).sum(axis=1) - 2 * (q @ v.T)
+                n = min(k, len(keys))
+                slack = 1e-9 * (1 + np.abs(rough).max(initial=0.0))
+                bound = np.partition(rough, n - 1, axis=1)[:, n - 1] + slack
                 out = []
                 for i in range(len(ids)):
-                    d = ((v - q[i]) ** 2).sum(axis=1)
-                    near = np.lexsort((keys, d))[:k]
-                    out.append((np.full(len(near), ids[i]), keys[near], d[near]))
+                    some = np.flatnonzero(rough[i] <= bound[i])
+                    d = ((v[some] - q[i]) ** 2).sum(axis=1)
+                    best = np.lexsort((keys[some], d))[:k]
+                    near = some[best]
+                    out.append((np.full(len(near), ids[i]), keys[near], d[best]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[n] for o in out])) for n in range(3)], ["query_id", "vec_id", "dist2"])
 
     found = pairs.mapInArrow(run, "query_id bigint, vec_id bigint, dist2 double")

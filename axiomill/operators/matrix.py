@@ -41,7 +41,7 @@ def skipgram_sentences(texts: DataFrame, key: list[str]) -> DataFrame:
     singular, without let, then, and, have."""
     each = texts.select(*key, F.posexplode(markup.sentences(F.lower("text"))).alias("at", "sentence"))
     valid = F.filter(F.split("sentence", r"\s+"), lambda w: w.rlike(r"^[a-z]{3,}\z") & ~w.isin("let", "then", "and", "have"))
-    return each.select(*key, "at", F.transform(valid, W.singular).alias("words")).where(F.size("words") > 4)
+    return each.select(*key, "at", F.transform(valid, lambda w: W.singular(w)).alias("words")).where(F.size("words") > 4)
 
 
 def literal_json(weights: DataFrame) -> DataFrame:

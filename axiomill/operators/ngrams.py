@@ -1,7 +1,7 @@
 """Counting and choosing n-grams.
 
 A token after an invalid one is counted like any other; the line-at-a-time form of these counts
-skips it. Word pairs and triples are read by ``lead`` within a part, one sort for all of them.
+skips it. Runs of words are read from the list of a part's words, without a sort.
 """
 
 from __future__ import annotations
@@ -10,25 +10,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axiomill.functions import words as W
+from axiomill.operators.index import runs
 
 #: Fixed value: how much likelier than by chance a rare pair must be.
 LIFT = 2.5
 
 
-def neighbours(tokens: DataFrame, n: int) -> DataFrame:
-    """``w0 .. w(n-1)`` of all runs of n tokens."""
-    window = Window.partitionBy("thm_id", "part").orderBy("pos")
-    runs = tokens.select(F.col("word").alias("w0"), *(F.lead("word", i).over(window).alias(f"w{i}") for i in range(1, n)))
-    return runs.where(F.col(f"w{n - 1}").isNotNull())
+def neighbours(lists: DataFrame, n: int) -> DataFrame:
+    """``w0 .. w(n-1)`` of all runs of n tokens of ``lists(thm_id, part, words)``."""
+    return runs(lists, n).where(F.col(f"w{n - 1}").isNotNull()).drop("thm_id", "part", "pos")
 
 
 def valid(word: Column, least: int = 3) -> Column:
     return (F.length(word) >= least) & word.rlike(r"^[a-z]+\z") & ~word.isin(*W.STOP_WORDS)
 
 
-def two_grams(tokens: DataFrame) -> DataFrame:
+def two_grams(lists: DataFrame) -> DataFrame:
     """``w0, w1, freq``: both words valid, the second in the singular."""
-    runs = neighbours(tokens, 2).where(valid(F.col("w0")) & valid(F.col("w1")))
+    runs = neighbours(lists, 2).where(valid(F.col("w0")) & valid(F.col("w1")))
     return runs.groupBy("w0", W.singular(F.col("w1")).alias("w1")).agg(F.count("*").alias("freq"))
 
 
@@ -53,11 +52,11 @@ def chosen_two_grams(two: DataFrame, words: DataFrame) -> DataFrame:
     return kept.select(F.concat_ws(" ", "w0", "w1").alias("ngram"), "freq")
 
 
-def three_grams(tokens: DataFrame) -> DataFrame:
+def three_grams(lists: DataFrame) -> DataFrame:
     """``w0, w1, w2, freq``: outer words valid (the last longer than three letters, not ending in
     -ed), the middle one of at least two letters."""
     ok = valid(F.col("w0")) & F.col("w1").rlike(r"^[a-z]{2,}\z") & valid(F.col("w2"), 4) & ~F.col("w2").rlike("ed$")
-    runs = neighbours(tokens, 3).where(ok)
+    runs = neighbours(lists, 3).where(ok)
     return runs.groupBy("w0", "w1", W.singular(F.col("w2")).alias("w2")).agg(F.count("*").alias("freq"))
 
 
@@ -85,9 +84,9 @@ def augmented(own: DataFrame, listed: DataFrame, n: int) -> DataFrame:
     return own.unionByName(more.crossJoin(F.broadcast(mean))).groupBy("ngram").agg(F.max("freq").alias("freq"))
 
 
-def entity_ngrams(tokens: DataFrame, n: int = 4, least: int = 2) -> DataFrame:
+def entity_ngrams(lists: DataFrame, n: int = 4, least: int = 2) -> DataFrame:
     """``ngram, freq``: clean runs of n words that neither start nor end in a verb form or stop word."""
-    runs = neighbours(tokens, n)
+    runs = neighbours(lists, n)
     clean = F.lit(True)
     for i in range(n):
         clean = clean & F.col(f"w{i}").rlike(r"^[a-z]+\z")

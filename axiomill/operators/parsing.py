@@ -174,10 +174,27 @@ def chart(nodes: list[Node]) -> dict[tuple[int, int], dict[str, Node]]:
 WHOLE = ("s", "hypo", "vp", "np", "pp", "adj")
 
 
+#: Words that a sentence can be parsed again without.
+FLUFF = frozenset("then there also again moreover furthermore hence thus therefore so now clearly obviously indeed just only even".split())
+
+
 def parse(sentence: str) -> list[Node]:
-    """The best derivation of the sentence, or of the fewest pieces that cover it. More than MOST_ITEMS
-    are parsed in consecutive parts, so that no derivation spans such a sentence."""
-    nodes = items(tagged(sentence))
+    """The best derivation of the sentence, or of the fewest pieces that cover it.
+
+    If it takes several pieces, the sentence is parsed again without fluff and adverbs, and that stands
+    if it takes fewer. More than MOST_ITEMS are parsed in consecutive parts, so that no derivation spans
+    such a sentence.
+    """
+    words = tagged(sentence)
+    first = pieces(items(words))
+    bare = [(w, tag) for w, tag in words if tag != "adverb" and w not in FLUFF]
+    if len(first) < 2 or len(bare) == len(words) or not bare:
+        return first
+    again = pieces(items(bare))
+    return again if len(again) < len(first) else first
+
+
+def pieces(nodes: list[Node]) -> list[Node]:
     return [piece for i in range(0, len(nodes), MOST_ITEMS) for piece in derived(nodes[i : i + MOST_ITEMS])]
 
 
@@ -268,12 +285,3 @@ def parse_share(rows: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
 
     return rows.agg(F.count("*").alias("n_sentences"), F.avg(F.col("spans").cast("int")).alias("share"))
-
-
-def relation_bits(pairs: DataFrame, vocab: DataFrame, size: int) -> DataFrame:
-    """``thm_id, bits``: |V| · slot + word number, slot 0 for a parent and 1 for a child."""
-    from pyspark.sql import functions as F
-
-    each = pairs.select("thm_id", F.explode(F.array(F.struct(F.lit(0).alias("slot"), F.col("parent").alias("word")), F.struct(F.lit(1).alias("slot"), F.col("child").alias("word")))).alias("x"))
-    met = each.select("thm_id", "x.slot", "x.word").join(vocab.select("word", "word_idx"), "word")
-    return met.groupBy("thm_id").agg(F.array_sort(F.collect_set(F.col("slot") * size + F.col("word_idx"))).alias("bits"))

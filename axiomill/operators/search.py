@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from axiomill.functions import words as W
 from axiomill.operators import index
+from axiomill.session import checkpointed
 
 #: Fixed values of the ranking.
 NEAREST, CAP, RELATED, NO_POSITION = 60, 400, 4, 127
@@ -27,7 +28,7 @@ def query_tokens(queries: DataFrame, ngrams: DataFrame) -> DataFrame:
     """
     text = F.regexp_replace(F.lower("text"), r"^\s*(?:theorem|lemma)", "")
     texts = queries.select(F.col("query_id").alias("thm_id"), F.lit("Q").alias("part"), text.alias("text")).where("text is not null")
-    terms = index.index_terms(index.tokens(texts), ngrams)
+    terms = index.index_terms(index.token_lists(texts), ngrams)
     first = terms.groupBy(F.col("thm_id").alias("query_id"), "word").agg(F.min("pos").alias("pos"))
     return first.withColumn("n", F.size(F.split("word", " ")))
 
@@ -124,29 +125,44 @@ def hyp_penalty(distances: DataFrame) -> DataFrame:
     return distances.withColumn("dist", F.when(F.col("first_pos") == NO_POSITION, F.col("dist") - less).otherwise(F.col("dist")).cast("bigint"))
 
 
-def two_stage(scores: DataFrame, distances: DataFrame, nearest: int = NEAREST, cap: int = CAP) -> DataFrame:
-    """``query_id, thm_id, score, span, dist, first_pos, rn``: the best statements of each query.
+def two_stage(scores: DataFrame, hits_: DataFrame, nearest: int = NEAREST, cap: int = CAP) -> DataFrame:
+    """``query_id, thm_id, score, span, dist, first_pos, generic, rn``: the best statements of each query.
 
-    Stage 1 keeps ``nearest`` by span, and up to ``cap`` with the first one's score; stage 2 orders
-    them by score, span, distance points, first place and id.
+    Stage 1 keeps ``nearest`` by span, and up to ``cap`` with the first one's score; stage 2 orders them
+    by score, span, distance points, first place and id. Distances are found for what stage 1 kept
+    only; matches in the hypotheses alone lose some. ``generic``: one generic word is all that matched.
     """
     one = Window.partitionBy("query_id").orderBy(F.desc("span"), F.desc("score"), "thm_id")
     # Two ranking filters: the outer bound is applied to each task's rows before the shuffle.
     ranked = scores.withColumn("r1", F.row_number().over(one)).where(F.col("r1") <= cap)
     first = F.max(F.when(F.col("r1") == 1, F.col("score"))).over(Window.partitionBy("query_id"))
     kept = ranked.withColumn("top", first).where((F.col("r1") <= nearest) | (F.col("score") == F.col("top"))).drop("r1", "top")
-    full = kept.join(distances, ["query_id", "thm_id"], "left").select("query_id", "thm_id", "score", "span", F.coalesce("dist", F.lit(0)).alias("dist"), F.coalesce("first_pos", F.lit(NO_POSITION)).alias("first_pos"))
+    near = hits_.join(kept.select("query_id", "thm_id"), ["query_id", "thm_id"], "left_semi")
+    alone = near.groupBy("query_id", "thm_id").agg(((F.min("word") == F.max("word")) & F.min("word").isin(*W.GENERIC_TERMS)).alias("generic"))
+    full = kept.join(hyp_penalty(word_distance(near)), ["query_id", "thm_id"], "left").join(alone, ["query_id", "thm_id"], "left")
+    full = full.select("query_id", "thm_id", "score", "span", F.coalesce("dist", F.lit(0)).alias("dist"), F.coalesce("first_pos", F.lit(NO_POSITION)).alias("first_pos"), "generic")
     two = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("span"), F.desc("dist"), "first_pos", "thm_id")
     return full.withColumn("rn", F.row_number().over(two))
 
 
-def pruned(ranked: DataFrame) -> DataFrame:
-    """Results before the first one of less span than the top and less than half its score."""
+def pruned(ranked: DataFrame, n_words: DataFrame, most: int = NEAREST) -> DataFrame:
+    """At most ``most`` results before the first bad one.
+
+    A result of less span than the top is bad if it has less than half the top's score (in whole
+    numbers), or if one generic word is all that matched; one of the same span is bad if that span is
+    1, the query has several words and the one that matched is generic. ``n_words(query_id, n_words)``.
+    """
     window = Window.partitionBy("query_id")
     top = ranked.select("*", F.max(F.when(F.col("rn") == 1, F.col("span"))).over(window).alias("ts"), F.max(F.when(F.col("rn") == 1, F.col("score"))).over(window).alias("tc"))
-    bad = (F.col("span") < F.col("ts")) & (F.col("score") * 2 < F.col("tc"))
-    cut = top.withColumn("cut", F.min(F.when(bad, F.col("rn"))).over(window))
-    return cut.where(F.col("cut").isNull() | (F.col("rn") < F.col("cut"))).drop("ts", "tc", "cut")
+    less = (F.col("span") < F.col("ts")) & ((F.col("score") < F.floor(F.col("tc") / 2)) | ((F.col("span") == 1) & F.col("generic")))
+    same = (F.col("span") >= F.col("ts")) & (F.col("ts") == 1) & (F.coalesce("n_words", F.lit(0)) > 1) & F.col("generic")
+    cut = top.join(n_words, "query_id", "left").withColumn("cut", F.min(F.when(less | same, F.col("rn"))).over(window))
+    return cut.where((F.col("rn") <= most) & (F.col("cut").isNull() | (F.col("rn") < F.col("cut")))).select(*ranked.columns)
+
+
+def words_of(queries: DataFrame) -> DataFrame:
+    """``query_id, n_words``: the different words of a query."""
+    return queries.where("text is not null").select("query_id", F.size(W.distinct_words(F.col("text"))).alias("n_words"))
 
 
 def early_pruned(hits_: DataFrame, tokens: DataFrame, selected: int = NEAREST) -> DataFrame:
@@ -179,7 +195,7 @@ def literal_search(queries: DataFrame, literal: DataFrame, least: int = 1) -> Da
 
 def literal_wanted(span: Column, n_words: Column) -> Column:
     """Whether the intersection covers too little of a query and the literal index is to be asked."""
-    return F.when(n_words == 2, span < 2).when(n_words > 7, span / n_words < 0.4).otherwise(span / n_words < 0.5)
+    return F.when(n_words == 2, span < 2).when(n_words > 7, F.try_divide(span, n_words) < 0.4).otherwise(F.try_divide(span, n_words) < 0.5)
 
 
 def context_rerank(ranked: DataFrame, query_pairs: DataFrame, pairs: DataFrame, weight: float = 0.95) -> DataFrame:
@@ -212,8 +228,10 @@ def fused(first: DataFrame, second: DataFrame, n_words: DataFrame, most: int = N
     A result of the first list keeps its place i if its span reaches the query's threshold (all
     words of two, all but one of five, else two thirds); otherwise the places in both lists add up,
     or the other list's length is added. Results of the second list alone follow the first's length.
+    The first list's top leads if the fused top isn't in that list, or of less than four fifths of its
+    span, and has less score.
     """
-    a = first.select("query_id", "thm_id", "span", (F.col("rn") - 1).alias("i"))
+    a = first.select("query_id", "thm_id", "span", F.col("score").alias("weight"), (F.col("rn") - 1).alias("i"))
     b = second.select("query_id", "thm_id", (F.col("rn") - 1).alias("j"))
     len_a, len_b = (x.groupBy("query_id").agg(F.count("*").alias(n)) for x, n in ((a, "len_a"), (b, "len_b")))
     n = F.col("n_words")
@@ -225,8 +243,68 @@ def fused(first: DataFrame, second: DataFrame, n_words: DataFrame, most: int = N
         .when(F.col("j").isNotNull(), F.col("i") + F.col("j"))
         .otherwise(F.col("i") + F.coalesce("len_b", F.lit(0)))
     )
-    order = Window.partitionBy("query_id").orderBy("score", "thm_id")
-    return both.select("query_id", "thm_id", score.cast("bigint").alias("score")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
+    window = Window.partitionBy("query_id")
+    placed = both.withColumn("fused", score.cast("bigint"))
+    top = F.first(F.struct("i", "span", "weight")).over(window.orderBy("fused", "thm_id"))
+    best = F.max(F.when(F.col("i") == 0, F.struct("span", "weight"))).over(window)
+    met = placed.withColumn("top", top).withColumn("best", best)
+    weak = F.col("top.i").isNull() | (F.col("top.span") < F.col("best.span") * 0.8)
+    lighter = F.col("top.weight").isNull() | (F.col("top.weight") < F.col("best.weight"))
+    promoted = F.coalesce((F.col("i") == 0) & weak & lighter, F.lit(False))
+    order = window.orderBy(F.desc(promoted), "fused", "thm_id")
+    return met.select("query_id", "thm_id", F.col("fused").alias("score"), F.row_number().over(order).alias("rn")).where(F.col("rn") <= most)
+
+
+def read_queries(queries: DataFrame) -> DataFrame:
+    """``query_id, text, mode, most``: a leading "context" or "relation" is the mode of reranking, a
+    leading number how many results are wanted; the rest, in lower case, is what is searched for."""
+    low = queries.where("text is not null").withColumn("text", F.lower("text"))
+    mode = F.regexp_extract("text", r"^\s*(context|relation)\s+\S", 1)
+    rest = F.regexp_replace("text", r"^\s*(?:context|relation)\s+(?=\S)", "")
+    split = low.withColumn("mode", mode).withColumn("text", rest)
+    most = F.regexp_extract("text", r"^\s*(\d{1,6})\s+\S", 1)
+    return split.select("query_id", F.regexp_replace("text", r"^\s*\d{1,6}\s+(?=\S)", "").alias("text"), "mode", F.when(most == "", NEAREST).otherwise(most.try_cast("int")).alias("most"))
+
+
+def combined(
+    queries: DataFrame, words: DataFrame, ngrams: DataFrame, postings: DataFrame, literal: DataFrame, nearest: DataFrame | None = None,
+    pairs: tuple[DataFrame, DataFrame] | None = None, bits: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """``query_id, thm_id, origin, rn``: a whole search for each of a batch of queries as typed.
+
+    1. Words and n-grams are intersected, ranked in two stages and pruned (origin 'words').
+    2. In the modes "context" and "relation" these results are reranked, by ``pairs`` (of queries and of
+       statements) or ``bits``; without them, or for one word, the order stays.
+    3. Where the intersection covers too little of a query, literal hits follow ('literal').
+    4. Where nothing was found, ``nearest(query_id, thm_id, rn)``, if given, stands in ('vectors').
+
+    Blank queries have no results.
+    """
+    asked = read_queries(queries)
+    # Stored: both are bounded by the queries, and several of the following steps read them.
+    tokens = checkpointed(scored_tokens(query_tokens(asked, ngrams), words, ngrams, postings))
+    met = hits(tokens, postings)
+    counted = words_of(asked)
+    found = checkpointed(pruned(two_stage(intersection(met), met), counted))
+    for mode, rerank, given in (("context", context_rerank, pairs), ("relation", relation_rerank, bits)):
+        if given is not None:
+            several = asked.where(F.col("mode") == mode).join(counted.where("n_words > 1"), "query_id", "left_semi").select("query_id")
+            again = rerank(found.join(several, "query_id", "left_semi"), *given).select("query_id", "thm_id", F.col("rn").alias("again"))
+            found = found.join(again, ["query_id", "thm_id"], "left").withColumn("rn", F.coalesce("again", "rn")).drop("again")
+    covered = found.groupBy("query_id").agg(F.max("span").alias("span"))
+    wanting = counted.join(covered, "query_id", "left").where(literal_wanted(F.coalesce("span", F.lit(0)), F.col("n_words"))).select("query_id")
+    order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "thm_id"))
+    literally = literal_search(asked.join(wanting, "query_id", "left_semi"), literal).withColumn("rn", order)
+    parts = [found.select("query_id", "thm_id", F.lit("words").alias("origin"), "rn"), literally.select("query_id", "thm_id", F.lit("literal").alias("origin"), "rn")]
+    if nearest is not None:
+        parts.append(nearest.join(parts[0].unionByName(parts[1]).select("query_id"), "query_id", "left_anti").select("query_id", "thm_id", F.lit("vectors").alias("origin"), "rn"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    place = F.when(F.col("origin") == "words", 0).when(F.col("origin") == "literal", 1).otherwise(2)
+    once = every.groupBy("query_id", "thm_id").agg(F.min(F.struct(place.alias("p"), "rn", "origin")).alias("b")).select("query_id", "thm_id", "b.*")
+    last = F.row_number().over(Window.partitionBy("query_id").orderBy("p", "rn", "thm_id"))
+    return once.withColumn("rn", last).join(asked.select("query_id", "most"), "query_id").where("rn <= most").select("query_id", "thm_id", "origin", "rn")
 
 
 def in_given_order(rows: DataFrame, ids: DataFrame) -> DataFrame:

@@ -129,3 +129,21 @@ def curated(terms: DataFrame, words: DataFrame) -> DataFrame:
     """``word, freq`` of a curated list, absent words with the average."""
     both = terms.select("word").distinct().join(words, "word", "left").crossJoin(F.broadcast(average_frequency(words)))
     return both.select("word", F.coalesce("freq", "average").alias("freq"))
+
+
+def pruned_synonyms(synonyms: DataFrame, known: DataFrame, normal: DataFrame | None = None) -> DataFrame:
+    """``word, related_word``: synonyms of which both words are known, raw, in the singular or in the
+    normal form of ``normal(word, normal)``, the first that is; each pair once, no word its own.
+
+    ``synonyms(word, related_word)``, ``known(word)``. Each different word is looked up once.
+    """
+    every = synonyms.select(F.explode(F.array("word", "related_word")).alias("raw")).where("raw is not null").distinct()
+    forms = every.select("raw", W.singular(F.col("raw")).alias("one"))
+    third = F.lit(None).cast("string")
+    if normal is not None:
+        forms = forms.join(normal.select(F.col("word").alias("one"), "normal"), "one", "left")
+        third = F.col("normal")
+    each = forms.select("raw", F.posexplode(F.array("raw", "one", third)).alias("at", "form")).where("form is not null")
+    met = each.join(known.select(F.col("word").alias("form")).distinct(), "form", "left_semi").groupBy("raw").agg(F.min_by("form", "at").alias("form"))
+    left, right = met.select(F.col("raw").alias("word"), F.col("form").alias("a")), met.select(F.col("raw").alias("related_word"), F.col("form").alias("b"))
+    return synonyms.join(left, "word").join(right, "related_word").where("a <> b").select(F.col("a").alias("word"), F.col("b").alias("related_word")).distinct()

@@ -27,24 +27,33 @@ def query(oracle: str | None = None):
 PT = f"{Q.ST}, {Q.PARTS}"
 
 
-def literal(text: str) -> str:
-    return text.replace("'", "''")
+# What a look-ahead or look-behind keeps is put aside first, as DuckDB's patterns have neither.
+KEPT = "replace(replace(replace({}, '\\dfrac', chr(3)), '\\ite', chr(4)), '\\%', chr(5))"
+RESTORED = "replace(replace(replace({}, chr(3), '\\dfrac'), chr(4), '\\ite'), chr(5), '\\%')"
+FORMATTING = (
+    r"(?i)\\df|\\emph|\\em|\\rm |\\cat|\\it|\\eqref|\\subsection|\\section|\\bf|\\vspace|\\ensuremath|\\(?:textbf|textsl|textsc|textnormal)|\\linebreak|%"
+    r"|\\fml|\\ofml|\\(?:begin|end)\{enumerate\}|\\(?:begin|end)\{(?:sub)*section\**\}|\\begin\{slogan\}|\\end\{slogan\}|\\sbsb|\\cat|\\bs|\\maketitle|\\textup"
+    r"|\\section\**\{(?:[^}]*)\}\s*|\\noindent|\\(?:small|big)skip|\\cite\{[^}]+\}|\\cite\[[^\]]+\]|\\par\s|\\(?:begin|end)\{displaymath\}"
+)
+STATEMENT_ENDS = r"(?i)\\(?:begin|end)\{(?:def|lem|th|pr|co|re)[^}]*\}\s*"
+HYPOTHESIS = "(?:assume|denote|define|let|is said|suppose|where|is called|if|given)."
+KINDS = (("def", "Definition"), ("conj", "Conjecture"), ("cor", "Corollary"), ("proclaim", "Claim"), ("lem", "Lemma"), ("prop", "Proposition"), ("theo", "Theorem"), ("thm", "Theorem"))
 
 
 @query(
-    f"""WITH {PT} SELECT thm_id, part, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-        '\\\\index\\{{[^}}]*\\}}%*', '', 'g'), '{literal(markup.FORMATTING)}', '', 'g'), '{literal(markup.STATEMENT_ENDS)}', '', 'g'), '\\\\item\\b', ' -', 'g'), '([<>])', ' \\1 ', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM pt"""
+    f"""WITH {PT}, a AS (SELECT thm_id, part, {RESTORED.format(f"regexp_replace({KEPT.format('c')}, '{FORMATTING}', '', 'g')")} AS f FROM (SELECT thm_id, part, regexp_replace(text, '\\\\index\\{{[^}}]*\\}}%*', '', 'g') AS c FROM pt))
+        SELECT thm_id, part, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(f, '{STATEMENT_ENDS}', '', 'g'), '\\\\item\\b', ' -', 'g'), '([<>])', ' \\1 ', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM a"""
 )
 def text_cleanup(spark, sf_dir):
     return corpus.parts(spark, sf_dir).select("thm_id", "part", markup.cleaned(F.col("text")).alias("cleaned"))
 
 
-@query(f"WITH {Q.ST} SELECT thm_id, CASE {' '.join(f'''WHEN lower(trim(thm_type)) LIKE '{k}%' THEN '{v}' ''' for k, v in reversed(markup.KINDS.items()))} END AS kind FROM st")
+@query(f"WITH {Q.ST} SELECT thm_id, CASE {' '.join(f'''WHEN lower(trim(thm_type)) LIKE '{k}%' THEN '{v}' ''' for k, v in KINDS)} END AS kind FROM st")
 def statement_kind(spark, sf_dir):
     return corpus.statements(spark, sf_dir).select("thm_id", markup.kind(F.col("thm_type")).alias("kind"))
 
 
-@query(f"WITH {PT} SELECT thm_id, part, regexp_matches(lower(text), '{markup.HYPOTHESIS}') AS is_hypothesis FROM pt")
+@query(f"WITH {PT} SELECT thm_id, part, regexp_matches(lower(text), '{HYPOTHESIS}') AS is_hypothesis FROM pt")
 def hypothesis_flag(spark, sf_dir):
     return corpus.parts(spark, sf_dir).select("thm_id", "part", markup.is_hypothesis(F.col("text")).alias("is_hypothesis"))
 
@@ -124,7 +133,7 @@ def similar_names(spark, sf_dir):
     return pairs.where(W.names_alike(F.col("a"), F.col("b"))).select("a", "b")
 
 
-@query(f"WITH {Q.ALL}, u AS (SELECT DISTINCT word FROM tok) SELECT word, CASE WHEN regexp_matches(word, '(?:al|ic|ous|able|ible|ive|ary|ular|ent|ian|ine|ate)$') THEN 'adj' WHEN regexp_matches(word, 'ly$') THEN 'adverb' WHEN regexp_matches(word, '(?:tion|sion|ness|ity|ism|oid|ment|or|er|ix|yx|um|ode|ule|ad|and|ella)$') THEN 'ent' WHEN regexp_matches(word, 'ing$') THEN 'gerund' WHEN regexp_matches(word, 'ed$') THEN 'parti' END AS pos FROM u")
+@query(f"WITH {Q.ALL}, u AS (SELECT DISTINCT word FROM tok) SELECT word, CASE WHEN regexp_matches(word, '.ly$') THEN 'adverb' WHEN regexp_matches(word, '.ing$') THEN 'gerund' WHEN regexp_matches(word, '.(?:tive|wise|ary|ble|ous|ent|like|nal|lar|nian|cal|ed)$') THEN 'adj' WHEN regexp_matches(word, '.(?:tion|son|ace|ty|sor|ser|ture)$') THEN 'ent' END AS pos FROM u")
 def suffix_pos(spark, sf_dir):
     return corpus.tokens(spark, sf_dir).select("word").distinct().select("word", W.suffix_part_of_speech(F.col("word")).alias("pos"))
 
@@ -159,11 +168,11 @@ def paper_word_string(spark, sf_dir):
         f"""{Q.ALL}, {Q.FREQ},
         sn AS (SELECT thm_id, list_filter(list_transform(regexp_split_to_array(thm, '[.!?;:]\\s+|\\.$|\\n+'), lambda s: trim(s)), lambda s: s <> '') AS l FROM st WHERE thm IS NOT NULL),
         pi AS (SELECT thm_id, i - 1 AS piece, l[i] AS text FROM (SELECT thm_id, l, unnest(range(1, len(l) + 1)) AS i FROM sn) WHERE length(l[i]) >= 9),
-        pj AS (SELECT thm_id, piece, text, length(text) < 26 OR (length(text) < 40 AND regexp_matches(lower(text), '{markup.HYPOTHESIS}') AND NOT contains(lower(text), 'then')) AS low FROM pi),
+        pj AS (SELECT thm_id, piece, text, length(text) < 26 OR (length(text) < 40 AND regexp_matches(lower(text), '{HYPOTHESIS}') AND NOT contains(lower(text), 'then')) AS low FROM pi),
         px AS (SELECT thm_id, piece, low, unnest({Q.split_words('text')}) AS raw FROM pj),
         pt2 AS (SELECT DISTINCT thm_id, piece, low, {Q.singular('raw')} AS word FROM px WHERE {Q.literal_word('raw')} AND NOT regexp_matches(raw, '{Q.SPECIAL}')),
         kn AS (SELECT DISTINCT thm_id AS other, word FROM pt2), dk AS (SELECT word, count(*) AS df FROM kn GROUP BY 1),
-        ra AS (SELECT dk.word, {Q.score('fr.freq')} AS score FROM dk JOIN fr USING (word) WHERE df <= least(300, greatest(2, (SELECT count(DISTINCT thm_id) FROM pj) * 0.02e0))),
+        ra AS (SELECT dk.word, {Q.score('fr.freq')} AS score FROM dk JOIN fr USING (word) WHERE df <= greatest(2, (SELECT count(DISTINCT thm_id) FROM pj) * 0.02e0)),
         mt AS (SELECT pt2.thm_id, piece, low, other, sum(score) AS score, count(*) AS span FROM pt2 JOIN ra USING (word) JOIN kn USING (word) WHERE pt2.thm_id <> other GROUP BY 1, 2, 3, 4),
         kp AS (SELECT * FROM mt QUALIFY row_number() OVER (PARTITION BY thm_id, piece ORDER BY span DESC, score DESC, other) <= 51),
         sg AS (SELECT thm_id, other, CAST(sum(score) AS BIGINT) AS score, CAST(sum(span) AS BIGINT) AS span, min(low) AS low FROM kp GROUP BY 1, 2)""",

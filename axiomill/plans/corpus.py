@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from axiomill.functions import words as W
 from axiomill.operators import index, ngrams, vocabulary
 from axiomill.plans import sql as Q
-from axiomill.session import table
+from axiomill.session import checkpointed, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -37,15 +36,15 @@ def tokens(spark, sf_dir):
     return index.tokens(parts(spark, sf_dir))
 
 
-def kept_tokens(spark, sf_dir):
-    """As :func:`tokens`, kept in memory or on disk for queries that read them several times."""
-    return tokens(spark, sf_dir).repartition("thm_id").persist(StorageLevel.MEMORY_AND_DISK)
+def lists(spark, sf_dir):
+    return index.token_lists(parts(spark, sf_dir))
 
 
 def grams(spark, sf_dir):
-    """(tokens, words, chosen pairs, chosen triples)"""
-    own = kept_tokens(spark, sf_dir)
-    words = vocabulary.word_frequency(own)
+    """(lists of tokens, words, chosen pairs, chosen triples); the lists are stored, as several counts
+    read them."""
+    own = checkpointed(lists(spark, sf_dir))
+    words = vocabulary.word_frequency(index.placed(own))
     two = ngrams.two_grams(own)
     return own, words, ngrams.chosen_two_grams(two, words), ngrams.chosen_three_grams(ngrams.three_grams(own), two)
 
@@ -216,14 +215,14 @@ def true_fluff(spark, sf_dir):
 
 @query(Q.q(f"{Q.ALL}, {Q.NEAR}, {Q.TWO}", "SELECT w0, w1, freq FROM two"))
 def bigram_counts(spark, sf_dir):
-    return ngrams.two_grams(tokens(spark, sf_dir))
+    return ngrams.two_grams(lists(spark, sf_dir))
 
 
 @query(
     Q.q(f"{Q.ALL}, {Q.NEAR}, {Q.TWO}", "SELECT w0, count(*) AS n_next, CAST(sum(freq) AS BIGINT) AS total, CAST(floor(sum(freq) / count(*) + 0.5) AS BIGINT) AS average FROM two GROUP BY w0")
 )
 def bigram_average_follow(spark, sf_dir):
-    return ngrams.average_follow(ngrams.two_grams(tokens(spark, sf_dir)))
+    return ngrams.average_follow(ngrams.two_grams(lists(spark, sf_dir)))
 
 
 @query(Q.q(Q.GRAMS, "SELECT ngram, freq FROM tc"))
@@ -233,7 +232,7 @@ def bigram_selection(spark, sf_dir):
 
 @query(Q.q(f"{Q.ALL}, {Q.NEAR}, {Q.THREE}", "SELECT w0, w1, w2, freq FROM three"))
 def trigram_counts(spark, sf_dir):
-    return ngrams.three_grams(tokens(spark, sf_dir))
+    return ngrams.three_grams(lists(spark, sf_dir))
 
 
 @query(Q.q(Q.GRAMS, "SELECT ngram, freq FROM hc"))
@@ -250,7 +249,7 @@ def trigram_selection(spark, sf_dir):
     )
 )
 def ngram4_mining(spark, sf_dir):
-    return ngrams.entity_ngrams(tokens(spark, sf_dir))
+    return ngrams.entity_ngrams(lists(spark, sf_dir))
 
 
 @query(

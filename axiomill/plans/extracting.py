@@ -8,7 +8,7 @@ from axiomill.functions import markup
 from axiomill.operators import extraction, parsing, recipes
 from axiomill.plans import corpus
 from axiomill.plans import sql as Q
-from axiomill.session import checkpointed, table
+from axiomill.session import table
 from axiomill.sources import readers, sinks
 
 QUERIES, ORACLES = {}, {}
@@ -98,7 +98,9 @@ def bundle_lookup(spark, sf_dir):
 
 @query()
 def parse_sections(spark, sf_dir):
-    return parsing.parsed(corpus.parts(spark, sf_dir).where("part = 'T'"), "thm_id")
+    texts = corpus.parts(spark, sf_dir).select(F.concat_ws("/", "thm_id", "part").alias("key"), "text")
+    found = parsing.parsed(texts, "key")
+    return found.select(F.split("key", "/")[0].cast("int").alias("thm_id"), F.split("key", "/")[1].alias("part"), *found.columns[1:])
 
 
 @query()
@@ -106,13 +108,6 @@ def parse_statistics(spark, sf_dir):
     return parsing.parse_share(parse_sections(spark, sf_dir))
 
 
-@query()
-def relation_vectors(spark, sf_dir):
-    vocab = checkpointed(corpus.vocab(spark, sf_dir))
-    pairs = parse_sections(spark, sf_dir).select("thm_id", F.explode("pairs").alias("p")).select("thm_id", "p.child", "p.parent")
-    return parsing.relation_bits(pairs, vocab, vocab.count())
-
-
 @query()
 def recipe_edges(spark, sf_dir):
     return recipes.edges(table(spark, sf_dir, "documents").where("source = 'recipe_notes'"), "doc_id")

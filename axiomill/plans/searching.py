@@ -41,7 +41,7 @@ def prepared(spark, sf_dir):
 
 ASKED = "qs AS (SELECT paper_id AS query_id, max(title) AS text FROM papers WHERE title IS NOT NULL GROUP BY 1)"
 QTOKENS = f"""{Q.GRAMS}, {Q.TERMS}, {Q.POSTINGS}, {ASKED},
-    ql AS (SELECT query_id, list_filter({Q.split_words(Q.starred("lower(regexp_replace(lower(text), '^\\s*(?:theorem|lemma)', ''))"))}, lambda x: NOT regexp_matches(x, '{Q.SPECIAL}')) AS w FROM qs),
+    ql AS (SELECT query_id, {Q.index_words("regexp_replace(lower(text), '^\\s*(?:theorem|lemma)', '')")} AS w FROM qs),
     qx AS (SELECT query_id, i - 1 AS pos, w[i] AS w0, w[i + 1] AS w1, w[i + 2] AS w2 FROM (SELECT query_id, w, unnest(range(1, len(w) + 1)) AS i FROM ql)),
     qw AS (SELECT * FROM qx WHERE length(w0) >= 3 AND {Q.singular('w0')} NOT IN {Q.STOP}),
     qa AS (SELECT query_id, pos, {Q.singular('w0')} AS word FROM qw WHERE {Q.literal_word(Q.singular('w0'))}
@@ -63,21 +63,35 @@ SCORES = """
     ow AS (SELECT * FROM cv QUALIFY row_number() OVER (PARTITION BY query_id, thm_id, p ORDER BY rank) = 1),
     ws AS (SELECT query_id, thm_id, word, max(score) AS score, count(*) AS span FROM ow GROUP BY 1, 2, 3),
     sc AS (SELECT query_id, thm_id, CAST(sum(score) AS BIGINT) AS score, CAST(sum(span) AS BIGINT) AS span FROM ws GROUP BY 1, 2)"""
-DISTANCE = f"""
-    sp AS (SELECT query_id, thm_id, part, word, rank, unnest(positions) AS spot FROM hi),
-    so AS (SELECT query_id, thm_id, part, spot, arg_max(word, rank) AS word FROM sp GROUP BY 1, 2, 3, 4),
-    gp AS (SELECT *, spot - lag(spot) OVER (PARTITION BY query_id, thm_id, part ORDER BY spot) AS gap FROM so),
-    pn AS (SELECT *, CASE WHEN gap IS NULL THEN 0 ELSE CASE WHEN gap = 1 THEN 2 WHEN gap IN (2, 3) THEN 1 ELSE 0 END + 2 * (length(word) - length(replace(word, ' ', ''))) END AS points FROM gp),
-    pw AS (SELECT query_id, thm_id, part, word, max(points) AS points, count(*) AS n, min(spot) AS spot FROM pn GROUP BY 1, 2, 3, 4),
-    pp AS (SELECT query_id, thm_id, part, CASE WHEN sum(n) < 2 OR (count(*) = 1 AND min(word) IN ({", ".join(f"'{w}'" for w in W.GENERIC_TERMS)})) THEN 0 ELSE sum(points) END AS dist,
-                  CASE WHEN sum(n) >= 2 THEN min(spot) ELSE 127 END AS first_pos FROM pw GROUP BY 1, 2, 3),
-    di AS (SELECT query_id, thm_id, CAST(sum(dist) AS BIGINT) AS dist, CAST(coalesce(min(CASE WHEN part = 'T' THEN first_pos END), 127) AS INTEGER) AS first_pos FROM pp GROUP BY 1, 2)"""
-RANKED = """
+def distance(hits="hi", x=""):
+    return f"""
+    sp{x} AS (SELECT query_id, thm_id, part, word, rank, unnest(positions) AS spot FROM {hits}),
+    so{x} AS (SELECT query_id, thm_id, part, spot, arg_max(word, rank) AS word FROM sp{x} GROUP BY 1, 2, 3, 4),
+    gp{x} AS (SELECT *, spot - lag(spot) OVER (PARTITION BY query_id, thm_id, part ORDER BY spot) AS gap FROM so{x}),
+    pn{x} AS (SELECT *, CASE WHEN gap IS NULL THEN 0 ELSE CASE WHEN gap = 1 THEN 2 WHEN gap IN (2, 3) THEN 1 ELSE 0 END + 2 * (length(word) - length(replace(word, ' ', ''))) END AS points FROM gp{x}),
+    pw{x} AS (SELECT query_id, thm_id, part, word, max(points) AS points, count(*) AS n, min(spot) AS spot FROM pn{x} GROUP BY 1, 2, 3, 4),
+    pp{x} AS (SELECT query_id, thm_id, part, CASE WHEN sum(n) < 2 OR (count(*) = 1 AND min(word) IN {Q.GENERIC}) THEN 0 ELSE sum(points) END AS dist,
+                  CASE WHEN sum(n) >= 2 THEN min(spot) ELSE 127 END AS first_pos FROM pw{x} GROUP BY 1, 2, 3),
+    di{x} AS (SELECT query_id, thm_id, CAST(sum(dist) AS BIGINT) AS dist, CAST(coalesce(min(CASE WHEN part = 'T' THEN first_pos END), 127) AS INTEGER) AS first_pos FROM pp{x} GROUP BY 1, 2)"""
+
+
+DISTANCE = distance()
+PENALTY = "CAST(CASE WHEN first_pos = 127 THEN dist - CASE WHEN dist > 7 THEN floor(dist / 4) ELSE 1 END ELSE dist END AS BIGINT)"
+RANKED = f"""
+    dp AS (SELECT query_id, thm_id, {PENALTY} AS dist, first_pos FROM di),
+    al AS (SELECT query_id, thm_id, count(DISTINCT word) = 1 AND min(word) IN {Q.GENERIC} AS generic FROM hi GROUP BY 1, 2),
     r1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY span DESC, score DESC, thm_id) AS r FROM sc),
     r2 AS (SELECT *, max(CASE WHEN r = 1 THEN score END) OVER (PARTITION BY query_id) AS top FROM r1),
-    rk AS (SELECT r2.query_id, r2.thm_id, score, span, coalesce(dist, 0) AS dist, coalesce(first_pos, 127) AS first_pos,
+    rk AS (SELECT r2.query_id, r2.thm_id, score, span, coalesce(dist, 0) AS dist, coalesce(first_pos, 127) AS first_pos, generic,
                   row_number() OVER (PARTITION BY r2.query_id ORDER BY score DESC, span DESC, coalesce(dist, 0) DESC, coalesce(first_pos, 127), r2.thm_id) AS rn
-           FROM r2 LEFT JOIN di ON di.query_id = r2.query_id AND di.thm_id = r2.thm_id WHERE r <= 400 AND (r <= 60 OR score = top))"""
+           FROM r2 LEFT JOIN dp ON dp.query_id = r2.query_id AND dp.thm_id = r2.thm_id LEFT JOIN al ON al.query_id = r2.query_id AND al.thm_id = r2.thm_id
+           WHERE r <= 400 AND (r <= 60 OR score = top))"""
+PRUNED = f"""
+    nq AS (SELECT query_id, len(list_distinct({Q.split_words('text')})) AS n_words FROM qs WHERE text IS NOT NULL),
+    tp AS (SELECT rk.*, n_words, max(CASE WHEN rn = 1 THEN span END) OVER w AS ts, max(CASE WHEN rn = 1 THEN score END) OVER w AS tz
+           FROM rk LEFT JOIN nq USING (query_id) WINDOW w AS (PARTITION BY query_id)),
+    ct AS (SELECT *, min(CASE WHEN (span < ts AND (score < floor(tz / 2) OR (span = 1 AND generic))) OR (span >= ts AND ts = 1 AND n_words > 1 AND generic) THEN rn END) OVER (PARTITION BY query_id) AS cut FROM tp),
+    pu AS (SELECT * FROM ct WHERE rn <= 60 AND (cut IS NULL OR rn < cut))"""
 
 
 @query(Q.q(QTOKENS, "SELECT query_id, word, pos, n, score, rank FROM tk"))
@@ -144,36 +158,24 @@ def word_distance(spark, sf_dir):
     return search.word_distance(search.hits(*prepared(spark, sf_dir)))
 
 
-@query(
-    Q.q(
-        f"{HITS}, {DISTANCE}",
-        "SELECT query_id, thm_id, CAST(CASE WHEN first_pos = 127 THEN dist - CASE WHEN dist > 7 THEN floor(dist / 4) ELSE 1 END ELSE dist END AS BIGINT) AS dist, first_pos FROM di",
-    )
-)
+@query(Q.q(f"{HITS}, {DISTANCE}", f"SELECT query_id, thm_id, {PENALTY} AS dist, first_pos FROM di"))
 def hyp_penalty(spark, sf_dir):
     return search.hyp_penalty(search.word_distance(search.hits(*prepared(spark, sf_dir))))
 
 
 def ranked(spark, sf_dir):
     hits = search.hits(*prepared(spark, sf_dir))
-    return search.two_stage(search.intersection(hits), search.word_distance(hits))
+    return search.two_stage(search.intersection(hits), hits)
 
 
 @query(Q.q(f"{HITS}, {SCORES}, {DISTANCE}, {RANKED}", "SELECT query_id, thm_id, score, span, dist, first_pos, rn FROM rk"))
 def topk_two_stage(spark, sf_dir):
-    return ranked(spark, sf_dir)
+    return ranked(spark, sf_dir).drop("generic")
 
 
-@query(
-    Q.q(
-        f"""{HITS}, {SCORES}, {DISTANCE}, {RANKED},
-        tp AS (SELECT *, max(CASE WHEN rn = 1 THEN span END) OVER w AS ts, max(CASE WHEN rn = 1 THEN score END) OVER w AS tz FROM rk WINDOW w AS (PARTITION BY query_id)),
-        ct AS (SELECT *, min(CASE WHEN span < ts AND score * 2 < tz THEN rn END) OVER (PARTITION BY query_id) AS cut FROM tp)""",
-        "SELECT query_id, thm_id, score, span, dist, first_pos, rn FROM ct WHERE cut IS NULL OR rn < cut",
-    )
-)
+@query(Q.q(f"{HITS}, {SCORES}, {DISTANCE}, {RANKED}, {PRUNED}", "SELECT query_id, thm_id, score, span, dist, first_pos, rn FROM pu"))
 def prune_results(spark, sf_dir):
-    return search.pruned(ranked(spark, sf_dir))
+    return search.pruned(ranked(spark, sf_dir), search.words_of(asked(spark, sf_dir))).drop("generic")
 
 
 LIT = f"""{Q.ST}, {Q.PARTS}, {Q.LITERAL}, {ASKED},
@@ -195,47 +197,93 @@ def literal_trigger(spark, sf_dir):
     return grid.select("span", "n_words", search.literal_wanted(F.col("span"), F.col("n_words")).alias("wanted"))
 
 
+CONTEXT = """
+    cx AS (SELECT DISTINCT nr.thm_id, b.word_idx AS child, a.word_idx AS parent FROM nr JOIN vo AS a ON a.word = nr.w0 JOIN vo AS b ON b.word = nr.w1),
+    qc AS (SELECT DISTINCT qx.query_id, b.word_idx AS child, a.word_idx AS parent FROM qx JOIN vo AS a ON a.word = qx.w0 JOIN vo AS b ON b.word = qx.w1)"""
+
+
+def word_pairs(lists, vocab, key):
+    """``key, child, parent``: a word of the vocabulary and the word before it (a stand-in for the
+    parse tree's child and parent)."""
+    near = index.runs(lists, 2).where("w1 is not null").select("thm_id", F.col("w0").alias("before"), F.col("w1").alias("word"))
+    child, parent = vocab.select("word", F.col("word_idx").alias("child")), vocab.select(F.col("word").alias("before"), F.col("word_idx").alias("parent"))
+    return near.join(child, "word").join(parent, "before").select(F.col("thm_id").alias(key), "child", "parent").distinct()
+
+
+def typed(spark, sf_dir):
+    """Titles as queries; a third of them ask for 12 results, a third for a reranking by context."""
+    text = F.when(F.length("text") % 3 == 1, F.concat(F.lit("12 "), "text")).when(F.length("text") % 3 == 2, F.concat(F.lit("Context "), "text")).otherwise(F.col("text"))
+    return asked(spark, sf_dir).withColumn("text", text)
+
+
+TYPED = """qp AS (SELECT paper_id AS query_id, lower(max(title)) AS title, length(max(title)) % 3 AS k FROM papers WHERE title IS NOT NULL GROUP BY 1),
+    qr AS (SELECT query_id, CASE WHEN k = 1 THEN 12 WHEN regexp_extract(title, '^\\s*(\\d{1,6})\\s+\\S', 1) <> '' THEN CAST(regexp_extract(title, '^\\s*(\\d{1,6})\\s+\\S', 1) AS INTEGER) ELSE 60 END AS most, k,
+                  CASE WHEN k <> 1 AND regexp_matches(title, '^\\s*\\d{1,6}\\s+\\S') THEN regexp_replace(title, '^\\s*\\d{1,6}\\s+', '') ELSE title END AS text FROM qp),
+    qs AS (SELECT query_id, text FROM qr)"""
+
+
+@query(
+    Q.q(
+        f"""{HITS.replace(ASKED, TYPED)}, {SCORES}, {DISTANCE}, {RANKED}, {PRUNED}, {Q.VOCAB}, {CONTEXT},
+        sh AS (SELECT query_id, thm_id, 2 * count(*) AS context FROM qc JOIN cx USING (child, parent) WHERE parent > 0 GROUP BY 1, 2),
+        ag AS (SELECT pu.query_id, pu.thm_id, span, CASE WHEN k = 2 AND n_words > 1
+                      THEN row_number() OVER (PARTITION BY pu.query_id ORDER BY round(coalesce(context, 0) + 0.95e0 * score, 6) DESC, pu.thm_id) ELSE rn END AS rn
+               FROM pu JOIN qr USING (query_id) LEFT JOIN sh ON sh.query_id = pu.query_id AND sh.thm_id = pu.thm_id),
+        cq AS (SELECT query_id, max(span) AS span FROM ag GROUP BY 1),
+        wq AS (SELECT query_id FROM nq LEFT JOIN cq USING (query_id) WHERE CASE WHEN n_words = 2 THEN coalesce(span, 0) < 2 WHEN n_words > 7 THEN coalesce(span, 0) / n_words < 0.4 ELSE coalesce(span, 0) / n_words < 0.5 END),
+        {Q.LITERAL}, lq AS (SELECT query_id, {Q.split_words('text')} AS w FROM qs WHERE query_id IN (SELECT query_id FROM wq)),
+        lr AS (SELECT query_id, i - 1 AS rank, w[i] AS raw FROM (SELECT query_id, w, unnest(range(1, len(w) + 1)) AS i FROM lq)),
+        lt AS (SELECT query_id, {Q.singular('raw')} AS word, min(rank) AS rank FROM lr WHERE {Q.literal_word('raw')} GROUP BY 1, 2),
+        lh AS (SELECT lt.query_id, li.thm_id, 'T' AS part, lt.word, lt.rank, li.positions FROM lt JOIN li ON li.word = lt.word), {distance('lh', 'l')},
+        pl AS (SELECT query_id, thm_id, sum(len(positions)) AS places FROM lh GROUP BY 1, 2),
+        ls AS (SELECT query_id, thm_id, dist + places AS score FROM dil JOIN pl USING (query_id, thm_id) WHERE dist + places >= 1),
+        un AS (SELECT query_id, thm_id, 'words' AS origin, 0 AS p, rn FROM ag UNION ALL SELECT query_id, thm_id, 'literal', 1, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, thm_id) FROM ls),
+        on_ AS (SELECT * FROM un QUALIFY row_number() OVER (PARTITION BY query_id, thm_id ORDER BY p, rn) = 1),
+        fi AS (SELECT query_id, thm_id, origin, row_number() OVER (PARTITION BY query_id ORDER BY p, rn, thm_id) AS rn FROM on_)""",
+        "SELECT query_id, thm_id, origin, rn FROM fi JOIN qr USING (query_id) WHERE rn <= most",
+    )
+)
+def search_combined(spark, sf_dir):
+    own, words, two, three = corpus.grams(spark, sf_dir)
+    grams = checkpointed(two.unionByName(three))
+    postings = checkpointed(index.postings(index.index_terms(own, grams)))
+    vocab = checkpointed(vocabulary.scored(vocabulary.numbered(vocabulary.pruned(words))))
+    queries = typed(spark, sf_dir)
+    texts = index.token_lists(search.read_queries(queries).select(F.col("query_id").alias("thm_id"), F.lit("Q").alias("part"), "text"))
+    pairs = word_pairs(texts, vocab, "query_id"), word_pairs(own, vocab, "thm_id")
+    return search.combined(queries, words, grams, postings, index.literal_postings(corpus.parts(spark, sf_dir)), pairs=pairs)
+
+
 @query(
     Q.q(
         f"""{HITS}, {SCORES}, {DISTANCE}, {RANKED},
-        l0 AS (SELECT query_id, w FROM (SELECT query_id, {Q.split_words('text')} AS w FROM qs)), hl AS (SELECT thm_id, concat_ws(' ', max(CASE WHEN part = 'H' THEN text END), max(CASE WHEN part = 'T' THEN text END)) AS text FROM pt GROUP BY thm_id),
         k1 AS (SELECT tk.query_id, count(*) AS n_words FROM tk WHERE n = 1 GROUP BY 1),
-        fa AS (SELECT query_id, thm_id, span, rn - 1 AS i FROM rk WHERE rn <= 60),
+        fa AS (SELECT query_id, thm_id, span, score AS weight, rn - 1 AS i FROM rk WHERE rn <= 60),
         fb AS (SELECT query_id, thm_id, row_number() OVER (PARTITION BY query_id ORDER BY dist DESC, thm_id) - 1 AS j FROM di QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY dist DESC, thm_id) <= 60),
         na AS (SELECT query_id, count(*) AS len_a FROM fa GROUP BY 1), nb AS (SELECT query_id, count(*) AS len_b FROM fb GROUP BY 1),
         fu AS (SELECT query_id, thm_id, CAST(CASE WHEN i IS NULL THEN j + coalesce(len_a, 0)
                     WHEN span >= CASE WHEN n_words < 3 THEN n_words WHEN n_words < 6 THEN n_words - 1 ELSE n_words - floor(n_words / 3) END THEN i
-                    WHEN j IS NOT NULL THEN i + j ELSE i + coalesce(len_b, 0) END AS BIGINT) AS score
-               FROM fa FULL OUTER JOIN fb USING (query_id, thm_id) JOIN k1 USING (query_id) LEFT JOIN na USING (query_id) LEFT JOIN nb USING (query_id))""",
-        "SELECT query_id, thm_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score, thm_id) AS rn FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, thm_id) <= 60",
+                    WHEN j IS NOT NULL THEN i + j ELSE i + coalesce(len_b, 0) END AS BIGINT) AS score, i, span, weight
+               FROM fa FULL OUTER JOIN fb USING (query_id, thm_id) JOIN k1 USING (query_id) LEFT JOIN na USING (query_id) LEFT JOIN nb USING (query_id)),
+        f1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, thm_id) AS r FROM fu),
+        f2 AS (SELECT query_id, any_value(i) FILTER (r = 1) AS ti, any_value(span) FILTER (r = 1) AS ts, any_value(weight) FILTER (r = 1) AS tw,
+                      any_value(span) FILTER (i = 0) AS bs, any_value(weight) FILTER (i = 0) AS bw FROM f1 GROUP BY 1),
+        f3 AS (SELECT f1.query_id, thm_id, score, row_number() OVER (PARTITION BY f1.query_id
+                      ORDER BY coalesce(i = 0 AND (ti IS NULL OR ts < bs * 0.8e0) AND (tw IS NULL OR tw < bw), FALSE) DESC, score, thm_id) AS rn FROM f1 JOIN f2 USING (query_id))""",
+        "SELECT query_id, thm_id, score, rn FROM f3 WHERE rn <= 60",
     )
 )
 def rank_fusion(spark, sf_dir):
     tokens, postings = prepared(spark, sf_dir)
     hits = search.hits(tokens, postings)
-    distances = search.word_distance(hits)
-    first = search.two_stage(search.intersection(hits), distances).where("rn <= 60")
+    first = search.two_stage(search.intersection(hits), hits).where("rn <= 60")
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("dist"), "thm_id"))
-    second = distances.withColumn("rn", order).where("rn <= 60")
+    second = search.word_distance(hits).withColumn("rn", order).where("rn <= 60")
     return search.fused(first, second, tokens.where("n = 1").groupBy("query_id").agg(F.count("*").alias("n_words")))
 
 
-CONTEXT = """
-    cx AS (SELECT DISTINCT nr.thm_id, b.word_idx AS child, a.word_idx AS parent FROM nr JOIN vo AS a ON a.word = nr.w0 JOIN vo AS b ON b.word = nr.w1),
-    qc AS (SELECT DISTINCT qx.query_id, b.word_idx AS child, a.word_idx AS parent FROM qx JOIN vo AS a ON a.word = qx.w0 JOIN vo AS b ON b.word = qx.w1)"""
-
-
-def word_pairs(tokens, vocab, key):
-    """``key, child, parent``: a word of the vocabulary and the word before it (a stand-in for the
-    parse tree's child and parent)."""
-    window = Window.partitionBy("thm_id", "part").orderBy("pos")
-    near = tokens.select("thm_id", "word", F.lag("word").over(window).alias("before"))
-    child, parent = vocab.select("word", F.col("word_idx").alias("child")), vocab.select(F.col("word").alias("before"), F.col("word_idx").alias("parent"))
-    return near.join(child, "word").join(parent, "before").select(F.col("thm_id").alias(key), "child", "parent").distinct()
-
-
-def query_texts(spark, sf_dir):
-    return index.tokens(asked(spark, sf_dir).select(F.col("query_id").alias("thm_id"), F.lit("Q").alias("part"), "text"))
+def query_lists(spark, sf_dir):
+    return index.token_lists(asked(spark, sf_dir).select(F.col("query_id").alias("thm_id"), F.lit("Q").alias("part"), "text"))
 
 
 @query(
@@ -249,7 +297,7 @@ def query_texts(spark, sf_dir):
 )
 def context_rerank(spark, sf_dir):
     vocab = checkpointed(corpus.vocab(spark, sf_dir))
-    return search.context_rerank(ranked(spark, sf_dir), word_pairs(query_texts(spark, sf_dir), vocab, "query_id"), word_pairs(corpus.tokens(spark, sf_dir), vocab, "thm_id"))
+    return search.context_rerank(ranked(spark, sf_dir), word_pairs(query_lists(spark, sf_dir), vocab, "query_id"), word_pairs(corpus.lists(spark, sf_dir), vocab, "thm_id"))
 
 
 RELBITS = """
@@ -271,7 +319,7 @@ def relation_hamming(spark, sf_dir):
     size = vocab.agg(F.count("*").alias("size"))
     own = corpus.tokens(spark, sf_dir).join(vocab, "word").crossJoin(F.broadcast(size))  # one row
     bits = own.groupBy("thm_id").agg(F.array_sort(F.collect_set(F.when(F.col("part") == "T", F.col("word_idx")).otherwise(2 * F.col("size") + F.col("word_idx")))).alias("bits"))
-    wanted = query_texts(spark, sf_dir).join(vocab, "word").groupBy(F.col("thm_id").alias("query_id")).agg(F.array_sort(F.collect_set("word_idx")).alias("bits"))
+    wanted = index.placed(query_lists(spark, sf_dir)).join(vocab, "word").groupBy(F.col("thm_id").alias("query_id")).agg(F.array_sort(F.collect_set("word_idx")).alias("bits"))
     return search.relation_rerank(ranked(spark, sf_dir), wanted, bits)
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from axiomill.functions import words as W
-
-STOP = "(" + ", ".join(f"'{w}'" for w in W.STOP_WORDS) + ")"
-SPECIAL = W.SPECIAL.replace("'", "''")
-SPECIAL_ANY = W.SPECIAL_ANY.replace("'", "''")
-SEPARATORS = W.SEPARATORS.replace("'", "''")
+# Written out here once more, so that the SQL doesn't agree with the engine by sharing its constants.
+STOP_WORDS = """
+    a an and any are as assume at be been being between both but by can defined denote each every exist exists following for from
+    furthermore given has have here if in is it its itself just let may moreover more no not of on one only or other over same
+    satisfies satisfy satisfying show so some such suppose than that the their then there these they this thus to two under unless
+    via was we when whenever where whereas which whose with whole
+""".split()
+GENERIC_TERMS = "sum equation polynomial function basis group ring field module series coefficient decomposition resolution problem example space".split()
+STOP = "(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
+GENERIC = "(" + ", ".join(f"'{w}'" for w in GENERIC_TERMS) + ")"
+SPECIAL = r"[-\\=$\{\}\[\]()^_+%&\./,:;!~\"\d@><*|`\x{FFFD}]"
+SEPARATORS = r"(\s+|''s|''|\"|\(|\)|\{|\}|\[|\]|\.|;|,|:|-|_|~|!|\+)"
+ACCENT = r"\\[\"''`]"
 
 
 def singular(w: str) -> str:
@@ -21,7 +28,16 @@ def singular(w: str) -> str:
 
 
 def literal_word(w: str) -> str:
-    return f"(length({w}) BETWEEN 3 AND 15 AND NOT regexp_matches({w}, '{SPECIAL_ANY}') AND NOT regexp_matches({w}, '[\\d�\\\\]') AND {w} NOT IN {STOP})"
+    special = r"[-\{\[)(\}\]$%/|?@*.;,:_~!+^&<>=#\\\"''`]"
+    return f"(length({w}) BETWEEN 3 AND 15 AND NOT regexp_matches(regexp_replace({w}, '{ACCENT}', '', 'g'), '{special}') AND NOT regexp_matches({w}, '[\\d\\x{{FFFD}}]') AND {w} NOT IN {STOP})"
+
+
+def unaccented(w: str) -> str:
+    return f"regexp_replace(regexp_replace({w}, '{ACCENT}', '', 'g'), '\\{{([A-Za-z])\\}}', '\\1', 'g')"
+
+
+def index_words(text: str) -> str:
+    return f"list_filter(list_transform({split_words(starred(f'lower({text})'))}, lambda x: {unaccented('x')}), lambda x: NOT regexp_matches(x, '{SPECIAL}'))"
 
 
 def valid(w: str, least: int = 3) -> str:
@@ -49,7 +65,7 @@ ST = """
 PARTS = """
     pt AS (SELECT thm_id, 'T' AS part, thm AS text FROM st WHERE thm IS NOT NULL UNION ALL SELECT thm_id, 'H', hyp FROM st WHERE hyp IS NOT NULL)"""
 TOKENS = f"""
-    tl AS (SELECT thm_id, part, list_filter({split_words(starred('lower(text)'))}, lambda x: NOT regexp_matches(x, '{SPECIAL}')) AS w FROM pt),
+    tl AS (SELECT thm_id, part, {index_words('text')} AS w FROM pt),
     tok AS (SELECT thm_id, part, CAST(i - 1 AS INTEGER) AS pos, w[i] AS word FROM (SELECT thm_id, part, w, unnest(range(1, len(w) + 1)) AS i FROM tl))"""
 ALL = f"{ST}, {PARTS}, {TOKENS}"
 FREQ = f"""
@@ -79,13 +95,13 @@ TERMS = f"""
            UNION ALL SELECT thm_id, part, pos, {singular("(w0 || ' ' || w1)")} AS word FROM sw WHERE {singular("(w0 || ' ' || w1)")} IN (SELECT ngram FROM ng)
            UNION ALL SELECT thm_id, part, pos, {singular("(w0 || ' ' || w1 || ' ' || w2)")} AS word FROM sw WHERE {singular("(w0 || ' ' || w1 || ' ' || w2)")} IN (SELECT ngram FROM ng))"""
 POSTINGS = """
-    pe AS (SELECT word, thm_id, part, list_sort(list(DISTINCT pos)) AS positions FROM tm WHERE pos < 127 GROUP BY ALL),
+    pe AS (SELECT word, thm_id, part, list_sort(coalesce(list(DISTINCT pos) FILTER (pos < 127), [])) AS positions FROM tm GROUP BY ALL),
     ps AS (SELECT word, thm_id, part, positions FROM pe QUALIFY row_number() OVER (PARTITION BY word, thm_id ORDER BY part DESC) = 1)"""
 LITERAL = f"""
     hl AS (SELECT thm_id, concat_ws(' ', max(CASE WHEN part = 'H' THEN text END), max(CASE WHEN part = 'T' THEN text END)) AS text FROM pt GROUP BY thm_id),
-    lw AS (SELECT thm_id, {split_words('text')} AS w FROM hl),
-    lp AS (SELECT thm_id, i - 1 AS pos, w[i] AS raw FROM (SELECT thm_id, w, unnest(range(1, len(w) + 1)) AS i FROM lw)),
-    li AS (SELECT {singular('raw')} AS word, thm_id, list_sort(list(DISTINCT pos))[1:2] AS positions FROM lp WHERE pos < 127 AND {literal_word('raw')} GROUP BY ALL)"""
+    lw AS (SELECT thm_id, list_filter(list_transform(list_filter({split_words('text')}, lambda x: {literal_word('x')}), lambda x: {singular('x')}), lambda x: x NOT IN {STOP}) AS w FROM hl),
+    lp AS (SELECT thm_id, i - 1 AS pos, w[i] AS word FROM (SELECT thm_id, w, unnest(range(1, len(w) + 1)) AS i FROM lw)),
+    li AS (SELECT word, thm_id, list_sort(list(DISTINCT pos))[1:2] AS positions FROM lp WHERE pos < 256 GROUP BY ALL)"""
 VOCAB = f"""
     pr AS (SELECT * FROM fr WHERE freq >= 3),
     vo AS (SELECT word, freq, row_number() OVER (ORDER BY freq DESC, word) - 1 AS word_idx, {score('freq')} AS score FROM pr)"""

@@ -38,7 +38,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 def tar_members(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``archive, name, paper_id, text``: TeX members of tar files (gzipped members are unpacked).
 
-    Archives are read one by one as streams; a member is TeX by what it holds, unless its extension
+    An archive is read whole (at most 2 GB, the bound of Spark's binary files); a member is TeX by what it holds, unless its extension
     says otherwise. A broken archive or member gives no rows.
     """
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
@@ -185,7 +185,7 @@ def related_words(spark: SparkSession, path: str) -> DataFrame:
 def synonyms(spark: SparkSession, path: str) -> DataFrame:
     """``representative, word``: the first word of a line stands for the others."""
     p = F.filter(F.transform(F.split("line", ","), lambda w: F.trim(w)), lambda w: w != "")
-    return lines(spark, path).select(p.alias("p")).where(F.size("p") > 1).select(F.col("p")[0].alias("representative"), F.explode(F.slice("p", 2, 1000)).alias("word"))
+    return lines(spark, path).select(p.alias("p")).where(F.size("p") > 1).select(F.col("p")[0].alias("representative"), F.explode(F.slice("p", F.lit(2), F.size("p"))).alias("word"))
 
 
 def synonyms_json(spark: SparkSession, path: str) -> DataFrame:

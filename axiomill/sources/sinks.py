@@ -17,6 +17,12 @@ def write_text(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").text(path)
 
 
+def write_expressions(found: DataFrame, path: str) -> int:
+    """Writes the expressions of parsed sentences as lines of text; returns how many there are."""
+    write_text(found.where("expression is not null").select(F.regexp_replace("expression", r"\s+", " ").alias("value")), path)
+    return found.sparkSession.read.text(path).count()
+
+
 def save_table(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int = 64) -> None:
     """A table, sorted and bucketed by a key if later joins are to go without a shuffle."""
     writer = df.write.mode("overwrite")

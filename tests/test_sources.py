@@ -101,11 +101,11 @@ def test_streaming_index(spark, tmp_path):
 def test_an_index_of_nothing(spark):
     empty = spark.createDataFrame([], incremental.SCHEMA)
     texts = index.parts(index.statements(empty))
-    tokens = index.tokens(texts)
-    words = vocabulary.word_frequency(tokens)
-    two = ngrams.two_grams(tokens)
+    lists = index.token_lists(texts)
+    words = vocabulary.word_frequency(index.placed(lists))
+    two = ngrams.two_grams(lists)
     assert ngrams.chosen_two_grams(two, words).count() == 0
-    assert index.postings(index.index_terms(tokens, ngrams.chosen_two_grams(two, words))).count() == 0
+    assert index.postings(index.index_terms(lists, ngrams.chosen_two_grams(two, words))).count() == 0
     assert index.literal_postings(texts).count() == 0
     assert vocabulary.scored(vocabulary.numbered(words)).count() == 0
 
