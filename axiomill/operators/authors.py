@@ -107,9 +107,11 @@ def search(authors: DataFrame, expression: str) -> DataFrame:
     if tree is None:
         return authors.select("thm_id", F.lit(0).alias("level")).limit(0)
     levels = [{}, {"first_initial": True}] + ([{"last_initial": True}] if count(tree) < 3 else [])
-    found = reduce(lambda a, b: a.unionByName(b), (matching(authors, tree, **how).withColumn("level", F.lit(i)) for i, how in enumerate(levels)))
-    best = found.agg(F.min("level").alias("level"))
-    return found.join(F.broadcast(best), "level").select("thm_id", "level")  # one row
+    for i, how in enumerate(levels):
+        found = matching(authors, tree, **how).withColumn("level", F.lit(i))
+        # A wider level is looked at only if the one before has nothing.
+        if i == len(levels) - 1 or not found.isEmpty():
+            return found
 
 
 def split_query(query: str) -> tuple[str, str | None]:

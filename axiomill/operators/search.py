@@ -66,14 +66,15 @@ def hits(tokens: DataFrame, postings: DataFrame) -> DataFrame:
     """``query_id, thm_id, word, pos, n, rank, score, part, positions``: one row for each query token
     and statement; the token's own posting goes before those of related words.
 
-    Without a ``term`` column tokens are looked up as they are.
+    Without a ``term`` column tokens are looked up as they are. Rows are partitioned by query and
+    statement, which is all that the scores and distances group by: none of them shuffles again.
     """
-    terms = tokens if "term" in tokens.columns else tokens.select("*", F.col("word").alias("term"), F.col("score").alias("weight"))
-    met = terms.join(postings.withColumnRenamed("word", "term"), "term")
+    own = ["query_id", "thm_id", "word", "pos", "n", "rank"]
+    if "term" not in tokens.columns:
+        return tokens.join(postings, "word").select(*own, "score", "part", "positions").repartition("query_id", "thm_id")
+    met = tokens.join(postings.withColumnRenamed("word", "term"), "term").repartition("query_id", "thm_id")
     best = F.max(F.struct("weight", F.col("term").alias("term"), "part", "positions"))
-    return met.groupBy("query_id", "thm_id", "word", "pos", "n", "rank").agg(best.alias("b")).select(
-        "query_id", "thm_id", "word", "pos", "n", "rank", F.col("b.weight").alias("score"), "b.part", "b.positions"
-    )
+    return met.groupBy(*own).agg(best.alias("b")).select(*own, F.col("b.weight").alias("score"), "b.part", "b.positions")
 
 
 def intersection(hits_: DataFrame) -> DataFrame:
@@ -179,7 +180,7 @@ def early_pruned(hits_: DataFrame, tokens: DataFrame, selected: int = NEAREST) -
 
 
 def restricted(hits_: DataFrame, statements: DataFrame) -> DataFrame:
-    """Only statements of a set, e.g. an author's."""
+    """Only the hits, or the postings before they are looked up, of a set of statements, e.g. an author's."""
     return hits_.join(statements.select("thm_id").distinct(), "thm_id", "left_semi")
 
 

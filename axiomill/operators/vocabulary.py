@@ -73,14 +73,15 @@ def pruned(words: DataFrame, least: int = FLOOR) -> DataFrame:
 def numbered(words: DataFrame) -> DataFrame:
     """``word, freq, word_idx``: from 0, by falling frequency, then by word.
 
-    The vocabulary is ordered by ranges in parallel; only the counts of equal frequencies are summed
-    in one task, so it isn't sorted as a whole there.
+    Words are numbered within their frequency and first two letters, as very many are of the least
+    frequency; only the counts of such groups are summed in one task.
     """
-    ties = words.groupBy("freq").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = ties.select("freq", before.alias("offset"))
-    within = F.row_number().over(Window.partitionBy("freq").orderBy("word")) - 1
-    return words.withColumn("w", within).join(offsets, "freq").select("word", "freq", (F.col("w") + F.col("offset")).cast("bigint").alias("word_idx"))
+    own = words.withColumn("start", F.substring("word", 1, 2))
+    counts = own.groupBy("freq", "start").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("freq"), "start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("freq", "start", before.alias("offset"))
+    within = F.row_number().over(Window.partitionBy("freq", "start").orderBy("word")) - 1
+    return own.withColumn("w", within).join(offsets, ["freq", "start"]).select("word", "freq", (F.col("w") + F.col("offset")).cast("bigint").alias("word_idx"))
 
 
 def scored(words: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from axiomill.plans import corpus
 from axiomill.plans import sql as Q
 from axiomill.session import table
 from axiomill.sources import readers, sinks
+from axiomill.streaming import incremental
 
 QUERIES, ORACLES = {}, {}
 
@@ -124,6 +125,5 @@ def tex_variables(spark, sf_dir):
     """SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"""
 )
 def event_windows(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    counted = rows.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return counted.select("event_type", F.col("w.start").alias("start"), "n", "total")
+    counted = incremental.counted_windows(table(spark, sf_dir, "events"), "ts", "event_type", "value", "1 hour")
+    return counted.select("event_type", "start", "n", F.round("total", 4).alias("total"))

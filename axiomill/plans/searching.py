@@ -401,7 +401,8 @@ def author_name_parts(spark, sf_dir):
 )
 def author_prefilter(spark, sf_dir):
     own = authors.matching(table(spark, sf_dir, "authortb"), authors.parse("Trairifimi"))
-    return search.intersection(search.restricted(search.hits(*prepared(spark, sf_dir)), own))
+    tokens, postings = prepared(spark, sf_dir)
+    return search.intersection(search.hits(tokens, search.restricted(postings, own)))
 
 
 @query(f"WITH {Q.ST}, l AS (SELECT unnest([17, 3, 250, 42, 8]) AS thm_id, unnest([1, 2, 3, 4, 5]) AS rank) SELECT st.thm_id, thm, hyp, rank FROM st JOIN l USING (thm_id) ORDER BY rank")

@@ -38,6 +38,8 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(last, ["thm_id", "batch"], "left_semi").drop("batch")
 
 
-def counted_windows(events: DataFrame, time: str, kind: str, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """``kind, start, end, n``: arrivals in windows of event time, with a bound on lateness."""
-    return events.withWatermark(time, late).groupBy(F.window(time, size), kind).agg(F.count("*").alias("n")).select(kind, "window.start", "window.end", "n")
+def counted_windows(events: DataFrame, time: str, kind: str, value: str, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """``kind, start, end, n, total``: arrivals and the sum of a value in windows of event time, with a
+    bound on lateness. The same on a stream and on a table, where the bound has no effect."""
+    windows = events.withWatermark(time, late).groupBy(F.window(time, size), kind)
+    return windows.agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(kind, "window.start", "window.end", "n", "total")
