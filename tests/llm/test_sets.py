@@ -191,3 +191,17 @@ def test_lists_that_share_one_frequent_id(spark):
     rows = spark.createDataFrame(list(lists.items()), "id int, ids array<int>")
     got = {(r["a"], r["b"]) for r in neighbours.neighbour_pairs(rows, "id", "ids").collect()}
     assert got == nearest(lists, 5)
+
+
+def test_measuring_projections():
+    from axiomill.llm import projections as P
+
+    assert abs(P.chi_square_cdf(3.841459, 1) - 0.95) < 1e-6 and abs(P.chi_square_quantile(0.9, 16) - 23.5418) < 1e-3
+    rng = random.Random(3)
+    lists = [set(rng.sample(range(400), 12)) for _ in range(300)]
+    lists += [set(list(s)[:10]) | {1000 + i} for i, s in enumerate(lists[:100])] + [set()]
+    queries = list(range(0, 401, 4))
+    sure = P.measured(lists, queries, 16, 0.999999)
+    assert sure.recall == 1.0 and 0 < sure.share_without < 1
+    loose = P.measured(lists, queries, 32, 0.9)
+    assert loose.recall > 0.8 and loose.with_neighbour < sure.with_neighbour
