@@ -35,6 +35,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axiomill.llm.pairs import looked_up
 from axiomill.session import checkpointed
 
 #: Code pages that texts are shown in, and written in.
@@ -48,6 +49,8 @@ FURTHER = (
 )
 #: Counters of each of the two rows of the bigram table, and places that a task goes through.
 WIDTH, PLACES = 1 << 20, 2048
+#: Rates of up to this many sources are sent to every task (a few thousand bytes each).
+SOURCES = 4000
 ROUNDS = 6
 #: Ciphers: how much more often than elsewhere a source has a character, how many of them and of their
 #: bigrams are enough to learn from, letters of an alphabet, steps of a solution, and how far the
@@ -281,7 +284,7 @@ def _expected(table: DataFrame, model: Model | None, rates: DataFrame | None) ->
     counts = np.zeros(2 * WIDTH, "float32")
     sums = summed.where("slot is not null").select("slot", "n").toArrow()  # at most 2 · WIDTH rows
     counts[sums["slot"].to_numpy()] = sums["n"].to_numpy()
-    swaps = summed.where("slot is null").groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("swap", "n"))).alias("rates"))
+    swaps = checkpointed(summed.where("slot is null").groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("swap", "n"))).alias("rates")))
     return Model(counts, model is not None), swaps
 
 
@@ -289,7 +292,7 @@ def _rated(table: DataFrame, rates: DataFrame | None) -> DataFrame:
     """The table with the ``rates`` of each row's language and source."""
     if rates is None:
         return table.select("lang", "source", "place", "n", F.lit(None).cast("map<string,double>").alias("rates"))
-    return table.join(rates, ["lang", "source"], "left").select("lang", "source", "place", "n", "rates")
+    return looked_up(table, rates, ["lang", "source"], SOURCES).select("lang", "source", "place", "n", "rates")
 
 
 def learned(documents: DataFrame) -> tuple[DataFrame, Model, DataFrame]:

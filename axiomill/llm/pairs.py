@@ -1,4 +1,4 @@
-"""Pairs of the rows of a group, and joins whose keys may be hot, from many tasks."""
+"""Pairs of the rows of a group, joins whose keys may be hot, and lookups in tables that are mostly small."""
 
 from __future__ import annotations
 
@@ -30,3 +30,9 @@ def met(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     one = left.join(parts, key).withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
     two = right.join(parts, key).withColumn("_p", F.pmod(F.xxhash64(*(c for c in right.columns if c != key)), "_parts").cast("int")).drop("_parts")
     return one.join(two, [key, "_p"]).drop(key, "_p")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The left join of ``rows`` with a stored ``table``. It is broadcast if it has at most ``most`` rows,
+    so that ``rows`` stay where they are and in their order; a larger one is joined by a shuffle."""
+    return rows.join(F.broadcast(table) if table.count() <= most else table, keys, "left")

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from axiomill.llm.pairs import looked_up
 from axiomill.session import checkpointed
 
 #: Words in at least this share of the texts stand for themselves in patterns: at most
@@ -39,6 +40,8 @@ PILE, TIMES = 5, 6
 #: up to NEAR away on both sides, as sentences of one pattern are of about the same length; the share that
 #: no closing mark ends; and different endings (of 63 told apart), as one text may be often repeated.
 INNER_PILE, INNER_TIMES, NEAR, INNER_OPEN, ENDINGS = 20, 6, 5, 0.75, 10
+#: Limits of up to this many sources and fields are sent to every task (a few hundred bytes each).
+SOURCES = 20_000
 #: Marks of omission.
 MARK = re.compile(r"(?:…|\.\.\.|\[(?:…|\.\.\.|more|truncated|cut)\]|\((?:…|\.\.\.|more|truncated|cut|continued)\))\s*$", re.I)
 
@@ -239,7 +242,7 @@ def judged_texts(texts: DataFrame, bounds: DataFrame, key: str, shared) -> DataF
             yield rows([], found, key_type)
 
     schema = f"`{key}` {kind}, source string, field string, marked boolean, on_limit boolean, tail string, last string, broken boolean, pattern string, n bigint"
-    return checkpointed(texts.join(bounds, ["source", "field"], "left").select(key, "source", "field", "text", "bounds").mapInArrow(run, schema))
+    return checkpointed(looked_up(texts, bounds, ["source", "field"], SOURCES).select(key, "source", "field", "text", "bounds").mapInArrow(run, schema))
 
 
 def runs(found: list[str]) -> list[str]:
@@ -284,7 +287,7 @@ def cut(rows: DataFrame, key: str, columns: list[str], source: str = "source") -
     n_texts = counts.where("word is null and measure is null").agg(F.sum("n")).first()[0] or 0
     # At most (words of a text) / FREQUENT entries, see FREQUENT.
     frequent = {r["word"] for r in words.where(F.col("n") >= max(2, n_texts * FREQUENT)).select("word").collect()}
-    bounds = limits(counts.where("measure is not null")).groupBy("source", "field").agg(F.collect_list(F.struct("measure", "limit")).alias("bounds"))
+    bounds = checkpointed(limits(counts.where("measure is not null")).groupBy("source", "field").agg(F.collect_list(F.struct("measure", "limit")).alias("bounds")))
     judged = judged_texts(texts, bounds, key, rows.sparkSession.sparkContext.broadcast(frequent))
 
     tails = judged.where("pattern is null").drop("pattern", "n").distinct()
