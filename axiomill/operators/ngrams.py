@@ -6,6 +6,10 @@ skips it. Runs of words are read from the list of a part's words, without a sort
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +41,14 @@ def average_follow(two: DataFrame) -> DataFrame:
     return by.withColumn("average", F.floor(F.col("total") / F.col("n_next") + 0.5).cast("bigint"))
 
 
-def chosen_two_grams(two: DataFrame, words: DataFrame) -> DataFrame:
+def chosen_two_grams(
+    two: DataFrame, words: DataFrame, parts: DataFrame | None = None, undesirable: Iterable[tuple[str, str]] = (), added: DataFrame | None = None, removed: DataFrame | None = None
+) -> DataFrame:
     """``ngram, freq``: pairs more frequent than their first word's average, or likelier than chance.
 
-    ``words(word, freq)`` are the frequencies of single words; the total is one broadcast row.
+    ``words(word, freq)`` are the frequencies of single words; the total is one broadcast row. Pairs
+    whose parts of speech by ``parts(word, pos)`` are ``undesirable`` are left out, and so are those of
+    ``removed(ngram)``; those of ``added(ngram)`` that occur are kept whatever their count.
     """
     total = words.agg(F.sum("freq").alias("total_words"))
     first = average_follow(two).select("w0", "average")
@@ -49,7 +57,15 @@ def chosen_two_grams(two: DataFrame, words: DataFrame) -> DataFrame:
     both = two.join(first, "w0").join(freq0, "w0", "left").join(freq1, "w1", "left").crossJoin(F.broadcast(total))
     likely = F.col("freq") / F.col("f0") > LIFT * F.col("f1") / F.col("total_words")
     kept = both.where(((F.col("freq") > F.col("average")) | F.coalesce(likely & (F.col("freq") > 1), F.lit(False))) & ~F.col("w1").rlike("ing$"))
-    return kept.select(F.concat_ws(" ", "w0", "w1").alias("ngram"), "freq")
+    if parts is not None:
+        first_part, second_part = (parts.select(F.col("word").alias(w), F.col("pos").alias(f"pos{i}")) for i, w in enumerate(("w0", "w1")))
+        bad = reduce(or_, ((F.col("pos0") == a) & (F.col("pos1") == b) for a, b in undesirable), F.lit(False))
+        kept = kept.join(first_part, "w0", "left").join(second_part, "w1", "left").where(~F.coalesce(bad, F.lit(False)))
+    out = kept.select(F.concat_ws(" ", "w0", "w1").alias("ngram"), "freq")
+    if added is not None:
+        listed = two.select(F.concat_ws(" ", "w0", "w1").alias("ngram"), "freq").join(added.select("ngram").distinct(), "ngram", "left_semi")
+        out = out.unionByName(listed).distinct()
+    return out if removed is None else out.join(removed.select("ngram"), "ngram", "left_anti")
 
 
 def three_grams(lists: DataFrame) -> DataFrame:

@@ -33,9 +33,14 @@ LEXICON = {
 }
 # Endings of adjectives and adverbs.
 ADJECTIVE = re.compile(r"(?:al|ic|ous|able|ible|ive|ary|ular|ent|ian|ine|ate|ar|less|ful|ed)$")
-# Likelihood of a part of speech after another, for words that may be several.
-AFTER = {("det", "ent"): 0.5, ("det", "adj"): 0.4, ("det", "verb"): 0.01, ("adj", "ent"): 0.8, ("adj", "adj"): 0.2, ("ent", "verb"): 0.4, ("ent", "pre"): 0.4, ("ent", "ent"): 0.2,
-         ("be", "adj"): 0.5, ("be", "ent"): 0.3, ("pre", "ent"): 0.6, ("pre", "adj"): 0.3, ("^", "ent"): 0.4, ("^", "verb"): 0.1}
+# Likelihood of a part of speech after another, for words that may be several; '^' and '$'
+# stand for the ends of a sentence.
+AFTER = {
+    ("ent", "verb"): 0.8, ("ent", "pre"): 0.85, ("symb", "verb"): 0.8, ("symb", "pre"): 0.6, ("pre", "adj"): 0.6, ("pre", "ent"): 0.65,
+    ("verb", "ent"): 0.75, ("verb", "adj"): 0.75, ("be", "ent"): 0.6, ("be", "adj"): 0.75, ("adj", "ent"): 0.9, ("adj", "pre"): 0.7, ("adj", "adj"): 0.45,
+    ("adj", "if"): 0.7, ("adj", "hyp"): 0.7, ("adverb", "adj"): 0.9, ("det", "ent"): 0.9,
+}
+AT_ENDS, OTHERWISE = 0.7, 0.2
 # Fixed values: (left, right) -> (whole, head: 0 left or 1 right, relation of the other to the head, weight).
 RULES = {
     ("np", "pp"): ("np", 0, "qualifier", 1.0),
@@ -79,15 +84,26 @@ class Node:
     children: tuple = ()
 
 
+_PHRASES: dict[int, frozenset[str]] = {}
+
+
+def _phrases(lexicon: dict[str, str]) -> frozenset[str]:
+    """The entries of several words; found once for each lexicon."""
+    if id(lexicon) not in _PHRASES:
+        _PHRASES.clear()
+        _PHRASES[id(lexicon)] = frozenset(w for w in lexicon if " " in w)
+    return _PHRASES[id(lexicon)]
+
+
 def tokens(sentence: str) -> list[str]:
     return re.findall(r"\$[^$]*\$|[^\s,;()]+", sentence)
 
 
-def candidates(word: str) -> list[str]:
+def candidates(word: str, lexicon: dict[str, str] = LEXICON) -> list[str]:
     if word.startswith("$") or re.fullmatch(r"[a-z]", word) and word != "a":
         return ["ent"]
-    if word in LEXICON:
-        return [LEXICON[word]]
+    if word in lexicon or " " in word:
+        return [lexicon[word]]
     if word.endswith("ly"):
         return ["adverb"]
     if ADJECTIVE.search(word):
@@ -95,16 +111,39 @@ def candidates(word: str) -> list[str]:
     return ["ent", "verb"] if word.endswith("s") and not word.endswith(("us", "is", "ss")) else ["ent"]
 
 
-def tagged(sentence: str) -> list[tuple[str, str]]:
+def likely(a: str, b: str) -> float:
+    return AT_ENDS if a == "^" or b == "$" else AFTER.get((a, b), OTHERWISE)
+
+
+def with_phrases(words: list[str], phrases: frozenset[str]) -> list[str]:
+    """Words, with runs that are a phrase of the lexicon as one; the longest first."""
+    longest = max((p.count(" ") + 1 for p in phrases), default=1)
+    out, i = [], 0
+    while i < len(words):
+        n = next((n for n in range(min(longest, len(words) - i), 1, -1) if " ".join(words[i : i + n]) in phrases), 1)
+        out.append(" ".join(words[i : i + n]))
+        i += n
+    return out
+
+
+def lexicon_of(*tables: DataFrame) -> dict[str, str]:
+    """The fixed words with those of ``word, pos`` tables (a lexicon, fixed phrases), later ones first.
+    It goes to every task, as a lexicon is some thousands of words."""
+    return LEXICON | {r["word"].lower(): r["pos"] for t in tables for r in t.select("word", "pos").where("word is not null and pos is not null").collect()}
+
+
+def tagged(sentence: str, lexicon: dict[str, str] = LEXICON) -> list[tuple[str, str]]:
     """(word, part of speech): for words that may be several, the one likeliest between its neighbours."""
     words = tokens(sentence)
+    if len(lexicon) > len(LEXICON):
+        words = with_phrases(words, _phrases(lexicon))
     out: list[tuple[str, str]] = []
     for i, word in enumerate(words):
-        options = candidates(word)
+        options = candidates(word, lexicon)
         if len(options) > 1:
             before = out[-1][1] if out else "^"
-            following = candidates(words[i + 1])[0] if i + 1 < len(words) else "$"
-            options = sorted(options, key=lambda p: -AFTER.get((before, p), 0.05) * AFTER.get((p, following), 0.05))
+            following = candidates(words[i + 1], lexicon)[0] if i + 1 < len(words) else "$"
+            options = sorted(options, key=lambda p: -likely(before, p) * likely(p, following))
         out.append((word, options[0]))
     return out
 
@@ -178,14 +217,14 @@ WHOLE = ("s", "hypo", "vp", "np", "pp", "adj")
 FLUFF = frozenset("then there also again moreover furthermore hence thus therefore so now clearly obviously indeed just only even".split())
 
 
-def parse(sentence: str) -> list[Node]:
+def parse(sentence: str, lexicon: dict[str, str] = LEXICON) -> list[Node]:
     """The best derivation of the sentence, or of the fewest pieces that cover it.
 
     If it takes several pieces, the sentence is parsed again without fluff and adverbs, and that stands
     if it takes fewer. More than MOST_ITEMS are parsed in consecutive parts, so that no derivation spans
     such a sentence.
     """
-    words = tagged(sentence)
+    words = tagged(sentence, lexicon)
     first = pieces(items(words))
     bare = [(w, tag) for w, tag in words if tag != "adverb" and w not in FLUFF]
     if len(first) < 2 or len(bare) == len(words) or not bare:
@@ -256,7 +295,7 @@ def context(sentence: str) -> list[tuple[str, str]]:
     return list(dict.fromkeys(p for node in parse(sentence) for p in node.pairs))
 
 
-def parsed(texts: DataFrame, key: str) -> DataFrame:
+def parsed(texts: DataFrame, key: str, lexicon: dict[str, str] = LEXICON) -> DataFrame:
     """``key, at, section, expression, weight, spans, pairs``: one row for each sentence of ``text``.
 
     ``spans``: one derivation covers the sentence. Null texts give no rows.
@@ -270,7 +309,7 @@ def parsed(texts: DataFrame, key: str) -> DataFrame:
             out = []
             for k, text in zip(frame[key], frame["text"], strict=True):
                 for at, sentence in enumerate(sentences(text)):
-                    nodes = parse(sentence)
+                    nodes = parse(sentence, lexicon)
                     if nodes:
                         pairs = [{"child": c, "parent": p} for node in nodes for c, p in dict.fromkeys(node.pairs)]
                         out.append((k, at, section(nodes[0], sentence), " ; ".join(map(expression, nodes)), round(min(n.weight for n in nodes), 6), len(nodes) == 1, pairs))

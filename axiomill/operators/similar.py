@@ -27,10 +27,10 @@ SPAN, SCORE = 44, 20
 PLACES = (1 << SCORE) - 1
 
 
-def pieces(statements: DataFrame) -> DataFrame:
+def pieces(statements: DataFrame, column: str = "thm") -> DataFrame:
     """``thm_id, piece, text, low``: sentences of at least nine characters; ``low`` marks short ones
     and hypotheses, which weigh less."""
-    each = statements.where("thm is not null").select("thm_id", F.posexplode(markup.sentences(F.col("thm"))).alias("piece", "text"))
+    each = statements.where(F.col(column).isNotNull()).select("thm_id", F.posexplode(markup.sentences(F.col(column))).alias("piece", "text"))
     n = F.length("text")
     low = (n < 26) | ((n < 40) & markup.is_hypothesis(F.col("text")) & ~F.lower("text").contains("then"))
     return each.where(n >= PIECE).withColumn("low", low)
@@ -196,6 +196,17 @@ def similar(pieces_: DataFrame, words: DataFrame, share: float = 0.02, about: in
     return met.drop("chunk").mapInArrow(ranked(PER_PIECE, BLOCK), "thm_id bigint, other bigint, score bigint, span bigint, rn int")
 
 
+def with_hypotheses(own: DataFrame, by_hypotheses: DataFrame, enough: int = RESULTS // 2, most: int = RESULTS) -> DataFrame:
+    """``thm_id, other, rn``: the lists of ``own``, and behind those of fewer than ``enough`` entries what
+    the hypotheses alone are similar to, at most ``most`` in all. Statements of one list only have that."""
+    sizes = own.groupBy("thm_id").agg(F.count("*").alias("n"))
+    short = by_hypotheses.select("thm_id", "other", "rn").join(sizes, "thm_id", "left").where(F.coalesce("n", F.lit(0)) < enough)
+    more = short.join(own.select("thm_id", "other"), ["thm_id", "other"], "left_anti")
+    both = own.select("thm_id", "other", "rn", F.lit(0).alias("p")).unionByName(more.select("thm_id", "other", "rn", F.lit(1).alias("p")))
+    place = F.row_number().over(Window.partitionBy("thm_id").orderBy("p", "rn"))
+    return both.select("thm_id", "other", place.alias("rn")).where(F.col("rn") <= most)
+
+
 def combined(old: DataFrame, new: DataFrame) -> DataFrame:
     """Lists of two runs; the later one's list of a statement stands."""
     return new.unionByName(old.join(new.select("thm_id"), "thm_id", "left_anti"))

@@ -108,10 +108,21 @@ def shards(numbered_: DataFrame, size: int = 5000) -> DataFrame:
 
 def stem_candidates(words: DataFrame, longest: int = 6, least_children: int = 3) -> DataFrame:
     """``prefix, words, children``: prefixes of more than four letters that branch into at least
-    ``least_children`` letters; a word counts for prefixes at most ``longest`` letters shorter."""
-    prefixes = words.select("word", F.explode(F.sequence(F.greatest(F.lit(5), F.length("word") - longest), F.length("word"))).alias("n")).where("n <= length(word)")
-    cut = prefixes.select(F.substring("word", F.lit(1), F.col("n")).alias("prefix"), F.substring("word", F.col("n") + 1, F.lit(1)).alias("next"))
-    return cut.groupBy("prefix").agg(F.count("*").alias("words"), F.count_distinct(F.when(F.col("next") != "", F.col("next"))).alias("children")).where(F.col("children") >= least_children)
+    ``least_children`` letters; a word counts for prefixes at most ``longest`` letters shorter.
+
+    Less than three quarters of the occurrences may end at the prefix, and the most frequent letter
+    must have more than a fifth of them.
+    """
+    prefixes = words.select("word", "freq", F.explode(F.sequence(F.greatest(F.lit(5), F.length("word") - longest), F.length("word"))).alias("n")).where("n <= length(word)")
+    cut = prefixes.select(F.substring("word", F.lit(1), F.col("n")).alias("prefix"), F.substring("word", F.col("n") + 1, F.lit(1)).alias("next"), "freq")
+    letters = cut.groupBy("prefix", "next").agg(F.count("*").alias("words"), F.sum("freq").alias("freq"))
+    goes_on = F.col("next") != ""
+    each = letters.groupBy("prefix").agg(
+        F.sum("words").alias("words"), F.count_if(goes_on).alias("children"), F.sum("freq").alias("all"),
+        F.coalesce(F.sum(F.when(~goes_on, F.col("freq"))), F.lit(0)).alias("own"), F.max(F.when(goes_on, F.col("freq"))).alias("top"),
+    )
+    branching = (F.col("children") >= least_children) & (F.col("own") < F.floor(F.col("all") * 3 / 4)) & (F.col("top") > F.floor(F.col("all") / 5))
+    return each.where(branching).select("prefix", "words", "children")
 
 
 def stems(words: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -163,25 +163,43 @@ def paper_word_string(spark, sf_dir):
     return matrix.paper_words(corpus.tokens(spark, sf_dir), papers)
 
 
+def similar_sql(column: str, x: str = "") -> str:
+    """``li{x}``: the list of each statement by its ``column``."""
+    order = "PARTITION BY thm_id ORDER BY low, score DESC, span DESC, other"
+    return f"""
+        sn{x} AS (SELECT thm_id, list_filter(list_transform(regexp_split_to_array({column}, '[.!?;:]\\s+|\\.$|\\n+'), lambda s: trim(s)), lambda s: s <> '') AS l FROM st WHERE {column} IS NOT NULL),
+        pi{x} AS (SELECT thm_id, i - 1 AS piece, l[i] AS text FROM (SELECT thm_id, l, unnest(range(1, len(l) + 1)) AS i FROM sn{x}) WHERE length(l[i]) >= 9),
+        pj{x} AS (SELECT thm_id, piece, text, length(text) < 26 OR (length(text) < 40 AND regexp_matches(lower(text), '{HYPOTHESIS}') AND NOT contains(lower(text), 'then')) AS low FROM pi{x}),
+        px{x} AS (SELECT thm_id, piece, low, unnest({Q.split_words('text')}) AS raw FROM pj{x}),
+        pt2{x} AS (SELECT DISTINCT thm_id, piece, low, {Q.singular('raw')} AS word FROM px{x} WHERE {Q.literal_word('raw')} AND NOT regexp_matches(raw, '{Q.SPECIAL}')),
+        kn{x} AS (SELECT DISTINCT thm_id AS other, word FROM pt2{x}), dk{x} AS (SELECT word, count(*) AS df FROM kn{x} GROUP BY 1),
+        ra{x} AS (SELECT dk{x}.word, {Q.score('fr.freq')} AS score FROM dk{x} JOIN fr USING (word) WHERE df <= greatest(2, (SELECT count(DISTINCT thm_id) FROM pj{x}) * 0.02e0)),
+        mt{x} AS (SELECT pt2{x}.thm_id, piece, low, other, sum(score) AS score, count(*) AS span FROM pt2{x} JOIN ra{x} USING (word) JOIN kn{x} USING (word) WHERE pt2{x}.thm_id <> other GROUP BY 1, 2, 3, 4),
+        kp{x} AS (SELECT * FROM mt{x} QUALIFY row_number() OVER (PARTITION BY thm_id, piece ORDER BY span DESC, score DESC, other) <= 51),
+        sg{x} AS (SELECT thm_id, other, CAST(sum(score) AS BIGINT) AS score, CAST(sum(span) AS BIGINT) AS span, min(low) AS low FROM kp{x} GROUP BY 1, 2),
+        li{x} AS (SELECT thm_id, other, score, span, row_number() OVER ({order}) AS rn FROM sg{x} QUALIFY row_number() OVER ({order}) <= 100)"""
+
+
+@query(Q.q(f"{Q.ALL}, {Q.FREQ}, {similar_sql('thm')}", "SELECT thm_id, other, score, span, rn FROM li"))
+def similar_statements(spark, sf_dir):
+    words = vocabulary.word_frequency(corpus.tokens(spark, sf_dir))
+    return similar.similar(similar.pieces(corpus.statements(spark, sf_dir)), words, about=table(spark, sf_dir, "thmhyptb").count())
+
+
 @query(
     Q.q(
-        f"""{Q.ALL}, {Q.FREQ},
-        sn AS (SELECT thm_id, list_filter(list_transform(regexp_split_to_array(thm, '[.!?;:]\\s+|\\.$|\\n+'), lambda s: trim(s)), lambda s: s <> '') AS l FROM st WHERE thm IS NOT NULL),
-        pi AS (SELECT thm_id, i - 1 AS piece, l[i] AS text FROM (SELECT thm_id, l, unnest(range(1, len(l) + 1)) AS i FROM sn) WHERE length(l[i]) >= 9),
-        pj AS (SELECT thm_id, piece, text, length(text) < 26 OR (length(text) < 40 AND regexp_matches(lower(text), '{HYPOTHESIS}') AND NOT contains(lower(text), 'then')) AS low FROM pi),
-        px AS (SELECT thm_id, piece, low, unnest({Q.split_words('text')}) AS raw FROM pj),
-        pt2 AS (SELECT DISTINCT thm_id, piece, low, {Q.singular('raw')} AS word FROM px WHERE {Q.literal_word('raw')} AND NOT regexp_matches(raw, '{Q.SPECIAL}')),
-        kn AS (SELECT DISTINCT thm_id AS other, word FROM pt2), dk AS (SELECT word, count(*) AS df FROM kn GROUP BY 1),
-        ra AS (SELECT dk.word, {Q.score('fr.freq')} AS score FROM dk JOIN fr USING (word) WHERE df <= greatest(2, (SELECT count(DISTINCT thm_id) FROM pj) * 0.02e0)),
-        mt AS (SELECT pt2.thm_id, piece, low, other, sum(score) AS score, count(*) AS span FROM pt2 JOIN ra USING (word) JOIN kn USING (word) WHERE pt2.thm_id <> other GROUP BY 1, 2, 3, 4),
-        kp AS (SELECT * FROM mt QUALIFY row_number() OVER (PARTITION BY thm_id, piece ORDER BY span DESC, score DESC, other) <= 51),
-        sg AS (SELECT thm_id, other, CAST(sum(score) AS BIGINT) AS score, CAST(sum(span) AS BIGINT) AS span, min(low) AS low FROM kp GROUP BY 1, 2)""",
-        "SELECT thm_id, other, score, span, row_number() OVER (PARTITION BY thm_id ORDER BY low, score DESC, span DESC, other) AS rn FROM sg QUALIFY row_number() OVER (PARTITION BY thm_id ORDER BY low, score DESC, span DESC, other) <= 100",
+        f"""{Q.ALL}, {Q.FREQ}, {similar_sql('thm')}, {similar_sql('hyp', 'h')},
+        nn AS (SELECT thm_id, count(*) AS n FROM li GROUP BY 1),
+        bo AS (SELECT thm_id, other, rn, 0 AS p FROM li UNION ALL SELECT lih.thm_id, lih.other, lih.rn, 1 FROM lih LEFT JOIN nn USING (thm_id)
+               WHERE coalesce(n, 0) < 50 AND NOT EXISTS (SELECT 1 FROM li WHERE li.thm_id = lih.thm_id AND li.other = lih.other))""",
+        "SELECT thm_id, other, row_number() OVER (PARTITION BY thm_id ORDER BY p, rn) AS rn FROM bo QUALIFY row_number() OVER (PARTITION BY thm_id ORDER BY p, rn) <= 100",
     )
 )
-def similar_statements(spark, sf_dir):
-    words = vocabulary.word_frequency(corpus.tokens(spark, sf_dir))
-    return similar.similar(similar.pieces(corpus.statements(spark, sf_dir)), words, about=table(spark, sf_dir, "thmhyptb").count())
+def similar_with_hypotheses(spark, sf_dir):
+    words = checkpointed(vocabulary.word_frequency(corpus.tokens(spark, sf_dir)))
+    rows, about = corpus.statements(spark, sf_dir), table(spark, sf_dir, "thmhyptb").count()
+    own, more = (checkpointed(similar.similar(similar.pieces(rows, c), words, about=about)) for c in ("thm", "hyp"))
+    return similar.with_hypotheses(own, more)
 
 
 @query(

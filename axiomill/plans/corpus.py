@@ -159,9 +159,10 @@ def plural_merge(spark, sf_dir):
 
 
 STEMS = f"""{Q.ALL}, {Q.FREQ},
-    sp AS (SELECT word, unnest(range(greatest(5, length(word) - 6), length(word) + 1)) AS n FROM fr),
-    sx AS (SELECT substr(word, 1, n) AS prefix, substr(word, n + 1, 1) AS next FROM sp),
-    sc AS (SELECT prefix, count(*) AS words, count(DISTINCT nullif(next, '')) AS children FROM sx GROUP BY 1 HAVING count(DISTINCT nullif(next, '')) >= 3),
+    sp AS (SELECT word, freq, unnest(range(greatest(5, length(word) - 6), length(word) + 1)) AS n FROM fr),
+    sx AS (SELECT substr(word, 1, n) AS prefix, substr(word, n + 1, 1) AS next, count(*) AS w, sum(freq) AS f FROM sp GROUP BY 1, 2),
+    sc AS (SELECT prefix, CAST(sum(w) AS BIGINT) AS words, count(*) FILTER (next <> '') AS children FROM sx GROUP BY 1
+           HAVING count(*) FILTER (next <> '') >= 3 AND coalesce(sum(f) FILTER (next = ''), 0) < floor(sum(f) * 3 / 4) AND max(f) FILTER (next <> '') > floor(sum(f) / 5)),
     sm AS (SELECT f.word, max_by(sc.prefix, length(sc.prefix)) AS stem FROM (SELECT word, unnest(range(5, greatest(5, length(word)) + 1)) AS n FROM fr) AS f
            JOIN sc ON sc.prefix = substr(f.word, 1, f.n) AND f.n <= length(f.word) GROUP BY 1)"""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -137,7 +139,10 @@ def related(spark, sf_dir):
 REL = """
     rw AS (SELECT s.word, o.word AS related_word, row_number() OVER (PARTITION BY s.word ORDER BY fr.freq DESC, o.word) AS rank
            FROM sm AS s JOIN sm AS o ON o.stem = s.stem AND o.word <> s.word JOIN fr ON fr.word = o.word)"""
-STEM_ONLY = corpus.STEMS[corpus.STEMS.index("sp AS (SELECT word, unnest(range(greatest") :].replace("sp AS", "s1 AS").replace("FROM sp)", "FROM s1)").replace("sx AS", "s2 AS").replace("FROM sx", "FROM s2").replace("sc AS", "s3 AS").replace("sc.prefix", "s3.prefix").replace("JOIN sc ", "JOIN s3 ")
+# The stems' steps again under other names, as searches have steps of the same.
+STEM_ONLY = corpus.STEMS[corpus.STEMS.index("sp AS (SELECT word") :]
+for _old, _new in (("sp", "s1"), ("sx", "s2"), ("sc", "s3")):
+    STEM_ONLY = re.sub(rf"\b{_old}\b", _new, STEM_ONLY)
 
 
 @query(
