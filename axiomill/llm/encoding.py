@@ -48,7 +48,7 @@ FURTHER = (
     "koi8-u", "mac-cyrillic", "mac-greek", "mac-latin2", "mac-turkish",
 )
 #: Counters of each of the two rows of the bigram table, and places that a task goes through.
-WIDTH, PLACES = 1 << 20, 2048
+WIDTH, PLACES = 1 << 20, 8192
 #: Rates of up to this many sources are sent to every task (a few thousand bytes each).
 SOURCES = 4000
 ROUNDS = 6
@@ -145,7 +145,17 @@ def places(text: str) -> Counter:
 def slots(lang: str, a: str, b: str) -> tuple[int, int]:
     """The counters of a bigram (b empty: of all bigrams of the language)."""
     key = f"{lang}\x00{a}{b}".encode("utf-8", "surrogatepass")
-    return zlib.crc32(key) % WIDTH, WIDTH + zlib.crc32(key, 0x5BD1E995) % WIDTH
+    return zlib.crc32(key) % WIDTH, WIDTH + zlib.crc32(key + b"\x01") % WIDTH
+
+
+def counters(pairs: DataFrame) -> DataFrame:
+    """``slot, n``: the counters of ``pairs(lang, pair, n)`` as :func:`slots` has them, for each language
+    and for all."""
+    each = pairs.select(F.explode(F.array(F.col("lang"), F.lit("*"))).alias("name"), "pair", "n")
+    totals = each.groupBy("name").agg(F.sum("n").alias("n")).select("name", F.lit("").alias("pair"), "n")
+    key = F.concat("name", F.lit("\x00"), "pair")
+    places = [F.pmod(F.crc32(key), F.lit(WIDTH)), F.lit(WIDTH) + F.pmod(F.crc32(F.concat(key, F.lit("\x01"))), F.lit(WIDTH))]
+    return each.unionByName(totals).select(F.explode(F.array(*places)).alias("slot"), "n").groupBy("slot").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -251,15 +261,14 @@ def _expected(table: DataFrame, model: Model | None, rates: DataFrame | None) ->
         own, known = shared.value, _Rates()
 
         def rows(pairs, swaps):
-            counters: dict[int, float] = defaultdict(float)
-            for (lang, text), n in pairs.items():
-                for name in (lang, "*"):
-                    for at in (*slots(name, text[0], text[1]), *slots(name, "", "")):
-                        counters[at] += n
-            many, few = len(counters), len(swaps)
-            columns = [pa.array([None] * many + [k[i] for k in swaps], pa.string()) for i in range(3)]
-            columns += [pa.array([*counters, *[None] * few], pa.int64()), pa.array([*counters.values(), *swaps.values()], pa.float64())]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "source", "swap", "slot", "n"])
+            many, few = len(pairs), len(swaps)
+            columns = [
+                pa.array([*(k[0] for k in pairs), *(k[0] for k in swaps)], pa.string()),
+                *(pa.array([*[None] * many, *(k[i] for k in swaps)], pa.string()) for i in (1, 2)),
+                pa.array([*(k[1] for k in pairs), *[None] * few], pa.string()),
+                pa.array([*pairs.values(), *swaps.values()], pa.float64()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "source", "swap", "pair", "n"])
 
         pairs: dict[tuple[str, str], float] = defaultdict(float)
         swaps: dict[tuple[str, str, str], float] = defaultdict(float)
@@ -279,12 +288,12 @@ def _expected(table: DataFrame, model: Model | None, rates: DataFrame | None) ->
                 swaps.clear()
         yield rows(pairs, swaps)
 
-    both = _rated(table, rates).mapInArrow(run, "lang string, source string, swap string, slot bigint, n double")
-    summed = checkpointed(both.groupBy("lang", "source", "swap", "slot").agg(F.sum("n").alias("n")))
+    both = _rated(table, rates).mapInArrow(run, "lang string, source string, swap string, pair string, n double")
+    summed = checkpointed(both.groupBy("lang", "source", "swap", "pair").agg(F.sum("n").alias("n")))
     counts = np.zeros(2 * WIDTH, "float32")
-    sums = summed.where("slot is not null").select("slot", "n").toArrow()  # at most 2 · WIDTH rows
+    sums = counters(summed.where("pair is not null")).toArrow()  # at most 2 · WIDTH rows
     counts[sums["slot"].to_numpy()] = sums["n"].to_numpy()
-    swaps = checkpointed(summed.where("slot is null").groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("swap", "n"))).alias("rates")))
+    swaps = checkpointed(summed.where("pair is null").groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("swap", "n"))).alias("rates")))
     return Model(counts, model is not None), swaps
 
 

@@ -115,3 +115,10 @@ def test_places_of_very_many_sources(spark):
     table = E._counted(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
     assert table.count() == 800 and {r["n"] for r in table.collect()} == {1}
     assert "uses" not in table.columns
+
+
+def test_counters_are_where_they_are_looked_up(spark):
+    pairs = spark.createDataFrame([("fr", "é ", 3.0), ("fr", "aé", 2.0), ("", "éa", 5.0), ("el", "🙂α", 1.5)], "lang string, pair string, n double")
+    counts = dict(E.counters(pairs).collect())
+    model = E.Model([counts.get(i, 0.0) for i in range(2 * E.WIDTH)], True)
+    assert [model.count(*k) for k in (("fr", "é", " "), ("*", "é", " "), ("fr", "", ""), ("*", "", ""), ("", "é", "a"), ("el", "🙂", "α"), ("fr", "x", "y"))] == [3, 3, 5, 11.5, 5, 1.5, 0]
