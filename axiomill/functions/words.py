@@ -148,7 +148,8 @@ def is_greek(word: Column) -> Column:
 
 
 def part_of_speech(tag: Column) -> Column:
-    return F.create_map(*(F.lit(x) for kv in TAGS.items() for x in kv))[tag]
+    """Null for tags that stand for nothing."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in TAGS.items() for x in kv)), tag)
 
 
 def suffix_part_of_speech(word: Column) -> Column:
@@ -167,7 +168,7 @@ def strip_blanks(text: Column) -> Column:
 
 def escape_blanks(text: Column) -> Column:
     """Each run of white space as one escaped blank, as file names in shell commands have it."""
-    return F.regexp_replace(text, r"\s+", r"\\\\ ")
+    return F.regexp_replace(text, r"\s+", r"\\ ")
 
 
 def longest_first(rows, column: str):

@@ -189,13 +189,17 @@ def definitions(texts: DataFrame) -> DataFrame:
     return introducing.select("paper_id", (F.col("at").cast("bigint") * 1000 + F.col("i")).alias("at"), F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit(r"\$([A-Za-z])\$"), F.lit(1)))).alias("variable"), "sentence")
 
 
-def attached(uses: DataFrame, defined: DataFrame) -> DataFrame:
-    """``paper_id, at, variable, sentence``: for each use the last definition before it.
+def attached(uses: DataFrame, defined: DataFrame, local: DataFrame | None = None) -> DataFrame:
+    """``paper_id, at, variable, sentence``: for each use the last definition before it. A definition
+    in the statement itself (``local``, as :func:`definitions` has them) shadows it: none is attached.
 
     An as-of join by one sort of uses and definitions of a paper's variable together; null if the
     variable isn't defined before.
     """
     keys = ["paper_id", "variable"]
+    if local is not None:
+        own = local.select("paper_id", "variable", F.floor(F.col("at") / 1000).cast(dict(uses.dtypes)["at"]).alias("at")).distinct()
+        uses = uses.join(own, ["paper_id", "at", "variable"], "left_anti")
     both = uses.select(*keys, (F.col("at").cast("bigint") * 1000 + 999).alias("t"), F.col("at"), F.lit(None).cast("string").alias("sentence"), F.lit(1).alias("use")).unionByName(
         defined.select(*keys, F.col("at").alias("t"), F.lit(None).cast("int").alias("at"), "sentence", F.lit(0).alias("use"))
     )

@@ -230,3 +230,10 @@ def merged_context(pairs: DataFrame, key: list[str]) -> DataFrame:
     """``key, child, parent`` of several context maps as one: of a child's parents the largest, so that
     a word (a positive number) goes before a relation's code."""
     return pairs.groupBy(*key, "child").agg(F.max("parent").alias("parent"))
+
+
+def united(vectors: DataFrame, key: str) -> DataFrame:
+    """``key, bits``: the union of the sparse vectors (``bits``) of each key, in order, without nulls.
+    Bits are made distinct in each task before they are shuffled; keys without any have no row."""
+    each = vectors.select(key, F.explode("bits").alias("bit")).where("bit is not null").distinct()
+    return each.groupBy(key).agg(F.array_sort(F.collect_list("bit")).alias("bits"))

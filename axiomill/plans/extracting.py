@@ -71,15 +71,20 @@ DEFS = f"""{Q.ST}, {Q.PARTS},
     hx AS (SELECT paper_id, CAST(thm_id AS BIGINT) * 1000 + i - 1 AS t, l[i] AS sentence FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM hs)),
     df AS (SELECT paper_id, t, sentence, unnest(list_distinct(regexp_extract_all(sentence, '\\$([A-Za-z])\\$', 1))) AS variable FROM hx
            WHERE regexp_matches(sentence, '^(?i:let|fix|denote|suppose|write|we write|throughout|here|consider)\\b') AND length(sentence) <= 270),
-    us AS (SELECT file_name AS paper_id, thm_id AS at_, CAST(thm_id AS BIGINT) * 1000 + 999 AS t, unnest(list_distinct(regexp_extract_all(thm, '\\$([A-Za-z])\\$', 1))) AS variable FROM st WHERE thm IS NOT NULL AND file_name IS NOT NULL)"""
+    us AS (SELECT file_name AS paper_id, thm_id AS at_, CAST(thm_id AS BIGINT) * 1000 + 999 AS t, unnest(list_distinct(regexp_extract_all(thm, '\\$([A-Za-z])\\$', 1))) AS variable FROM st WHERE thm IS NOT NULL AND file_name IS NOT NULL),
+    lt AS (SELECT file_name AS paper_id, thm_id AS at_, unnest(list_filter(list_transform(regexp_split_to_array(thm, '[.!?;:]\\s+|\\.$|\\n+'), lambda s: trim(s)), lambda s: s <> '')) AS sentence FROM st WHERE thm IS NOT NULL AND file_name IS NOT NULL),
+    ld AS (SELECT DISTINCT paper_id, at_, unnest(regexp_extract_all(sentence, '\\$([A-Za-z])\\$', 1)) AS variable FROM lt
+           WHERE regexp_matches(sentence, '^(?i:let|fix|denote|suppose|write|we write|throughout|here|consider)\\b') AND length(sentence) <= 270),
+    uo AS (SELECT us.* FROM us ANTI JOIN ld ON ld.paper_id = us.paper_id AND ld.at_ = us.at_ AND ld.variable = us.variable)"""
 
 
-@query(f"WITH {DEFS} SELECT us.paper_id, us.at_ AS at, us.variable, df.sentence FROM us ASOF LEFT JOIN df ON us.paper_id = df.paper_id AND us.variable = df.variable AND us.t >= df.t")
+@query(f"WITH {DEFS} SELECT uo.paper_id, uo.at_ AS at, uo.variable, df.sentence FROM uo ASOF LEFT JOIN df ON uo.paper_id = df.paper_id AND uo.variable = df.variable AND uo.t >= df.t")
 def definition_asof(spark, sf_dir):
     rows = corpus.statements(spark, sf_dir).where("file_name is not null").withColumnRenamed("file_name", "paper_id")
     defined = extraction.definitions(rows.where("hyp is not null").select("paper_id", F.col("thm_id").alias("at"), F.col("hyp").alias("text")))
     uses = rows.where("thm is not null").select("paper_id", F.col("thm_id").alias("at"), F.explode(F.array_distinct(F.regexp_extract_all("thm", F.lit(r"\$([A-Za-z])\$"), F.lit(1)))).alias("variable"))
-    return extraction.attached(uses, defined)
+    local = extraction.definitions(rows.where("thm is not null").select("paper_id", F.col("thm_id").alias("at"), F.col("thm").alias("text")))
+    return extraction.attached(uses, defined, local)
 
 
 @query(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from axiomill.functions import markup
 from axiomill.functions import words as W
-from axiomill.operators import extraction, index, parsing, semantics, vocabulary
+from axiomill.operators import authors, extraction, index, parsing, semantics, similar, vocabulary
 from axiomill.plans import corpus, searching
 from axiomill.plans import sql as Q
 from axiomill.session import checkpointed, table
@@ -41,6 +42,18 @@ GOLDEN = (
     ("long form", "ring is field", "s[np[ring], vp[be[is], np[field]]]"),
     ("superimposed", "if $R$ is a field / and $S$ a ring", "if $S$ is ring"),
     ("reparsed", "ring therefore is clearly field", "s"),
+    ("section", "let f be g", "HYP"),
+    ("section", "ring is field", "STM"),
+    ("section", "ring is field if and only if ring is flat", "HYP_iff"),
+    ("section", "the global ring", "OBJ"),
+    ("tags", "the global ring acts freely", "det adj ent verb adverb"),
+    ("macro", "\\newcommand{\\wh}[1]{\\widehat{#1}} / a \\wh {b}", "a \\widehat{b}"),
+    ("macro", "\\def\\R{\\mathbb{R}} / $\\R^n$ and \\Rest", "$\\mathbb{R}^n$ and \\Rest"),
+    ("sentences", "Let $a$, $b$ be (two) rings, in $X$. Then $a$ is flat!", "let $a$ and $b$ be rings in $X$ | then $a$ is flat"),
+    ("environment", "\\newtheorem{main}{Main Theorem}\\begin{document}\\begin{main} all rings are flat \\end{main}", "Theorem: all rings are flat"),
+    ("substituted", "$f$ maps to $X$, and $f$ is flat / f = function", "$f$ (function) maps to $X$, and $f$ is flat"),
+    ("by author", "compact operators by author A and B", "compact operators | A and B"),
+    ("quoted", 'flat "finite ring" module', "flat, finite ring, module"),
 )
 
 
@@ -62,6 +75,24 @@ def golden(kind: str, text: str) -> str:
         return semantics.long_form(parsing.parse(text)[0])
     if kind == "superimposed":
         return " ".join(n.text for n in semantics.superimposed(*map(semantics.items_of, text.split(" / "))))
+    if kind == "section":
+        return parsing.section(parsing.parse(text)[0], text)
+    if kind == "tags":
+        return " ".join(tag for _, tag in parsing.tagged(text))
+    if kind == "macro":
+        defined, used = text.split(" / ")
+        return extraction.expand(used, extraction.macros(defined))
+    if kind == "sentences":
+        return " | ".join(extraction.sentences(text))
+    if kind == "environment":
+        return " | ".join(f"{k}: {t}" for _, k, t, _ in extraction.extract(text))
+    if kind == "substituted":
+        used, noun = text.split(" / ")
+        return extraction.substituted(used, dict([noun.split(" = ")]))
+    if kind == "by author":
+        return " | ".join(x or "" for x in authors.split_query(text))
+    if kind == "quoted":
+        return ", ".join(W.quoted_sections(text))
     return " ".join(n.category for n in parsing.parse(text))
 
 
@@ -71,6 +102,53 @@ def parse_golden(spark, sf_dir):
     return rows.select("kind", "input", F.udf(golden, "string", useArrow=True)("kind", "input").alias("result"))
 
 
+# Functions of words and texts, their inputs, and what they must give.
+FUNCTIONS = (
+    ("tex_alike", "$a$", "$b_1$", "true"), ("tex_alike", "$a$", "$b_{1,2}$ is long", "false"), ("tex_alike", "a", "$b$", "false"),
+    ("escaped_at", "a\\\\\\{", "5", "true"), ("escaped_at", "a\\\\{", "4", "false"),
+    ("is_greek", "omega", "", "true"), ("is_greek", "zeta", "", "false"),
+    ("part_of_speech", "NNS", "", "ent"), ("part_of_speech", "VBN", "", "parti"), ("part_of_speech", "XX", "", None),
+    ("strip_umlaut", "poincar\\'{e}", "", "poincare"), ("strip_umlaut", "erd\\\"os", "", "erdos"),
+    ("strip_blanks", "  a b\t", "", "a b"), ("escape_blanks", "a  b c", "", "a\\ b\\ c"),
+    ("is_alphabetic", "flat ring", "", "true"), ("is_alphabetic", "c4", "", "false"),
+    ("without_lists", "\\begin{itemize} a \\end{enumerate}", "", " a "),
+    ("is_quantity", "twenty-one", "", "true"), ("is_quantity", "3/4", "", "true"), ("is_quantity", "many", "", "false"),
+)
+
+
+def quoted(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, row)) + ")" for row in FUNCTIONS) + ") AS g(name, a, b, result)")
+def function_golden(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    results = {
+        "tex_alike": W.tex_alike(a, b), "escaped_at": W.escaped_at(a, b.try_cast("int")), "is_greek": W.is_greek(a), "part_of_speech": W.part_of_speech(a), "strip_umlaut": W.strip_umlaut(a),
+        "strip_blanks": W.strip_blanks(a), "escape_blanks": W.escape_blanks(a), "is_alphabetic": W.is_alphabetic(a), "without_lists": markup.without_lists(a), "is_quantity": W.is_quantity(a),
+    }
+    chosen = F.coalesce(*(F.when(F.col("name") == name, value.cast("string")) for name, value in results.items()))
+    rows = spark.createDataFrame([row[:3] for row in FUNCTIONS], "name string, a string, b string")
+    return rows.select("name", "a", "b", chosen.alias("result"))
+
+
+@query("SELECT thm_id, thmconcepts AS ids FROM thmconceptstb UNION ALL SELECT thm_id, similarthms FROM similarthmstb WHERE thm_id NOT IN (SELECT thm_id FROM thmconceptstb)")
+def lists_combined(spark, sf_dir):
+    """The lists of an earlier run, and those of a later one that stand in their place."""
+    old, new = (table(spark, sf_dir, t).select("thm_id", F.col(c).alias("ids")) for t, c in (("similarthmstb", "similarthms"), ("thmconceptstb", "thmconcepts")))
+    return similar.combined(old, new)
+
+
+@query(
+    """WITH a AS (SELECT thm_id, unnest(thmconcepts) AS x FROM thmconceptstb UNION SELECT thm_id, unnest(similarthms) FROM similarthmstb)
+       SELECT thm_id, list_sort(list(x)) AS bits FROM a WHERE x IS NOT NULL GROUP BY 1"""
+)
+def vectors_united(spark, sf_dir):
+    """The union of several sparse vectors of a statement."""
+    each = table(spark, sf_dir, "thmconceptstb").select("thm_id", F.col("thmconcepts").alias("bits")).unionAll(table(spark, sf_dir, "similarthmstb").select("thm_id", "similarthms"))
+    return semantics.united(each, "thm_id")
+
+
 @query()
 def semantic_expressions(spark, sf_dir):
     """Commands of the statements and of their hypotheses, each part under its own key."""
