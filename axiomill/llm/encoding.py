@@ -142,15 +142,9 @@ def places(text: str) -> Counter:
     return found
 
 
-def slots(lang: str, a: str, b: str) -> tuple[int, int]:
-    """The counters of a bigram (b empty: of all bigrams of the language)."""
-    key = f"{lang}\x00{a}{b}".encode("utf-8", "surrogatepass")
-    return zlib.crc32(key) % WIDTH, WIDTH + zlib.crc32(key + b"\x01") % WIDTH
-
-
 def counters(pairs: DataFrame) -> DataFrame:
-    """``slot, n``: the counters of ``pairs(lang, pair, n)`` as :func:`slots` has them, for each language
-    and for all."""
+    """``slot, n``: the counters of ``pairs(lang, pair, n)``, where :meth:`Model.count` looks for them, for
+    each language and for all; the pair '' counts all of a language's."""
     each = pairs.select(F.explode(F.array(F.col("lang"), F.lit("*"))).alias("name"), "pair", "n")
     totals = each.groupBy("name").agg(F.sum("n").alias("n")).select("name", F.lit("").alias("pair"), "n")
     key = F.concat("name", F.lit("\x00"), "pair")
@@ -164,11 +158,20 @@ class Model:
     def __init__(self, counts, rated: bool):
         self.counts, self.rated = counts, rated
         self.known: dict[tuple[str, str, str], float] = {}
+        self.every: dict[tuple[str, str], float] = {}
+        self.totals: dict[str, float] = {}
         self.last: tuple = ((None, None), [])
 
     def count(self, lang: str, a: str, b: str) -> float:
-        one, two = slots(lang, a, b)
-        return float(min(self.counts[one], self.counts[two]))
+        key = f"{lang}\x00{a}{b}".encode("utf-8", "surrogatepass")
+        one = self.counts[zlib.crc32(key) % WIDTH]
+        return float(min(one, self.counts[WIDTH + zlib.crc32(key + b"\x01") % WIDTH])) if one else 0.0
+
+    def share(self, lang: str, a: str, b: str) -> float:
+        total = self.totals.get(lang)
+        if total is None:
+            total = self.totals[lang] = self.count(lang, "", "") + 1
+        return self.count(lang, a, b) / total
 
     def log_p(self, lang: str, text: str) -> float:
         """Of the bigrams of ``text``, each drawn from those of its language. (Conditional
@@ -177,7 +180,11 @@ class Model:
         for a, b in zip(text, text[1:]):
             p = known.get((lang, a, b))
             if p is None:
-                own, every = (self.count(name, a, b) / (self.count(name, "", "") + 1) for name in (lang, "*"))
+                every = self.every.get((a, b))
+                if every is None:
+                    every = self.every[a, b] = self.share("*", a, b)
+                # What no language has, this one hasn't.
+                own = self.share(lang, a, b) if every else 0.0
                 p = known[lang, a, b] = math.log(OWN * own + ALL * every + UNSEEN)
             total += p
         return total
