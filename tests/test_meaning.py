@@ -71,3 +71,35 @@ def test_a_whole_search(spark):
         first.setdefault(r["query_id"], (r["thm_id"], r["origin"]))
     assert first[1] == (1, "words") and first[2] == (2, "words") and first[4] == (3, "vectors") and 5 not in first
     assert sum(r["query_id"] == 3 for r in found) == 1
+
+
+def test_pairs_to_add_and_to_leave_out(spark):
+    from axiomill.operators import ngrams
+
+    two = spark.createDataFrame([("flat", "field", 9), ("flat", "split", 9), ("flat", "module", 1), ("flat", "map", 9), ("flat", "ideal", 2)], "w0 string, w1 string, freq bigint")
+    words = spark.createDataFrame([("flat", 30), ("field", 50), ("split", 50), ("module", 50), ("map", 50)], "word string, freq bigint")
+    pos = spark.createDataFrame([("flat", "adj"), ("split", "verb")], "word string, pos string")
+    added, removed = (spark.createDataFrame([(x,)], "ngram string") for x in ("flat module", "flat map"))
+    got = {r["ngram"] for r in ngrams.chosen_two_grams(two, words, pos, [("adj", "verb")], added, removed).collect()}
+    assert got == {"flat field", "flat module"}
+    assert "flat split" in {r["ngram"] for r in ngrams.chosen_two_grams(two, words).collect()}
+
+
+def test_a_lexicon_and_phrases_from_files(spark, tmp_path):
+    from axiomill.operators import parsing
+
+    table = spark.createDataFrame([("prime number", "ent"), ("Acts", "verb"), (None, "ent")], "word string, pos string")
+    lexicon = parsing.lexicon_of(table)
+    assert parsing.tagged("the prime number acts freely", lexicon) == [("the", "det"), ("prime number", "ent"), ("acts", "verb"), ("freely", "adverb")]
+    texts = spark.createDataFrame([(1, "The prime number acts freely."), (2, None)], "id int, text string")
+    assert [r["expression"] for r in parsing.parsed(texts, "id", lexicon).collect()] == ['Math["Name"->"prime number"] acts freely']
+
+
+def test_nearest_with_ties_and_few_vectors(spark):
+    from axiomill.operators import lsa
+
+    vectors = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)] + [(99, [0.0, 0.0])], "vec_id int, embedding array<double>")
+    queries = spark.createDataFrame([(7, [1.0, 1.0]), (8, [50.0, 1.0])], "query_id int, embedding array<double>")
+    got = {(r["query_id"], r["rn"]): r["vec_id"] for r in lsa.nearest(vectors, queries, 4).collect()}
+    assert got == {(7, 1): 1, (7, 2): 4, (7, 3): 7, (7, 4): 0, (8, 1): 2, (8, 2): 5, (8, 3): 8, (8, 4): 1}
+    assert lsa.nearest(vectors.limit(0), queries, 4).count() == 0
