@@ -89,9 +89,6 @@ def test_parsing_a_table(spark):
     got = P.parsed(rows, "thm_id").collect()
     assert [(r["thm_id"], r["at"], r["section"]) for r in sorted(got, key=lambda r: r["at"])] == [(1, 0, "HYP"), (1, 1, "STM")]
     assert P.parse_share(P.parsed(rows, "thm_id")).first()["share"] == 1.0
-    vocab = spark.createDataFrame([("ring", 0), ("flat", 1)], "word string, word_idx bigint")
-    pairs = spark.createDataFrame([(1, "flat", "ring")], "thm_id int, child string, parent string")
-    assert P.relation_bits(pairs, vocab, 2).first()["bits"] == [0, 3]
 
 
 INGREDIENTS = ["flour", "soda", "salt", "egg", "banana", "oil", "onion"]

@@ -41,4 +41,4 @@ def test_predictions_use_the_classifier_as_it_is(spark, monkeypatch):
     asked, real = [], classes.classifier
     monkeypatch.setattr(classes, "classifier", lambda *a, **k: asked.append((len(a), k)) or real(*a, **k))
     assert entry.queries()["class_predictions"](spark, DATA).count() > 0
-    assert asked == [(1, {})]
+    assert asked == [(1, {}), (1, {})]  # one model for each half, trained on the other

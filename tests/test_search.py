@@ -54,21 +54,31 @@ def test_word_distance_by_hand(spark):
 def test_two_stages_and_pruning(spark):
     rows = [("q", i, 100 - i, 3 if i < 2 else 1) for i in range(10)] + [("q", 20, 10, 1)]
     scores = spark.createDataFrame(rows, "query_id string, thm_id int, score bigint, span bigint")
-    none = spark.createDataFrame([], "query_id string, thm_id int, dist bigint, first_pos int")
+    none = spark.createDataFrame([], "query_id string, thm_id int, word string, pos int, n int, rank int, score bigint, part string, positions array<int>")
+    n_words = spark.createDataFrame([("q", 4)], "query_id string, n_words int")
     ranked = search.two_stage(scores, none, nearest=5, cap=8)
     assert [r["thm_id"] for r in ranked.orderBy("rn").collect()] == [0, 1, 2, 3, 4]
-    kept = search.pruned(search.two_stage(scores, none))
+    kept = search.pruned(search.two_stage(scores, none), n_words)
     assert {r["thm_id"] for r in kept.collect()} == set(range(10))
 
 
 def test_fusion(spark):
-    first = spark.createDataFrame([("q", 1, 3, 1), ("q", 2, 1, 2), ("q", 3, 1, 3)], "query_id string, thm_id int, span int, rn int")
+    first = spark.createDataFrame([("q", 1, 3, 9, 1), ("q", 2, 1, 5, 2), ("q", 3, 1, 4, 3)], "query_id string, thm_id int, span int, score bigint, rn int")
     second = spark.createDataFrame([("q", 9, 1), ("q", 2, 2)], "query_id string, thm_id int, rn int")
     n = spark.createDataFrame([("q", 3)], "query_id string, n_words int")
     got = {r["thm_id"]: r["score"] for r in search.fused(first, second, n).collect()}
     assert got == {1: 0, 2: 2, 3: 4, 9: 3}
 
 
+def test_the_first_lists_top_leads(spark):
+    """Of a fused top of less span and less score than the first list's own top."""
+    first = spark.createDataFrame([("q", 1, 3, 9, 1), ("q", 2, 2, 5, 2)], "query_id string, thm_id int, span int, score bigint, rn int")
+    second = spark.createDataFrame([("q", 2, 1)], "query_id string, thm_id int, rn int")
+    n = spark.createDataFrame([("q", 9)], "query_id string, n_words int")
+    got = [r["thm_id"] for r in search.fused(first, second, n).orderBy("rn").collect()]
+    assert got == [1, 2]
+
+
 def test_author_expressions():
     assert authors.parse("tao and (A1 d1 j or A2") == authors.Both("and", (authors.Name("", "", "tao"), authors.Both("or", (authors.Name("a1", "d1", "j"), authors.Name("", "", "a2")))))
     assert authors.parse("(A1) or A3)") == authors.Both("or", (authors.Name("", "", "a1"), authors.Name("", "", "a3")))
