@@ -24,10 +24,15 @@ ONE_SHARED = 4
 
 def squared_cosine() -> S.Similarity:
     """shared² / (size_a · size_b) if it is at least 0.25, else null. Equal fractions of whole
-    numbers are equal doubles, so ties are exact."""
+    numbers are equal doubles, so ties are exact. Products are of 64 bits: lists of more than 23,170
+    ids are beyond 32 bits."""
     over = F.col("size_a").cast("bigint") * F.col("size_b")
     shared = F.col("shared").cast("bigint")
-    return S.Similarity(F.when(shared * shared * 4 >= over, shared * shared / over), lambda n, a, b: n * n * 4 >= a * b)
+
+    def possible(n, a, b):
+        return n.astype("int64") ** 2 * 4 >= a.astype("int64") * b
+
+    return S.Similarity(F.when(shared * shared * 4 >= over, shared * shared / over), possible)
 
 
 def sharing_one(sets: DataFrame, first: DataFrame, k: int) -> DataFrame:

@@ -205,3 +205,15 @@ def test_measuring_projections():
     assert sure.recall == 1.0 and 0 < sure.share_without < 1
     loose = P.measured(lists, queries, 32, 0.9)
     assert loose.recall > 0.8 and loose.with_neighbour < sure.with_neighbour
+
+
+def test_possible_similarity_of_long_lists(spark):
+    # shared² · 4 and size_a · size_b are beyond 32 bits.
+    shared, size = np.array([23_171, 30_000, 24_999], "int32"), np.array([24_000, 60_000, 50_000], "int32")
+    assert neighbours.squared_cosine().possible(shared, size, size).tolist() == [True, True, False]
+
+
+def test_neighbours_of_long_lists(spark):
+    base = list(range(24_000))
+    rows = spark.createDataFrame([(1, base), (2, base[:20_000] + list(range(90_000, 94_000)))], "id int, ids array<int>")
+    assert [tuple(r) for r in neighbours.neighbour_pairs(rows, "id", "ids").collect()] == [(1, 2)]
