@@ -149,11 +149,15 @@ def vectors_united(spark, sf_dir):
     return semantics.united(each, "thm_id")
 
 
+def keyed_parts(spark, sf_dir):
+    """``key, text``: the statements' parts, each under its own key."""
+    return corpus.parts(spark, sf_dir).select(F.concat_ws("/", "thm_id", "part").alias("key"), "text")
+
+
 @query()
 def semantic_expressions(spark, sf_dir):
     """Commands of the statements and of their hypotheses, each part under its own key."""
-    texts = corpus.parts(spark, sf_dir).select(F.concat_ws("/", "thm_id", "part").alias("key"), "text")
-    return semantics.expressions(texts, "key")
+    return semantics.expressions(keyed_parts(spark, sf_dir), "key")
 
 
 def both_parts(spark, sf_dir):

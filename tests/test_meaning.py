@@ -103,3 +103,15 @@ def test_nearest_with_ties_and_few_vectors(spark):
     got = {(r["query_id"], r["rn"]): r["vec_id"] for r in lsa.nearest(vectors, queries, 4).collect()}
     assert got == {(7, 1): 1, (7, 2): 4, (7, 3): 7, (7, 4): 0, (8, 1): 2, (8, 2): 5, (8, 3): 8, (8, 4): 1}
     assert lsa.nearest(vectors.limit(0), queries, 4).count() == 0
+
+
+def test_commands_of_sentences_without_fluff_to_parse(spark):
+    texts = spark.createDataFrame([(1, "all then also. if $R$ is a field then $S$ is a ring. let $f$ be a map"), (2, "the"), (3, None), (4, "\\begin{enumerate} \\item $f$ is flat \\end{enumerate}")], "id int, text string")
+    found = semantics.expressions(texts, "id").collect()
+    want = [(1, 0, None), (1, 1, "implies"), (1, 2, "let"), (4, 0, "is_a")]
+    assert sorted(((r["id"], r["at"], r["command"]) for r in found), key=lambda r: r[:2]) == want
+    assert sorted(map(tuple, semantics.command_names(texts, "id").collect()), key=lambda r: r[:2]) == want
+    # Without contexts, fewer sentences are parsed; relations are the same.
+    bare = semantics.expressions(texts, "id", context=False).collect()
+    assert sorted((r["id"], r["at"], r["relations"]) for r in bare) == sorted((r["id"], r["at"], r["relations"]) for r in found)
+    assert any(w["slot"] == semantics.CONDITION for r in bare for w in r["relations"])
