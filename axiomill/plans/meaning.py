@@ -161,7 +161,7 @@ def semantic_expressions(spark, sf_dir):
 
 
 def both_parts(spark, sf_dir):
-    found = semantic_expressions(spark, sf_dir)
+    found = semantics.expressions(keyed_parts(spark, sf_dir), "key", context=False)
     condition = F.transform("relations", lambda r: F.struct(r["word"].alias("word"), F.lit(semantics.CONDITION).alias("slot")))
     # What is said in the hypotheses is a condition too.
     relations = F.when(F.col("key").endswith("/H"), F.array_distinct(F.concat("relations", condition))).otherwise(F.col("relations"))
