@@ -176,7 +176,7 @@ def relation_vectors(spark, sf_dir):
 @query()
 def command_counts(spark, sf_dir):
     """How often each command was found; sentences without one count for null."""
-    return both_parts(spark, sf_dir).groupBy("command").agg(F.count("*").alias("n"))
+    return semantics.command_names(keyed_parts(spark, sf_dir), "key").groupBy("command").agg(F.count("*").alias("n"))
 
 
 @query(Q.q(Q.ALL, "SELECT word, row_number() OVER (ORDER BY length(word) DESC, word) AS rn FROM (SELECT DISTINCT word FROM tok)"))
