@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 RESULTS, CONCEPTS = 60, 20
 
 
+def holding_rarest(postings: DataFrame, asked: DataFrame) -> DataFrame:
+    """``query_id, thm_id``: the statements with a query's rarest word. No others can have all of its
+    words, so the other words are looked up for those only. ``asked(query_id, word)``, each once."""
+    df = postings.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    rare = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "word"))
+    first = asked.join(df, "word", "left").withColumn("r", rare).where("r = 1").select("query_id", "word")
+    return postings.join(first, "word").select("query_id", "thm_id").distinct()
+
+
 def all_words(postings: DataFrame, words: DataFrame, most: int = RESULTS) -> DataFrame:
     """``query_id, thm_id, n_statement, rn``: statements with every word of a query, those first that
     have most of them in the statement itself. ``words(query_id, word)``."""
     asked = words.select("query_id", "word").distinct()
     need = asked.groupBy("query_id").agg(F.count("*").alias("need"))
-    met = postings.join(asked, "word").groupBy("query_id", "thm_id").agg(F.count_distinct("word").alias("has"), F.sum((F.col("part") == "T").cast("bigint")).alias("n_statement"))
+    possible = holding_rarest(postings, asked)
+    met = possible.join(asked, "query_id").join(postings, ["word", "thm_id"]).groupBy("query_id", "thm_id").agg(F.count_distinct("word").alias("has"), F.sum((F.col("part") == "T").cast("bigint")).alias("n_statement"))
     order = Window.partitionBy("query_id").orderBy(F.desc("n_statement"), "thm_id")
     return met.join(need, "query_id").where("has = need").select("query_id", "thm_id", "n_statement").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
 

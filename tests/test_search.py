@@ -2,7 +2,7 @@
 
 import random
 
-from axiomill.operators import authors, classes, lsa, search, similar
+from axiomill.operators import authors, classes, concepts, lsa, search, similar
 
 
 def imperative(tokens, docs):
@@ -139,3 +139,13 @@ def test_latent_vectors(spark):
     got = {(r["i"], r["j"]): r["c"] for r in lsa.correlated(entries, 12).collect()}
     full = np.corrcoef(dense.T)
     assert all(np.isclose(full[i, j], c) for (i, j), c in got.items()) and len(got) == sum(full[i, j] >= 0.5 for i in range(5) for j in range(i + 1, 5))
+
+
+def test_all_words_looks_up_the_rarest_word_first(spark):
+    rows = [("ring", t, "T") for t in range(50)] + [("flat", t, "H") for t in range(0, 50, 10)] + [("rare", 7, "T"), ("rare", 20, "T")]
+    postings = spark.createDataFrame(rows, "word string, thm_id int, part string")
+    asked = spark.createDataFrame([(1, "ring"), (1, "flat"), (2, "ring"), (2, "rare"), (3, "ring"), (3, "absent"), (4, "flat"), (4, "rare"), (4, "ring")], "query_id int, word string")
+    possible = {(r["query_id"], r["thm_id"]) for r in concepts.holding_rarest(postings, asked).collect()}
+    assert possible == {(1, t) for t in range(0, 50, 10)} | {(q, t) for q in (2, 4) for t in (7, 20)}
+    found = {(r["query_id"], r["thm_id"], r["n_statement"], r["rn"]) for r in concepts.all_words(postings, asked).collect()}
+    assert found == {(1, t, 1, i + 1) for i, t in enumerate(range(0, 50, 10))} | {(2, 7, 2, 1), (2, 20, 2, 2), (4, 20, 2, 1)}
