@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axiomill.functions import markup
@@ -12,11 +12,15 @@ from axiomill.functions import words as W
 RELATED_SHARE, DEFAULT = 0.8, 0.3
 
 
+def weight(score: Column) -> Column:
+    return F.when(score == 0, DEFAULT).otherwise(score.cast("double"))
+
+
 def entries(terms: DataFrame, vocab: DataFrame, related: DataFrame | None = None) -> DataFrame:
     """``thm_id, word_idx, weight``: the score of each term of a statement, and 0.8 of it for related
     terms; of two weights for one place the greater."""
     own = terms.select("thm_id", "word").distinct().join(vocab.select("word", "word_idx", "score"), "word")
-    out = own.select("thm_id", "word_idx", F.when(F.col("score") == 0, DEFAULT).otherwise(F.col("score").cast("double")).alias("weight"))
+    out = own.select("thm_id", "word_idx", weight(F.col("score")).alias("weight"))
     if related is not None:
         other = vocab.select(F.col("word").alias("related_word"), F.col("word_idx").alias("other_idx"))
         more = own.join(related.where("rank <= 4"), "word").join(other, "related_word")

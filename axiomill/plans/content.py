@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from axiomill.functions import codec, markup
 from axiomill.functions import words as W
-from axiomill.operators import classes, lsa, matrix, similar, vocabulary
+from axiomill.operators import classes, index, lsa, matrix, search, similar, vocabulary
 from axiomill.plans import corpus, searching
 from axiomill.plans import sql as Q
 from axiomill.session import checkpointed, table
@@ -242,10 +242,14 @@ def knn_label_vote(spark, sf_dir):
 
 @query()
 def lsa_svd(spark, sf_dir):
-    vocab = checkpointed(corpus.vocab(spark, sf_dir))
-    entries = checkpointed(matrix.entries(corpus.terms(spark, sf_dir), vocab))
-    correlations = lsa.correlated(entries, corpus.statements(spark, sf_dir).count())
-    vectors, _, _ = lsa.trained(checkpointed(lsa.spread(entries, correlations)), vocab.count())
+    own, counts = searching.stored(spark, sf_dir)
+    vocab = search.looked_up(vocabulary.scored(vocabulary.numbered(vocabulary.pruned(vocabulary.frequency_of(counts)))))
+    # The vocabulary has single words only, so no n-gram is an entry.
+    single = search.looked_up(index.single_terms(counts).join(vocab, "word").select(F.col("raw").alias("word"), "word_idx"))
+    found = index.placed(own).join(single, "word").groupBy("thm_id").agg(F.array_sort(F.collect_set("word_idx")).alias("indices"))
+    lists = lsa.weighted(checkpointed(found), vocab.select("word_idx", matrix.weight(F.col("score")).alias("weight")))
+    correlations = checkpointed(lsa.correlated(lists, corpus.statements(spark, sf_dir).count()))
+    vectors, _, _ = lsa.trained(lsa.spread_lists(lists, correlations), vocab.count())
     return vectors
 
 

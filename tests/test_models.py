@@ -42,3 +42,33 @@ def test_predictions_use_the_classifier_as_it_is(spark, monkeypatch):
     monkeypatch.setattr(classes, "classifier", lambda *a, **k: asked.append((len(a), k)) or real(*a, **k))
     assert entry.queries()["class_predictions"](spark, DATA).count() > 0
     assert asked == [(1, {}), (1, {})]  # one model for each half, trained on the other
+
+
+@tables
+def test_latent_vectors_need_no_n_grams_and_no_rows_in_python_at_each_step(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    def refused(*_):
+        raise AssertionError("n-grams are no entries; rows of a matrix are read in each step")
+
+    monkeypatch.setattr(corpus, "grams", refused)
+    monkeypatch.setattr(type(spark.range(1)), "rdd", property(refused))
+    assert isinstance(found := entry.queries()["lsa_svd"](spark, DATA), DataFrame)
+    assert found.count() > 0
+    few = spark.createDataFrame([(1, 0, 2.0), (1, 3, 1.5), (2, 3, 1.0)], "thm_id bigint, word_idx int, weight double")
+    lists = lsa.listed(few)
+    assert {r["thm_id"]: (r["indices"], r["weights"]) for r in lists.collect()} == {1: ([0, 3], [2.0, 1.5]), 2: ([3], [1.0])}
+    assert {tuple(r) for r in lsa.unlisted(lists).collect()} == {tuple(r) for r in few.collect()}
+
+
+def test_listed_entries_are_spread_as_entries_are(spark):
+    rows = [(1, 0, 2.0), (1, 3, 1.5), (2, 3, 1.0), (3, 1, 4.0)]
+    entries = spark.createDataFrame(rows, "thm_id bigint, word_idx int, weight double")
+    correlations = spark.createDataFrame([(0, 3, 0.5), (0, 2, 0.75)], "i int, j int, c double")
+    for some in (correlations, correlations.limit(0)):
+        want = {(r["thm_id"], r["word_idx"], round(r["weight"], 9)) for r in lsa.spread(entries, some).collect()}
+        got = {(r["thm_id"], r["word_idx"], round(r["weight"], 9)) for r in lsa.unlisted(lsa.spread_lists(lsa.listed(entries), some)).collect()}
+        assert got == want and len(got) == (6 if some is correlations else 4)
+    given = spark.createDataFrame([(0, 2.0), (1, 4.0), (3, 1.5)], "word_idx int, weight double")
+    found = lsa.weighted(lsa.listed(entries).select("thm_id", "indices"), given).orderBy("thm_id").collect()
+    assert [(r["indices"], r["weights"]) for r in found] == [([0, 3], [2.0, 1.5]), ([3], [1.5]), ([1], [4.0])]
